@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, rules, secrets, topk
+from tessera.llm import bpe, classifier, html, neardup, rules, secrets, topk
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
+    "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_quality_classifier": classifier.op8_quality_classifier,
     "op9_quality_rules": rules.op9_quality_rules,
+    "op10_html_main_text": html.op10_html_main_text,
 }
 SQL = {**topk.SQL}
