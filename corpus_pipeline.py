@@ -18,17 +18,27 @@ from tessera.llm.common import materialize, read
 LEAST_QUALITY = 0.5
 
 
+#: Ids up to which a join that takes documents out broadcasts them.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The documents whose doc_id is not among `ids`; rows without doc_id stay."""
+    ids = materialize(ids.distinct(), name)
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     scores = classifier.classify(docs, read(spark, sf_dir, "labels"))
-    good = scores.where(F.col("score") >= LEAST_QUALITY).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+    return without(docs, scores.where(F.col("score") < LEAST_QUALITY).select("doc_id"), "pipeline-rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
     found = neardup.near_duplicates(docs)
-    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, found.where("NOT kept").select("doc_id"), "pipeline-copies")
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
