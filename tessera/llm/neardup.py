@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,14 +35,15 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class Near:
     """words: of a shingle; percent: least similarity; k: values of a sketch; miss: chance, at most, that a pair of just
     that similarity shares too few sketch values to be found; list_rows: length from which a list is
-    compared in blocks; block_rows: rows of a block."""
+    compared in blocks; wide_k: values of the sketches that are compared there; block_rows: rows of a block."""
 
     words: int = 5
     percent: int = 75
     k: int = 64
     miss: float = 1e-9
+    wide_k: int = 512
     list_rows: int = 48
-    block_rows: int = 1024
+    block_rows: int = 2048
 
 
 def shared_values(p: Near) -> int:
@@ -87,9 +88,8 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
-def shingled(docs: DataFrame, p: Near, whole: bool) -> DataFrame:
-    """id, n (size of the set), node (fingerprint of the set) and the sketch, or the whole set."""
-    keep = None if whole else p.k
+def shingled(docs: DataFrame, p: Near, keep: int | None) -> DataFrame:
+    """id, n (size of the set), node (fingerprint of the set) and the `keep` smallest hashes, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -129,7 +129,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: Near) ->
     pairs = materialize(pairs, "neardup-candidates")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(classes.select("node", "id"), "node").select("id")
-    sets = shingled(docs.join(wanted, "id", "left_semi"), p, whole=True).select("node", F.col("hashes").alias("s"))
+    sets = shingled(docs.join(wanted, "id", "left_semi"), p, None).select("node", F.col("hashes").alias("s"))
     sets = materialize(sets.join(nodes, "node").dropDuplicates(["node"]), "neardup-sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"{x}_s")) for x in "ab")
     shared = F.size(F.array_intersect("a_s", "b_s"))
@@ -166,55 +166,98 @@ def listed(classes: DataFrame, p: Near, least: int) -> DataFrame:
     return found.where(places > 0).select("node", "n", "weight", F.slice("v", F.lit(1), places.cast("int")).alias("v"))
 
 
-def across(lists: DataFrame, sketches: DataFrame, p: Near, least: int) -> DataFrame:
-    """Pairs of different components within the lists (value, node, n, label) that pass the estimate."""
+def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, p: Near, least: int) -> DataFrame:
+    """Links between different components within the lists (value, node, n, label, earlier)."""
     mixed_lists = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("value", "rows")
     members = materialize(lists.join(mixed_lists, "value"), "neardup-lists")
     short = members.where(F.col("rows") <= p.list_rows).select("value", "node", "n", "label")
     a = short.select("value", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
     b = short.select("value", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
     met = a.join(b, "value").where((F.col("a") < F.col("b")) & (F.col("a_label") != F.col("b_label")) & similar_sizes("a_n", "b_n", p))
-    pairs = estimated(met.select("a", "b").distinct(), sketches, p, least)
+    pairs = estimated(met.select("a", "b").distinct(), classes, p, least)
     long = members.where(F.col("rows") > p.list_rows)
-    if long.limit(1).count():
-        pairs = pairs.union(blockwise(long.join(sketches.select("node", "hashes"), "node"), p, least)).distinct()
-    return pairs
-
-
-def blockwise(members: DataFrame, p: Near, least: int) -> DataFrame:
-    """Pairs from long lists: each list is cut into blocks, and every two blocks meet in one task."""
+    if not long.limit(1).count():
+        return verified(pairs, classes, docs, p)
+    nodes = long.select("node").distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select("id")
+    wide = shingled(docs.join(wanted, "id", "left_semi"), p, p.wide_k).select("node", "hashes").dropDuplicates(["node"])
+    found = materialize(blockwise(long.join(wide, "node"), p), "neardup-blocks")
+    return verified(pairs.union(found.where("NOT exact").select("a", "b")).distinct(), classes, docs, p).union(found.where("exact").select("a", "b"))
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each list on the left shares with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    a, b = (np.concatenate([*map(np.asarray, x), np.zeros(0, np.int64)]) for x in (left, right))
+    common = np.intersect1d(a, b)
+    a_row, b_row = (np.repeat(np.arange(len(x)), [*map(len, x)]) for x in (left, right))
+    a_in, b_in = np.isin(a, common), np.isin(b, common)
+    a_row, b_row, a_col, b_col = a_row[a_in], b_row[b_in], np.searchsorted(common, a[a_in]), np.searchsorted(common, b[b_in])
+    for at in range(0, len(common), 2048):
+        sides = []
+        for n, row, col in ((len(left), a_row, a_col), (len(right), b_row, b_col)):
+            here = (col >= at) & (col < at + 2048)
+            side = np.zeros((n, min(2048, len(common) - at)), np.float32)
+            side[row[here], col[here] - at] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def blockwise(members: DataFrame, p: Near) -> DataFrame:
+    """a, b, exact: from long lists. Each is cut into blocks, and every two blocks meet in one task.
+
+    A pair that stands together in an earlier list too is left to that one. Sets of up to wide_k hashes are compared as they are; such
+    links are exact, and only those are given out that join components which the block has not joined. Pairs with a larger set that pass the
+    union's estimate are given out for verification.
+    """
+    least = shared_values(replace(p, k=p.wide_k))
     count = F.ceil(F.col("rows") / F.lit(p.block_rows)).cast("int")
     block = F.pmod(F.xxhash64("node"), count).cast("int")
     met = F.transform(F.sequence(F.lit(0), count - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    rows = members.withColumn("block", block).withColumn("at", F.explode(met)).select("value", "at.i", "at.j", "block", "node", "n", "label", "hashes")
+    rows = members.withColumn("block", block).withColumn("at", F.explode(met)).select("value", "at.i", "at.j", "block", "node", "n", "label", "earlier", "hashes")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        left = frame[frame["block"] == i]
-        right = frame[frame["block"] == j]
-        r_n, r_label = right["n"].to_numpy(), right["label"].to_numpy()
-        r_nodes, r_hashes = right["node"].to_numpy(), [np.asarray(h) for h in right["hashes"]]
-        sizes = [len(h) for h in r_hashes]
-        value, owner = np.concatenate([*r_hashes, np.zeros(0, np.int64)]), np.repeat(np.arange(len(right)), sizes)
-        order = np.argsort(value, kind="stable")
-        value, owner = value[order], owner[order]
-        out = []
-        for node, n, label, hashes in zip(left["node"], left["n"], left["label"], left["hashes"]):
-            h = np.asarray(hashes)
-            lo, hi = np.searchsorted(value, h), np.searchsorted(value, h, "right")
-            shared = np.bincount(np.concatenate([owner[x:y] for x, y in zip(lo, hi)]), minlength=len(right))
-            few = np.minimum(least, np.ceil(np.minimum(n, r_n) * p.percent / 100))
-            fine = (shared >= few) & (r_label != label) & (100 * np.minimum(n, r_n) >= p.percent * np.maximum(n, r_n))
-            if i == j:
-                fine &= r_nodes > node
-            for k in np.nonzero(fine)[0]:
-                union = np.union1d(h, r_hashes[k])[: p.k]
-                both = np.isin(union, h).astype(int) @ np.isin(union, r_hashes[k])
-                if (100 * both >= p.percent * len(union)) if len(union) < p.k else both >= least:
-                    out.append((min(node, r_nodes[k]), max(node, r_nodes[k])))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return rows.groupBy("value", "i", "j").applyInPandas(compare, "a binary, b binary")
+        frame = frame.assign(label=pd.factorize(frame["label"])[0])
+        left, right = frame[frame["block"] == i], frame[frame["block"] == j]
+
+        def between(column: str, cross) -> np.ndarray:
+            return cross(left[column].to_numpy()[:, None], right[column].to_numpy()[None, :])
+
+        todo = between("label", np.not_equal) & (100 * between("n", np.minimum) >= p.percent * between("n", np.maximum))
+        if i == j:
+            todo &= np.triu(np.ones(todo.shape, bool), 1)
+        if todo.any():
+            todo &= overlaps(list(left["earlier"]), list(right["earlier"])) == 0
+        left, right = left[todo.any(1)], right[todo.any(0)]
+        todo = todo[np.ix_(todo.any(1), todo.any(0))]
+        if not todo.size:
+            return pd.DataFrame({"a": [], "b": [], "exact": []})
+        shared = overlaps(list(left["hashes"]), list(right["hashes"]))
+        whole = between("n", np.maximum) <= p.wide_k
+        similar = todo & whole & (100 * shared >= p.percent * (between("n", np.add) - shared))
+        parent = list(range(int(frame["label"].max()) + 1))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        out, nodes, labels, hashes = [], (left["node"].to_numpy(), right["node"].to_numpy()), (left["label"].to_numpy(), right["label"].to_numpy()), (list(left["hashes"]), list(right["hashes"]))
+        for x, y in zip(*np.nonzero(similar)):
+            a, b = root(labels[0][x]), root(labels[1][y])
+            if a != b:
+                parent[a] = b
+                out.append((nodes[0][x], nodes[1][y], True))
+        for x, y in zip(*np.nonzero(todo & ~whole & (shared >= least))):
+            if root(labels[0][x]) != root(labels[1][y]):
+                union = np.union1d(hashes[0][x], hashes[1][y])[: p.wide_k]
+                if np.isin(union, hashes[0][x]).astype(int) @ np.isin(union, hashes[1][y]) >= least:
+                    out.append((nodes[0][x], nodes[1][y], False))
+        return pd.DataFrame([(min(a, b), max(a, b), e) for a, b, e in out], columns=["a", "b", "exact"])
+
+    return rows.groupBy("value", "i", "j").applyInPandas(compare, "a binary, b binary, exact boolean")
 
 
 def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
     """
     p, least = near, shared_values(near)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(shingled(texts, p, whole=False), "neardup-sketches")
+    sets = materialize(shingled(texts, p, p.k), "neardup-sketches")
     usable = sets.where("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("node").agg(F.min(F.struct("id", "n", "hashes")).alias("m")).select("node", "m.*")
     classes = materialize(classes, "neardup-classes")
@@ -241,8 +284,9 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
     ordered = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     links = verified(estimated(ordered, sketches, p, least), classes, texts, p)
     labels = components(links)
-    labelled = lists.join(labels, "node", "left").select("value", "node", "n", F.coalesce("label", "node").alias("label"))
-    rest = verified(across(labelled, sketches, p, least), classes, texts, p)
+    labelled = index.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("v.value").alias("at", "value"), F.col("v.value").alias("all"))
+    labelled = labelled.select("value", "node", "n", "label", F.slice("all", F.lit(1), F.col("at")).alias("earlier"))
+    rest = across(labelled, classes, texts, p, least)
     labels = components(links.union(rest))
 
     named = classes.select("node", "id").join(labels, "node")
