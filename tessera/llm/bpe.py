@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import read
 
-#: Characters of text of which the words are held at once, and distinct words of which a worker keeps the tokens.
-BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 600_000
+#: Bytes of text whose new words are replayed together, and distinct words from which on a worker begins anew.
+BLOCK_CHARS = 5_000_000
+CACHE_WORDS = 300_000
 
 #: Letters and numbers of Unicode 17, which the regex module has and the tiktoken library has not.
 NEWER = (
@@ -48,126 +48,128 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     for kind in ("L", "N"):
         older = older.replace(rf" ?\p{{{kind}}}+", rf" ?(?:(?![{NEWER}])\p{{{kind}}})+")
     unusual = regex.compile(older).findall
-    return lambda text: usual(text) if text.isascii() or not newer(text) else unusual(text)
 
+    def words(text: str) -> list[str]:
+        if text.isascii() or np.frombuffer(text.encode("utf-16-le", "replace"), np.uint16).max() < ord(NEWER[0]) or not newer(text):
+            return usual(text)
+        return unusual(text)
 
-#: Marks a position that has been merged into the one before it.
-DEAD = 0x1FFFF
-
-
-class Merges(dict):
-    """Token that a pair becomes, or -1, by left id << 17 | right id."""
+    return words
 
-    def __init__(self, ids: dict[bytes, int]):
-        self.ids, self.bytes = ids, {i: b for b, i in ids.items()}
 
-    def __missing__(self, pair: int) -> int:
-        found = self[pair] = self.ids.get(self.bytes[pair >> 17] + self.bytes[pair & DEAD], -1)
-        return found
+#: Marks a position that has been merged into the one before it.
+DEAD = 0x1FFFF
 
 
 class Vocabulary:
-    """Ranks of a .tiktoken file; a token's id is its rank."""
+    """Ranks of a .tiktoken file; a token's id is its rank. Also the words whose tokens are known, by number."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.merges = Merges(self.ids)
-        self.bytes = self.merges.bytes
-        self.single = np.array([self.ids[bytes([b])] for b in range(256)])
-        self.pairs = np.array([[self.ids.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Put the tokens of words not yet known into `self.words`."""
-        known = self.words
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-        rest = []
-        for w in new:
-            whole = self.ids.get(w.encode("utf-8", "replace"))
-            if whole is None:
-                rest.append(w)
-            else:
-                known[w] = (whole,)
-        known.update(zip(rest, replay([w.encode("utf-8", "replace") for w in rest], self)))
-
-
-def replay(words: list[bytes], vocab: Vocabulary) -> list[tuple[int, ...]]:
-    """The tokens of each word, all words together: the pairs' index is worked off in rank order."""
-    if not words:
-        return []
-    lengths = np.array([*map(len, words)])
-    starts = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(b"".join(words), np.uint8)
-    number = np.repeat(np.arange(len(words)), lengths)
-    first = np.where(number[1:] == number[:-1], vocab.pairs[raw[:-1], raw[1:]], -1) if len(raw) else raw
-    word_of, token = number.tolist(), vocab.single[raw].tolist()
-    after, before = list(range(1, len(raw) + 1)), list(range(-1, len(raw) - 1))
-    for at in starts[lengths > 0].tolist():
-        before[at] = after[at - 1] = -1
-    if token:
-        after[-1] = -1
-    merged = vocab.merges
-    index: dict[int, list[int]] = {}
-    order = np.argsort(first, kind="stable")
-    ranks, cuts = np.unique(first[order], return_index=True)
-    for rank, places in zip(ranks.tolist(), np.split(order, cuts[1:])):
-        if rank >= 0:
-            index[rank] = places.tolist()
-    queue = list(index)
-    heapq.heapify(queue)
+        self.bytes = {i: b for b, i in self.ids.items()}
+        self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        halves = [(t, rank, k) for t, rank in self.ids.items() for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids]
+        keys = np.array([self.ids[t[:k]] << 17 | self.ids[t[k:]] for t, _, k in halves] + [-1])
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array([rank for _, rank, _ in halves] + [-1])[order]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.tokens, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def merged(self, keys: np.ndarray) -> np.ndarray:
+        """The token that each pair (left id << 17 | right id) becomes, or -1."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.ranks[at], -1)
+
+    def learn(self) -> None:
+        """Find the tokens of the words that have a number and no tokens yet."""
+        known = len(self.ends) - 1
+        if known == len(self.numbers):
+            return
+        tokens, lengths = replay([w.encode("utf-8", "replace") for w in islice(self.numbers, known, None)], self)
+        self.tokens = np.concatenate([self.tokens, tokens])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def encoded(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words of these numbers, one after the other, and how many each has."""
+        first = self.ends[words]
+        lengths = self.ends[words + 1] - first
+        ends = np.cumsum(lengths)
+        return self.tokens[np.repeat(first - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+class Numbers(dict):
+    """A number for each word, by order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        return found
+
+
+def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all words, one word after the other, and each word's number of tokens.
+
+    `index` maps the rank of a merge to the positions where its pair stands, with the pair as it was then. Ranks are worked off
+    from the lowest; a word takes part with its leftmost position, for a merge may bring up a lower rank in it.
+    """
+    sizes = np.array([*map(len, words)], np.int64)
+    token = vocab.single[np.frombuffer(b"".join(words), np.uint8)]
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    total = len(token)
+    after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+    edge = np.flatnonzero(word_of[1:] != word_of[:-1])
+    after[edge], before[edge + 1] = -1, -1
+    after[-1:] = -1
+    index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    queue: list[int] = []
+
+    def put(places: np.ndarray, keys: np.ndarray) -> None:
+        ranks = vocab.merged(keys)
+        fine = np.flatnonzero(ranks >= 0)
+        fine = fine[np.argsort(ranks[fine], kind="stable")]
+        ranks, places, keys = ranks[fine], places[fine], keys[fine]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                rank = int(ranks[a])
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(queue, rank)
+                index[rank].append((places[a:b], keys[a:b]))
+
+    def pairs(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+        return np.int64(a) << 17 | b
+
+    left = np.flatnonzero(after >= 0).astype(np.int32)
+    put(left, pairs(token[left], token[left + 1]))
     while queue:
         rank = heapq.heappop(queue)
-        places = index.pop(rank, None)
-        if not places:
-            continue
-        places.sort()
-        waiting, later = -1, []
-        for p in places:
-            q = after[p]
-            if q < 0 or merged[token[p] << 17 | token[q]] != rank:
-                continue
-            if word_of[p] == waiting:
-                later.append(p)
-                continue
-            token[p], token[q] = rank, DEAD
-            after[p] = n = after[q]
-            after[q] = -1
-            if n >= 0:
-                before[n] = p
-                r = merged[rank << 17 | token[n]]
-                if r >= 0:
-                    if r in index:
-                        index[r].append(p)
-                    else:
-                        index[r] = [p]
-                        heapq.heappush(queue, r)
-                    if r < rank:
-                        waiting = word_of[p]
-            b = before[p]
-            if b >= 0:
-                r = merged[token[b] << 17 | rank]
-                if r >= 0:
-                    if r in index:
-                        index[r].append(b)
-                    else:
-                        index[r] = [b]
-                        heapq.heappush(queue, r)
-                    if r < rank:
-                        waiting = word_of[p]
-        if later:  # a merge of lower rank has come up in their word and goes first
-            if rank in index:
-                index[rank] += later
-            else:
-                index[rank] = later
+        entries = index.pop(rank)
+        p, key = entries[0] if len(entries) == 1 else map(np.concatenate, zip(*entries))
+        q = after[p]
+        stands = (q >= 0) & (pairs(token[p], token[q]) == key)
+        p, q, key = p[stands], q[stands], key[stands]
+        if len(p) > 1:
+            order = np.argsort(p, kind="stable")
+            p, q, key = p[order], q[order], key[order]
+            again = np.zeros(len(p), bool)
+            again[1:] = word_of[p[1:]] == word_of[p[:-1]]
+            if again.any():
+                index[rank] = [(p[again], key[again])]
                 heapq.heappush(queue, rank)
-    left = np.array(token)
-    live = left != DEAD
-    ends = np.cumsum(np.bincount(number[live], minlength=len(words))).tolist()
-    ids = left[live].tolist()
-    return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+                p, q = p[~again], q[~again]
+        if not len(p):
+            continue
+        n, b = after[q], before[p]
+        token[p], token[q], after[p], after[q] = rank, DEAD, n, -1
+        has_n, has_b = n >= 0, b >= 0
+        before[n[has_n]] = p[has_n]
+        put(np.concatenate([p[has_n], b[has_b]]), np.concatenate([pairs(rank, token[n[has_n]]), pairs(token[b[has_b]], rank)]))
+    live = token != DEAD
+    return token[live].astype(np.int32), np.bincount(word_of[live], minlength=len(words))
 
 
 def worker_vocabulary(path: str) -> Vocabulary:
@@ -192,12 +194,15 @@ def encode(docs: DataFrame, *, vocab: str, pattern: str = public_tokenizers.PATT
         known, split = worker_vocabulary(vocab), splitter(pattern)
         for batch in batches:
             for block in blocks(batch, at):
-                words = [split(v.as_py() or "") for v in block.column(at)]
-                known.learn(set(chain.from_iterable(words)))
-                get = known.words.__getitem__
-                lists = [np.fromiter(chain.from_iterable(map(get, w)), np.int32) for w in words]
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+                if len(known.numbers) > CACHE_WORDS:
+                    known.forget()
+                number = known.numbers.__getitem__
+                words = [np.fromiter(map(number, split(v.as_py() or "")), np.int32) for v in block.column(at)]
+                known.learn()
+                tokens, lengths = known.encoded(np.concatenate(words))
+                of_words = np.concatenate([[0], np.cumsum(lengths)])
+                ends = of_words[np.cumsum([0, *map(len, words)])]
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
                 yield pa.RecordBatch.from_arrays([*block.columns, ids], names=[*block.schema.names, out_col])
 
     schema = T.StructType([*kept.schema, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
