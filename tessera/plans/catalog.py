@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval
+from tessera.plans import agents, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-SQL = {**retrieval.SQL}
+QUERIES = {**retrieval.QUERIES, **agents.QUERIES}
+SQL = {**retrieval.SQL, **agents.SQL}

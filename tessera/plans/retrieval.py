@@ -9,19 +9,11 @@ from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators import rag, scope, search, tables
 from tessera.plans import adapters as ad
-from tessera.plans.adapters import sql
+from tessera.plans.registry import Registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(oracle: str | None = None, *names: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = sql(oracle, *names)
-        return f
-
-    return add
+registry = Registry()
+query = registry.query
+QUERIES, SQL = registry.queries, registry.sql
 
 
 @query("SELECT id FROM items WHERE lang = 'en' AND source = 'src1'", "items")
