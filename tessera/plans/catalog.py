@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import agents, retrieval
+from tessera.plans import agents, documents, retrieval
 
-QUERIES = {**retrieval.QUERIES, **agents.QUERIES}
-SQL = {**retrieval.SQL, **agents.SQL}
+QUERIES = {**retrieval.QUERIES, **agents.QUERIES, **documents.QUERIES}
+SQL = {**retrieval.SQL, **agents.SQL, **documents.SQL}
