@@ -5,14 +5,13 @@ Ranked lists have the columns query_id, list_no, rank (from 1) and what they car
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
+from tessera.operators.blocks import block_nearest
 
 TOP_K, POOL, RRF_K = 5, 20, 60
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -30,16 +29,16 @@ def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where: Column | None = None, by: Callable[[Column, Column], Column] = vx.l2) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where: Column | None = None, metric: str = "l2") -> DataFrame:
     """query_id, id, distance, score, rank: the nearest items of each query, ties to the smaller id.
 
-    `items` has id and embedding, `queries` query_id and query. The filter holds before the distance, so it never costs hits. Each
-    query meets all items that pass; the window keeps top_k of a query in each task before anything is shuffled.
+    `items` has id and embedding, `queries` query_id and query; metric is l2 or cosine (distance 1 - cosine). The filter holds before the distance, so it
+    never costs hits. Vectors that are null, empty, hold nulls or differ in length from the query take no part.
     """
     checked_sizes(top_k, top_k)
-    kept = items if where is None else items.where(where)
-    met = kept.select("id", "embedding").join(queries.select("query_id", "query"), how="cross")
-    found = met.select("query_id", "id", by(F.col("embedding"), F.col("query")).alias("distance"))
+    if metric not in ("l2", "cosine"):
+        raise ValueError(f"unknown metric {metric}")
+    found = block_nearest(items if where is None else items.where(where), queries, top_k, metric)
     return ranked(found, top_k, F.col("distance"), F.col("id")).withColumn("score", vx.distance_score(F.col("distance")))
 
 

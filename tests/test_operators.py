@@ -190,3 +190,27 @@ def test_session_windows(spark, tmp_path):
     out = feeds.sessions(feeds.file_feed(spark, f"{tmp_path}/e", e.schema), "ts", "10 minutes", "1 minute", "user")
     feeds.append_log(out, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r.n_events for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_nearest_is_exact_and_skips_odd_vectors(spark, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    x[50:60] = x[7]
+    rows = [(f"{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)] + [("n", None), ("e", []), ("s", [1.0]), ("h", [None] * 5), ("z", [0.0] * 5)]
+    items = spark.createDataFrame(rows, "id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(0, 300, 30)], "query_id int, query array<double>")
+    found = {}
+    for r in search.nearest(items, queries, metric=metric).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(round(r.distance, 9))
+    for q, got in found.items():
+        if metric == "l2":
+            d = [float(np.sqrt(((x[q] - r) ** 2).sum())) for r in [*x, np.zeros(5)]]
+        else:
+            d = [1 - float(x[q] @ r / (np.linalg.norm(x[q]) * np.linalg.norm(r) or 1)) for r in [*x, np.zeros(5)]]
+        assert got == pytest.approx(sorted(d)[:5], abs=1e-8)
+    assert len(found) == 10
+    with pytest.raises(ValueError):
+        search.nearest(items, queries, metric="l1")
