@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, classifier, html, mixing, neardup, pii, rules, secrets, topk
+from tessera.llm import bpe, classifier, html, linededup, mixing, neardup, pii, rules, secrets, topk
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_source_mixture": mixing.op2_source_mixture,
     "op3_pii_surrogates": pii.op3_pii_surrogates,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
