@@ -24,9 +24,10 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import read
 
-#: Bytes of text whose new words are replayed together, and distinct words from which on a worker begins anew.
-BLOCK_CHARS = 5_000_000
-CACHE_WORDS = 300_000
+#: Bytes of text whose new words are replayed together, and distinct words from which on a task begins anew.
+BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 250_000
+DECODE_ROWS = 500
 
 #: Letters and numbers of Unicode 17, which the regex module has and the tiktoken library has not.
 NEWER = (
@@ -62,7 +63,7 @@ DEAD = 0x1FFFF
 
 
 class Vocabulary:
-    """Ranks of a .tiktoken file; a token's id is its rank. Also the words whose tokens are known, by number."""
+    """Ranks of a .tiktoken file; a token's id is its rank."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -73,23 +74,28 @@ class Vocabulary:
         keys = np.array([self.ids[t[:k]] << 17 | self.ids[t[k:]] for t, _, k in halves] + [-1])
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([rank for _, rank, _ in halves] + [-1])[order]
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers = Numbers()
-        self.tokens, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # tokens that may join a neighbour at a rank below their own
+        self.urgent = {part for t, rank, k in halves for part in (self.ids[t[:k]], self.ids[t[k:]]) if rank < part}
 
     def merged(self, keys: np.ndarray) -> np.ndarray:
         """The token that each pair (left id << 17 | right id) becomes, or -1."""
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], -1)
 
+
+class Words:
+    """The words that a task has met, by number, and their tokens."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.numbers = vocab, Numbers()
+        self.tokens, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def learn(self) -> None:
         """Find the tokens of the words that have a number and no tokens yet."""
         known = len(self.ends) - 1
         if known == len(self.numbers):
             return
-        tokens, lengths = replay([w.encode("utf-8", "replace") for w in islice(self.numbers, known, None)], self)
+        tokens, lengths = replay([w.encode("utf-8", "replace") for w in islice(self.numbers, known, None)], self.vocab)
         self.tokens = np.concatenate([self.tokens, tokens])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
 
@@ -113,7 +119,7 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     """Tokens of all words, one word after the other, and each word's number of tokens.
 
     `index` maps the rank of a merge to the positions where its pair stands, with the pair as it was then. Ranks are worked off
-    from the lowest; a word takes part with its leftmost position, for a merge may bring up a lower rank in it.
+    from the lowest, all positions of a rank at once; but in a word where that brings up a lower rank, the leftmost only.
     """
     sizes = np.array([*map(len, words)], np.int64)
     token = vocab.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -143,30 +149,47 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     def pairs(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         return np.int64(a) << 17 | b
 
+    def sooner(p: np.ndarray, q: np.ndarray, rank: int) -> np.ndarray:
+        """Words in which merging these places from left to right brings up a pair of a lower rank."""
+        n, b = after[q], before[p]
+        left = np.where(np.append(False, b[1:] == q[:-1]), rank, token[b])
+        out = []
+        for there, keys in ((n >= 0, pairs(rank, token[n])), (b >= 0, pairs(left, rank))):
+            new = vocab.merged(keys)
+            out.append(word_of[p[there & (new >= 0) & (new < rank)]])
+        return np.unique(np.concatenate(out))
+
     left = np.flatnonzero(after >= 0).astype(np.int32)
     put(left, pairs(token[left], token[left + 1]))
     while queue:
         rank = heapq.heappop(queue)
         entries = index.pop(rank)
         p, key = entries[0] if len(entries) == 1 else map(np.concatenate, zip(*entries))
-        q = after[p]
+        p, first = np.unique(p, return_index=True)
+        key, q = key[first], after[p]
         stands = (q >= 0) & (pairs(token[p], token[q]) == key)
         p, q, key = p[stands], q[stands], key[stands]
-        if len(p) > 1:
-            order = np.argsort(p, kind="stable")
-            p, q, key = p[order], q[order], key[order]
-            again = np.zeros(len(p), bool)
-            again[1:] = word_of[p[1:]] == word_of[p[:-1]]
-            if again.any():
-                index[rank] = [(p[again], key[again])]
-                heapq.heappush(queue, rank)
-                p, q = p[~again], q[~again]
         if not len(p):
             continue
-        n, b = after[q], before[p]
+        # of places that overlap, every other one from the left
+        head = np.append(True, q[:-1] != p[1:])
+        at = np.arange(len(p))
+        take = (at - np.maximum.accumulate(np.where(head, at, 0))) % 2 == 0
+        if rank in vocab.urgent:
+            urgent = sooner(p[take], q[take], rank)
+            if len(urgent):
+                wait = np.isin(word_of[p], urgent)
+                wait &= np.append(False, word_of[p[1:]] == word_of[p[:-1]])
+                index[rank] = [(p[wait], key[wait])]
+                heapq.heappush(queue, rank)
+                take &= ~wait
+        p, q = p[take], q[take]
+        n = after[q]
         token[p], token[q], after[p], after[q] = rank, DEAD, n, -1
-        has_n, has_b = n >= 0, b >= 0
+        has_n = n >= 0
         before[n[has_n]] = p[has_n]
+        b = before[p]
+        has_b = b >= 0
         put(np.concatenate([p[has_n], b[has_b]]), np.concatenate([pairs(rank, token[n[has_n]]), pairs(token[b[has_b]], rank)]))
     live = token != DEAD
     return token[live].astype(np.int32), np.bincount(word_of[live], minlength=len(words))
@@ -191,11 +214,11 @@ def encode(docs: DataFrame, *, vocab: str, pattern: str = public_tokenizers.PATT
     at = kept.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = worker_vocabulary(vocab), splitter(pattern)
+        known, split = Words(worker_vocabulary(vocab)), splitter(pattern)
         for batch in batches:
             for block in blocks(batch, at):
                 if len(known.numbers) > CACHE_WORDS:
-                    known.forget()
+                    known = Words(known.vocab)
                 number = known.numbers.__getitem__
                 words = [np.fromiter(map(number, split(v.as_py() or "")), np.int32) for v in block.column(at)]
                 known.learn()
@@ -230,11 +253,11 @@ def decode(tokens: DataFrame, *, vocab: str, ids_col: str = "ids", out_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_vocabulary(vocab).bytes
         for batch in batches:
-            out = []
-            for row in batch.column(at):
-                ids = np.asarray(row.values.drop_null()).tolist() if row.is_valid else []
-                out.append(b"".join([table.get(i, b"") for i in ids]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(start, DECODE_ROWS)
+                lists = [np.asarray(row.values.drop_null()).tolist() if row.is_valid else [] for row in part.column(at)]
+                out = pa.array([b"".join([table.get(i, b"") for i in ids]) for ids in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, out_col])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(out_col, T.BinaryType())]))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 
 #: Where a unit may end. A capital begins a new unit only after SHORT words.
-CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]+|[^\S\n]+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]++|(?<!\s)[^\S\n]++(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
 SENTENCE_ENDS = ".!?…"
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 SHORT = 3

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, read
 
-#: Distinct words of which a worker keeps the hash.
-CACHE_WORDS = 500_000
+#: Distinct words of which a task keeps the hash.
+CACHE_WORDS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
