@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import agents, documents, retrieval
+from tessera.plans import agents, documents, extras, retrieval
 
-QUERIES = {**retrieval.QUERIES, **agents.QUERIES, **documents.QUERIES}
-SQL = {**retrieval.SQL, **agents.SQL, **documents.SQL}
+QUERIES = {**retrieval.QUERIES, **agents.QUERIES, **documents.QUERIES, **extras.QUERIES}
+SQL = {**retrieval.SQL, **agents.SQL, **documents.SQL, **extras.SQL}

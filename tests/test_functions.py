@@ -68,3 +68,17 @@ def test_recency_halves(spark):
     at = lambda s: F.lit(s).cast("timestamp")
     assert one(spark, vectors.recency(at("2024-01-01"), at("2024-01-02"), 24.0)) == pytest.approx(0.5)
     assert one(spark, vectors.recency(at("2024-01-03"), at("2024-01-02"), 24.0)) == 1
+
+
+@pytest.mark.parametrize("text, value", [("1 + 2 * 3", 7), ("sqrt(16) // 3", 1), ("-2 ** 2", -4), ("pi", 3.141592653589793), ("1 / 0", None), ("9 ** 9 ** 9", None), ("__import__('os')", None), ("", None), (None, None), ("1 +", None), ("(" * 300, None), ("True", None)])
+def test_evaluate(text, value):
+    from tessera.functions.parsing import evaluate
+
+    assert evaluate(text) == (None if value is None else pytest.approx(value))
+
+
+def test_directive():
+    from tessera.functions.parsing import directive
+
+    assert directive('x {bad {"tool": 1} {"tool": "t", "b": {"tool": "inner"}}') == '{"b": {"tool": "inner"}, "tool": "t"}'
+    assert directive("none") is None and directive(None) is None
