@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import materialize, read
 
 #: Where a unit may end. A capital begins a new unit only after SHORT words.
 CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]++|(?<!\s)[^\S\n]++(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
@@ -87,6 +87,8 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 30, id_col: str = "do
     """
     units = unit_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "idx")).alias("f"), F.max(F.struct("doc", "idx")).alias("l")).where("f <> l").select("digest", "f")
+    # as a table of its own, so that Spark can split the units of a very common digest over several tasks of the join
+    first = materialize(first, "passages-first")
     again = units.join(first, "digest").where((F.col("doc") != F.col("f.doc")) | (F.col("idx") != F.col("f.idx"))).select("doc", "idx", "word_at", "words", "start", "stop", F.col("f.doc").alias("first"))
     island = F.col("idx") - F.dense_rank().over(W.partitionBy("doc").orderBy("idx"))
     runs = again.withColumn("island", island).groupBy("doc", "island")
