@@ -43,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -32,9 +32,9 @@ class Rule:
 def default_rules() -> list[Rule]:
     """Limits that ordinary prose of any language stays well clear of."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    upper = F.regexp_count("text", F.lit(r"\b\p{Lu}{2,}\b"))
-    letters = F.regexp_count("text", F.lit(r"(?<!\S)[^\s\p{L}]+(?!\S)"))
-    ellipses = F.regexp_count("text", F.lit(r"(\.\.\.|\u2026)[ \t]*(\n|$)"))
+    capitals = F.regexp_count("text", F.lit("[A-Z]"))
+    letters = F.regexp_count("text", F.lit("\\p{L}"))
+    ellipses = F.regexp_count("text", F.lit("\\.\\.\\.|…"))
     lines = F.size(F.split("text", "\n"))
     return [
         Rule("too_short", n < 20),
@@ -42,8 +42,8 @@ def default_rules() -> list[Rule]:
         Rule("symbols", 10 * F.col("n_symbols") > chars),
         Rule("word_length", (chars > 15 * n) | (chars < 2 * n)),
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 6 * lines),
-        Rule("capitals", 2 * upper > n),
-        Rule("wordless", 2 * letters > n),
+        Rule("capitals", 2 * capitals > chars),
+        Rule("letterless", 5 * letters < 2 * chars),
         Rule("ellipses", 10 * ellipses > 3 * lines),
     ]
 
@@ -121,4 +121,32 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
     found = cascade(docs)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return found.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"), "failed_rule")
+    return found.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
+
+
+SQL = {
+    "op9_quality_rules": """
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM repeated) GROUP BY doc_id
+), m AS (
+  SELECT w.doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, len(string_split(text, chr(10))) AS n_lines
+  FROM w LEFT JOIN covered ON covered.doc_id = w.doc_id
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > word_chars OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR 10 * n_dup_lines > 6 * n_lines
+    OR 2 * len(regexp_extract_all(text, '[A-Z]')) > word_chars OR 5 * len(regexp_extract_all(text, '\\p{L}')) < 2 * word_chars
+    OR 10 * len(regexp_extract_all(text, '\\.\\.\\.|…')) > 3 * n_lines) AS kept
+FROM b
+""",
+}

@@ -76,7 +76,7 @@ def test_rules_count_as_defined(spark):
 
 
 def test_order_of_rules_changes_no_verdict(spark):
-    docs = frame(spark, ["word " * 30, "Some text with *** marks " * 9, " ".join(f"w{i}" for i in range(40)), "short"])
+    docs = frame(spark, ["word " * 30, "Some text with *** marks " * 9, " ".join(f"word{i}" for i in range(40)), "short"])
     a, b = (rules.cascade(docs, rules=r).orderBy("doc_id") for r in (rules.default_rules(), rules.default_rules()[::-1]))
     assert [r.kept for r in a.collect()] == [r.kept for r in b.collect()] == [False, False, True, False]
 
