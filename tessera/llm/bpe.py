@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import read
+from tessera.llm.common import read, small_batches
 
 #: Bytes of text whose new words are replayed together, and distinct words from which on a task begins anew.
-BLOCK_CHARS = 4_000_000
+BLOCK_BYTES = 12_000_000
 CACHE_WORDS = 250_000
 DECODE_ROWS = 500
 
@@ -215,34 +215,34 @@ def encode(docs: DataFrame, *, vocab: str, pattern: str = public_tokenizers.PATT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = Words(worker_vocabulary(vocab)), splitter(pattern)
-        for batch in batches:
-            for block in blocks(batch, at):
-                if len(known.numbers) > CACHE_WORDS:
-                    known = Words(known.vocab)
-                number = known.numbers.__getitem__
-                words = [np.fromiter(map(number, split(v.as_py() or "")), np.int32) for v in block.column(at)]
-                known.learn()
+        held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+        size = 0
+
+        def encoded() -> Iterator[pa.RecordBatch]:
+            known.learn()
+            for batch, words in held:
                 tokens, lengths = known.encoded(np.concatenate(words))
                 of_words = np.concatenate([[0], np.cumsum(lengths)])
                 ends = of_words[np.cumsum([0, *map(len, words)])]
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens))
-                yield pa.RecordBatch.from_arrays([*block.columns, ids], names=[*block.schema.names, out_col])
-
-    schema = T.StructType([*kept.schema, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = known.numbers.__getitem__
+            held.append((batch, [np.fromiter(map(number, split(v.as_py() or "")), np.int32) for v in batch.column(at)]))
+            size += batch.column(at).nbytes
+            if size >= BLOCK_BYTES:
+                yield from encoded()
+                held, size = [], 0
+                if len(known.numbers) > CACHE_WORDS:
+                    known = Words(known.vocab)
+        if held:
+            yield from encoded()
 
-def blocks(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with up to BLOCK_CHARS bytes of text; a longer text stands alone."""
-    sizes = [0 if not v.is_valid else v.as_buffer().size for v in batch.column(at)]
-    start = held = 0
-    for k, n in enumerate(sizes):
-        if held and held + n > BLOCK_CHARS:
-            yield batch.slice(start, k - start)
-            start, held = k, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+    schema = T.StructType([*kept.schema, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    return small_batches(kept).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, *, vocab: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -259,7 +259,7 @@ def decode(tokens: DataFrame, *, vocab: str, ids_col: str = "ids", out_col: str
                 out = pa.array([b"".join([table.get(i, b"") for i in ids]) for ids in lists], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, out_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(out_col, T.BinaryType())]))
+    return small_batches(kept).mapInArrow(run, T.StructType([*kept.schema, T.StructField(out_col, T.BinaryType())]))
 
 
 def digest_columns(df: DataFrame) -> DataFrame:

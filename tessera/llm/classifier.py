@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import materialize, read, small_batches
 
 #: Names of the statistics, in the order in which `statistics()` gives them.
 NAMES = (
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             x = np.array([statistics(v.as_py() or "") for v in batch.column(1)], float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(x)], names=["id", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    return small_batches(docs.select(F.col(id_col).alias("id"), text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
 
 
 def lists(x: np.ndarray) -> pa.Array:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, small_batches
 
 #: Elements whose whole content is no text; elements that start a line; elements and words of class or id that mark what is around the text.
 SILENT = "script|style|noscript|template|iframe|svg|math|title|textarea|select|option|button|object|canvas|audio|video|map"
@@ -167,7 +167,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", out_col: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*names, out_col])
 
     kept = pages.select(*names, F.col(html_col).alias(out_col))
-    return kept.mapInArrow(run, kept.schema)
+    return small_batches(kept).mapInArrow(run, kept.schema)
 
 
 def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import materialize, read, small_batches
 
 #: Where a unit may end. A capital begins a new unit only after SHORT words.
 CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]++|(?<!\s)[^\S\n]++(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
@@ -75,7 +75,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                 ints = [pa.array(np.array(x, np.int32)) for x in (idx, word_at, size, start, stop)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *ints, pa.array(digest, pa.binary())], names=["doc", "idx", "word_at", "words", "start", "stop", "digest"])
 
-    return docs.select("id", "text").mapInArrow(run, SCHEMA)
+    return small_batches(docs.select("id", "text")).mapInArrow(run, SCHEMA)
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

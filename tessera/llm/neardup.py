@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import materialize, read, small_batches
 
 #: Distinct words of which a task keeps the hash.
 CACHE_WORDS = 200_000
@@ -103,7 +103,7 @@ def shingled(docs: DataFrame, p: Near, keep: int | None) -> DataFrame:
                     [batch.column(0).slice(at, 500), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), lists], names=["id", "n", "node", "hashes"]
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node binary, hashes array<long>")
+    return small_batches(docs.select("id", "text")).mapInArrow(run, "id long, n long, node binary, hashes array<long>")
 
 
 def similar_sizes(a: str, b: str, p: Near) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, read
+from tessera.llm.common import materialize, read, small_batches
 
 #: Patterns of the entities, in the order in which they claim text.
 EMAIL = (
@@ -183,7 +183,7 @@ def entities(docs: DataFrame, text_col: str = "text", strict_cards: bool = False
                     count[kind, canonical] = count.get((kind, canonical), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in count], pa.string()), pa.array([c for _, c in count], pa.string()), pa.array(count.values(), pa.int64())], names=["kind", "canonical", "n"])
 
-    return docs.select(text_col).mapInArrow(run, ENTITIES).groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(text_col)).mapInArrow(run, ENTITIES).groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
 
 
 def collided(found: DataFrame, key: bytes, most_draws: int = 32) -> DataFrame:
@@ -224,7 +224,7 @@ def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", strict_
     joined to the documents that hold them. `strict_cards` leaves alone long numbers whose check digit is wrong.
     """
     names = [c for c in docs.columns if c != "n_entities"]
-    kept = docs.select(*names)
+    kept = small_batches(docs.select(*names))
     at = names.index(text_col)
     draws = materialize(collided(materialize(entities(docs, text_col, strict_cards), "pii-entities"), key), "pii-redrawn")
     few = draws.limit(broadcast_rows + 1).count() <= broadcast_rows

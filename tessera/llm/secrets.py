@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, small_batches
 
 #: The kinds in the order in which ties on `start` are listed, and their patterns.
 BASE_KINDS = ("assign", "access", "hex")
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, *, vocab: str, chars_per_token: float = 2.0, i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "secrets"])
 
     picked = docs.select(id_col, text_col)
-    return picked.mapInArrow(scan, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, secrets {SPANS}")
+    return small_batches(picked).mapInArrow(scan, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, secrets {SPANS}")
 
 
 def span_list(spans: Column) -> Column:
