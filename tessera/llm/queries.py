@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_html_main_text": html.op10_html_main_text,
 }
-SQL = {**topk.SQL, **rules.SQL}
+SQL = {**topk.SQL, **neardup.SQL, **rules.SQL}
