@@ -10,7 +10,7 @@ from tessera.functions import budget as bd
 from tessera.functions import parsing
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import search, sessions, tables, traces
+from tessera.operators import ports, search, sessions, tables, traces
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
 
@@ -198,3 +198,17 @@ def path_titles(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(replace(text, chr(10), ' '), 1, 120) || '…' ELSE replace(text, chr(10), ' ') END AS line FROM documents")
 def event_summary_line(spark: SparkSession, d: str) -> DataFrame:
     return ad.read(spark, d, "documents").select("doc_id", tx.one_line(F.col("text")).alias("line"))
+
+
+@query("""SELECT item_id AS query_id, CAST(i - 1 AS INT) AS variant, q[i] AS query FROM (SELECT item_id, q, unnest(range(1, len(q) + 1)) AS i FROM (
+  SELECT item_id, list_filter([text, CASE WHEN a <> text THEN a END, CASE WHEN b <> text AND b <> a THEN b END], lambda x: x IS NOT NULL AND trim(x) <> '') AS q FROM (
+    SELECT item_id, text, array_to_string(list_filter(w, lambda x: length(x) > 4), ' ') AS a, array_to_string(list_sort(list_distinct(w)), ' ') AS b FROM (
+      SELECT item_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark))))""")
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    return ports.variants(ad.text_queries(spark, d), ports.offline_rewritings(F.col("query")))
+
+
+@query("SELECT user_id, event_id, CAST((n - 1) // 256 AS INT) AS batch, CAST((n - 1) % 256 AS INT) AS place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)")
+def reconcile_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Index writes in batches of 256 for each user."""
+    return ports.batches_of(ad.read(spark, d, "events").select("user_id", "event_id"), 256, "user_id", "event_id")

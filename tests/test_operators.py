@@ -214,3 +214,18 @@ def test_nearest_is_exact_and_skips_odd_vectors(spark, metric):
     assert len(found) == 10
     with pytest.raises(ValueError):
         search.nearest(items, queries, metric="l1")
+
+
+def test_ports(spark):
+    from tessera.operators import ports
+
+    df = spark.createDataFrame([(i, None if i == 3 else f"t{i}", "clash") for i in range(600)], "id int, text string, embedding string")
+    sizes = lambda texts: [[float(len(texts)), 0.0] for _ in texts]
+    out = {r.id: r.embedding for r in ports.embedded(df, "text", sizes, 2).collect()}
+    assert out[3] is None and max(v[0] for v in out.values() if v) <= ports.EMBED_BATCH
+    with pytest.raises(Exception, match="expected"):
+        ports.embedded(df, "text", lambda t: [[1.0]] * len(t), 2).collect()
+    scores = ports.rescored(df.where("id < 3"), "text", "embedding", lambda pairs: [len(a) + len(b) for a, b in pairs])
+    assert {r.rerank_score for r in scores.collect()} == {7.0}
+    q = spark.createDataFrame([(1, "alpha be"), (2, " ")], "query_id int, query string")
+    assert [(r.query_id, r.query) for r in ports.variants(q, ports.offline_rewritings(F.col("query"))).orderBy("query_id", "variant").collect()] == [(1, "alpha be"), (1, "alpha"), (2, " ")]
