@@ -109,11 +109,11 @@ def mix(
     small = sources.limit(broadcast_rows + 1).count() <= broadcast_rows
     plan = materialize(plan, "mixing-plan")
     cuts = materialize(last_places(slim, plan, seed, small), "mixing-cuts")
-    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["cut_source"]), "left").select(plan["source"].alias("plan_source"), "epochs", "cut")
+    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["cut_source"]), "left").select(plan["source"].alias("_mix_source"), F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"))
 
     taken = with_plan(docs.select(*names), plan, source_col, small)
-    copies = F.col("epochs") + F.when(place(seed, F.col("epochs"), F.xxhash64(own)) <= F.col("cut"), 1).otherwise(0)
-    taken = taken.withColumn("_n", copies).where("_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    copies = F.col("_mix_epochs") + F.when(place(seed, F.col("_mix_epochs"), F.xxhash64(own)) <= F.col("_mix_cut"), 1).otherwise(0)
+    taken = taken.withColumn("_mix_n", copies).where("_mix_n > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
     return taken.select(*names, "epoch", place(seed, F.col("epoch"), F.xxhash64(own)).alias("place"), default_tokens(text_or_empty(text_col)).alias("n_tokens"))
 
 
@@ -124,7 +124,7 @@ def place(seed: int, epoch: Column, row: Column) -> Column:
 
 def with_plan(rows: DataFrame, plan: DataFrame, source_col: str, small: bool) -> DataFrame:
     side = F.broadcast(plan) if small else plan
-    return rows.join(side, rows[source_col].eqNullSafe(side["plan_source"])).drop("plan_source")
+    return rows.join(side, rows[source_col].eqNullSafe(side["_mix_source"])).drop("_mix_source")
 
 
 def last_places(slim: DataFrame, plan: DataFrame, seed: int, small: bool) -> DataFrame:
@@ -132,7 +132,7 @@ def last_places(slim: DataFrame, plan: DataFrame, seed: int, small: bool) -> Dat
 
     Tokens are summed by block of the permutation; only the block in which the sum reaches the rest is looked at row by row.
     """
-    rows = with_plan(slim, plan.withColumnRenamed("source", "plan_source").where("rest > 0"), "source", small)
+    rows = with_plan(slim, plan.withColumnRenamed("source", "_mix_source").where("rest > 0"), "source", small)
     rows = rows.withColumn("place", place(seed, F.col("epochs"), F.col("row")))
     rows = rows.withColumn("block", F.least(F.floor(F.col("place") / F.lit(2.0**63) * F.col("blocks")).cast("int"), F.col("blocks") - 1))
     sums = rows.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("s"))

@@ -29,13 +29,13 @@ class Rule:
     rejects: Column
 
 
-def default_rules() -> list[Rule]:
+def default_rules(text: str = "text") -> list[Rule]:
     """Limits that ordinary prose of any language stays well clear of."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    capitals = F.regexp_count("text", F.lit("[A-Z]"))
-    letters = F.regexp_count("text", F.lit("\\p{L}"))
-    ellipses = F.regexp_count("text", F.lit("\\.\\.\\.|…"))
-    lines = F.size(F.split("text", "\n"))
+    capitals = F.regexp_count(text, F.lit("[A-Z]"))
+    letters = F.regexp_count(text, F.lit("\\p{L}"))
+    ellipses = F.regexp_count(text, F.lit("\\.\\.\\.|…"))
+    lines = F.size(F.split(text, "\n"))
     return [
         Rule("too_short", n < 20),
         Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
@@ -61,33 +61,33 @@ def windows(words: Column, n: Column) -> Column:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole text; null counts as empty.
 
-    Columns of these names are replaced; all others stay, and repeated rows each give a row.
+    Columns of these names are replaced, as are kept and failed_rule in `cascade`; all others stay, and repeated rows each give a row.
     """
     names = [c for c in docs.columns if c not in MEASURES]
     text = text_or_empty(text_col)
-    out = docs.select(*names, text.alias("_t"), F.array_remove(F.split(text, SPACE), "").alias("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = out.select(*names, "_t", "_w", F.size("_w").alias("_n"), lines.alias("_l"))
-    out = out.select(*names, "_t", "_n", F.char_length(F.array_join("_w", "")).alias("_c"), F.size("_l").alias("_ln"), F.size(F.array_distinct("_l")).alias("_ld"), windows(F.col("_w"), F.col("_n")).alias("_h"))
-    repeated = F.size(F.array_distinct("_h")) < F.size("_h")
+    out = docs.select(*names, text.alias("_rule_t"), F.array_remove(F.split(text, SPACE), "").alias("_rule_w"))
+    lines = F.filter(F.split("_rule_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    out = out.select(*names, "_rule_t", "_rule_w", F.size("_rule_w").alias("_rule_n"), lines.alias("_rule_l"))
+    out = out.select(*names, "_rule_t", "_rule_n", F.char_length(F.array_join("_rule_w", "")).alias("_rule_c"), F.size("_rule_l").alias("_rule_ln"), F.size(F.array_distinct("_rule_l")).alias("_rule_ld"), windows(F.col("_rule_w"), F.col("_rule_n")).alias("_rule_h"))
+    repeated = F.size(F.array_distinct("_rule_h")) < F.size("_rule_h")
     # only texts with a repeated window are sorted: equal hashes then stand side by side
-    ranked = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.select(*names, "_t", "_n", "_c", "_ln", "_ld", F.when(repeated, ranked).alias("_s"))
+    ranked = F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.select(*names, "_rule_t", "_rule_n", "_rule_c", "_rule_ln", "_rule_ld", F.when(repeated, ranked).alias("_rule_s"))
     at = F.transform(
-        F.filter("_s", lambda s, i: F.get("_s", i - 1)["h"].eqNullSafe(s["h"]) | F.get("_s", i + 1)["h"].eqNullSafe(s["h"])),
+        F.filter("_rule_s", lambda s, i: F.get("_rule_s", i - 1)["h"].eqNullSafe(s["h"]) | F.get("_rule_s", i + 1)["h"].eqNullSafe(s["h"])),
         lambda s: s["i"],
     )
-    out = out.select(*names, "_t", "_n", "_c", "_ln", "_ld", F.sort_array(at).alias("_p"))
+    out = out.select(*names, "_rule_t", "_rule_n", "_rule_c", "_rule_ln", "_rule_ld", F.sort_array(at).alias("_rule_p"))
     cover = F.aggregate(
-        F.transform("_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, x: total + x
+        F.transform("_rule_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_rule_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, x: total + x
     )
-    symbols = F.regexp_count("_t", F.lit("[#*$%&|<>]"))
+    symbols = F.regexp_count("_rule_t", F.lit("[#*$%&|<>]"))
     return out.select(
         *names,
-        F.col("_n").cast("long").alias("n_words"),
-        F.col("_c").cast("long").alias("word_chars"),
+        F.col("_rule_n").cast("long").alias("n_words"),
+        F.col("_rule_c").cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
-        (F.col("_ln") - F.col("_ld")).cast("long").alias("n_dup_lines"),
+        (F.col("_rule_ln") - F.col("_rule_ld")).cast("long").alias("n_dup_lines"),
         F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
@@ -109,8 +109,8 @@ def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: in
     Only costs and rejection shares come from the first `sample_rows` rows; every row is judged by every rule up to the
     first that rejects it. A null or empty text has zero counts and fails as too short.
     """
-    rules = default_rules() if rules is None else rules
-    sample = measured(docs.select(F.col(text_col).alias("text")).limit(sample_rows)).withColumn("text", text_or_empty()).cache()
+    rules = default_rules(text_col) if rules is None else rules
+    sample = measured(docs.select(text_or_empty(text_col).alias(text_col)).limit(sample_rows), text_col).cache()
     chain = F.coalesce(*(F.when(r.rejects, F.lit(r.name)) for r in ordered(rules, sample))) if rules else F.lit(None).cast("string")
     sample.unpersist()
     found = measured(docs, text_col)

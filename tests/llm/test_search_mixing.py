@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import mixing, topk
 
 VECTORS = "vec_id long, embedding array<float>, query_id string, score int"
@@ -46,6 +48,7 @@ def test_top_k_of_few_or_none(spark):
 
 
 DOCS = "doc_id long, source string, text string, epoch string, n_tokens string, lang string"
+CLASH = ("cut", "epochs", "blocks", "rest", "tokens", "row", "block", "all")
 
 
 def shares(spark, docs, **options):
@@ -98,3 +101,11 @@ def test_odd_documents_to_mix(spark):
 def test_sources_of_equal_size_stay_whole(spark):
     docs = spark.createDataFrame([(i, f"s{i % 3}", "a b", "", "", "") for i in range(30)], DOCS)
     assert mixing.mix(docs, repetition=1.0).count() == 30
+
+
+def test_clashing_names_pass_through(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "a b", "", "", "") for i in range(30)], DOCS)
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit(name))
+    out = mixing.mix(docs, repetition=1.0)
+    assert out.count() == 30 and {tuple(r[c] for c in CLASH) for r in out.collect()} == {CLASH}

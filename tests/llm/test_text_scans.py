@@ -152,3 +152,10 @@ def test_queries_have_the_contract_columns(spark, sf, column):
     assert QUERIES["op6_secret_scan"](spark, sf).columns[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     assert QUERIES["op7_byte_bpe"](spark, sf).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert QUERIES["op10_html_main_text"](spark, sf).select(F.sum(F.col("n_chars") - F.char_length("text"))).first()[0] == 0
+
+
+def test_rules_with_another_text_column_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, None, "x", "y", "z"), (2, "word " * 3, "x", "y", "z")], "doc_id long, body string, kept string, text string, n string")
+    out = rules.cascade(docs, text_col="body")
+    assert sorted(out.columns) == sorted(["doc_id", "body", "text", "n", *rules.MEASURES, "kept", "failed_rule"])
+    assert [r.failed_rule for r in out.collect()] == ["too_short", "too_short"]
