@@ -293,6 +293,8 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
     smallest = named.groupBy("label").agg(F.min("id").alias("component"))
     named = named.join(smallest, "label").select("node", "component")
     of_class = classes.select("node", "id").join(named, "node", "left").select("node", F.coalesce("component", "id").alias("component"))
+    # as a table of its own, so that Spark can split the rows of a text with very many copies over several tasks of the join
+    of_class = materialize(of_class, "neardup-components")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     found = sets.select("id", "n", F.when(~alone, F.col("node")).alias("node")).join(of_class, "node", "left")
     component = F.coalesce("component", "id")
