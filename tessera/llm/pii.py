@@ -13,6 +13,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,7 +78,8 @@ def detect(text: str, strict_cards: bool) -> list[tuple[int, int, str, str]]:
             title, _, rest = found.partition(" ")
             canonical = f"{_SIGN[title.rstrip('.')]}:{rest}"
         elif kind in ("card", "ssn", "phone", "iban"):
-            canonical = re.sub(r"[^0-9A-Z+]", "", found)
+            # digits of any script count by their value
+            canonical = "".join(str(int(c)) if c.isdecimal() else c for c in found if c.isdecimal() or c == "+" or "A" <= c <= "Z")
             if kind == "card" and strict_cards and not luhn(canonical):
                 continue
         else:
@@ -117,12 +119,16 @@ def cased(new: str, old: str) -> str:
 
 
 def digits_like(found: str, fresh: Iterator[str]) -> str:
-    """`found` with each digit replaced by the next of `fresh`."""
-    return "".join(next(fresh) if c.isdigit() else c for c in found)
+    """`found` with each digit replaced by the next of `fresh`, in its own script; what is left of `fresh` comes last."""
+    return "".join(chr(ord(c) - int(c) + int(next(fresh))) if c.isdecimal() else c for c in found) + "".join(fresh)
 
 
 def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
-    """The replacement of a canonical form, itself in canonical form."""
+    """The replacement of a canonical form, itself in canonical form.
+
+    Later draws come from wider ranges, as a table may hold more entities than a format's own range has values: addresses
+    beyond the private range, social security numbers with any first digit, phone numbers with another country and then with further digits.
+    """
     s = Stream(key, kind, canonical, draw)
     if kind == "email":
         local, domain = canonical.rsplit("@", 1)
@@ -130,17 +136,18 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
         tail = "".join(chr(97 + s.below(26)) for _ in range(max(0, 8 - len(local))))
         return f"{swap}{tail}@{'xyz'[s.below(3)]}{s.below(1000)}.example.{('com', 'net', 'org')[s.below(3)]}"
     if kind == "ip":
-        return f"10.{s.below(256)}.{s.below(256)}.{1 + s.below(254)}"
+        low, high = ((10, 11), (240, 256), (1, 256))[min(draw // 4, 2)]
+        return f"{low + s.below(high - low)}.{s.below(256)}.{s.below(256)}.{1 + s.below(254)}"
     if kind == "card":
         body = canonical[0] + "".join(str(s.below(10)) for _ in canonical[1:-1])
         check = next(str(d) for d in range(10) if luhn(body + str(d)))
         return body + (check if luhn(canonical) else str((int(check) + 1 + s.below(9)) % 10))
     if kind == "ssn":
-        return f"9{s.below(100):02d}{10 + s.below(90)}{s.below(10000):04d}"
+        return f"{9 if draw < 4 else s.below(10)}{s.below(100):02d}{10 + s.below(90)}{s.below(10000):04d}"
     if kind == "phone":
         plus, body = canonical.startswith("+"), canonical.lstrip("+")
-        head = plus + (body[0] not in "17") if plus else 0  # the country stays
-        return "+" * plus + body[:head] + "".join(str(s.below(10)) for _ in body[head:])
+        head = plus + (body[0] not in "17") if plus and draw < 8 else 0  # the country stays
+        return "+" * plus + body[:head] + "".join(str(s.below(10)) for _ in range(len(body) - head + max(0, draw // 4 - 3)))
     if kind == "iban":
         return canonical[:2] + "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in canonical[2:])
     gender, _, name = canonical.partition(":")
@@ -190,6 +197,7 @@ def collided(found: DataFrame, key: bytes, most_draws: int = 32) -> DataFrame:
     """kind, canonical, draw of the entities whose first replacement is not theirs alone.
 
     Of entities that share a replacement the smallest canonical form keeps it, unless it is a real entity; the others draw again.
+    If `most_draws` draws leave entities that share a replacement, it warns and they keep their last one.
     """
 
     def draw_column(frame: DataFrame) -> DataFrame:
@@ -213,6 +221,8 @@ def collided(found: DataFrame, key: bytes, most_draws: int = 32) -> DataFrame:
             break
         rest = held.join(again.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
         held = materialize(rest.unionByName(draw_column(again.withColumn("draw", F.col("draw") + 1))), "pii-draws")
+    else:
+        warnings.warn(f"replacements still collide after {most_draws} draws", stacklevel=2)
     return held.where("draw > 0").select("kind", "canonical", "draw")
 
 

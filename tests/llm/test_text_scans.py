@@ -118,6 +118,24 @@ def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     assert pii.collided(spark.createDataFrame(ips, "kind string, canonical string"), KEY, most_draws=3).count() > 0
 
 
+def test_pii_digits_of_any_script(spark):
+    texts = ["call +٣٣ ٣٣ ٣٣ ٣٣ now", "id ١٢٣-٤٥-٦٧٨٩.", "card ４４４４ ４４４４ ４４４４ ４４４４!", "call +33 33 33 33 now"]
+    out = [r.text for r in pii.pseudonymize(frame(spark, texts), key=KEY).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"call \+٣٣( [٠-٩]{2}){3} now", out[0]) and out[0] != texts[0]
+    assert re.fullmatch(r"id [٠-٩]{3}-[٠-٩]{2}-[٠-٩]{4}\.", out[1]) and out[1] != texts[1]
+    assert re.fullmatch(r"card ４[０-９]{3}( [０-９]{4}){3}!", out[2])
+    assert out[3] == "".join(str(int(c)) if c.isdecimal() else c for c in out[0])  # one number in two scripts
+
+
+def test_pii_of_a_format_without_free_values(spark):
+    """All phone numbers of a short format are taken: their replacements get further digits, and stay distinct."""
+    rows = [("phone", f"+1{i:02d}") for i in range(100)]
+    found = spark.createDataFrame(rows, "kind string, canonical string")
+    redrawn = {(r.kind, r.canonical): r.draw for r in pii.collided(found, KEY).collect()}
+    final = [pii.surrogate(k, c, KEY, redrawn.get((k, c), 0)) for k, c in rows]
+    assert len(set(final)) == len(rows) and not set(final) & {c for _, c in rows}
+
+
 def test_pii_with_many_redrawn_entities_joins(spark):
     docs = frame(spark, [f"mail a{i}@b.com and call 212-555-{1000 + i}" for i in range(30)])
     a = pii.pseudonymize(docs, key=KEY).orderBy("doc_id").collect()
