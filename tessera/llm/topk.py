@@ -121,7 +121,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 5, lists: int = 2,
     bound = both.mapInPandas(bounds, "query_id long, id long, bound long")
     # an id that stands in several rows counts once, by its best bound
     bound = bound.groupBy("query_id", "id").agg(F.max("bound").alias("bound"))
-    cutoff = bound.groupBy("query_id").agg(F.sort_array(F.collect_list("bound"), asc=False).alias("b")).select("query_id", F.get("b", F.lit(k - 1)).alias("cutoff"))
+    # Spark keeps k rows of a query in each partition before the shuffle, however many blocks report
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound")))
+    cutoff = bound.withColumn("place", place).where(F.col("place") == k).select("query_id", F.col("bound").alias("cutoff"))
     # a query with fewer than k bounded candidates has no cutoff and collects everything
     cut_blocks = (
         q.select("q_block", F.posexplode(_longs("q_ids")).alias("pos", "query_id"))
