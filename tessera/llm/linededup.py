@@ -23,7 +23,7 @@ from tessera.llm.common import materialize, read, small_batches
 #: Where a unit may end. A capital begins a new unit only after SHORT words.
 CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]++|(?<!\s)[^\S\n]++(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
 SENTENCE_ENDS = ".!?…"
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+EDGES = re.compile(r"^[\W_]+|(?<![\W_])[\W_]++$")
 SHORT = 3
 
 SCHEMA = "doc long, idx int, word_at int, words int, start int, stop int, digest binary"
@@ -31,14 +31,16 @@ SCHEMA = "doc long, idx int, word_at int, words int, start int, stop int, digest
 
 def units_of(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the units of a text."""
-    start = 0
+    start = counted = spaces = 0
     for m in CUT.finditer(text):
         at = m.start()
-        if text[at] != "\n" and (at == 0 or text[at - 1] not in SENTENCE_ENDS) and text.count(" ", start, at) < SHORT - 1:
+        spaces, counted = spaces + text.count(" ", counted, at), at
+        if text[at] != "\n" and (at == 0 or text[at - 1] not in SENTENCE_ENDS) and spaces < SHORT - 1:
             continue
         if at > start:
             yield start, at
-        start = m.end()
+        start = counted = m.end()
+        spaces = 0
     if start < len(text):
         yield start, len(text)
 

@@ -47,6 +47,12 @@ def test_passages_match_brute_force(spark):
     assert linededup.repeated_passages(frame(spark, rows).where("false")).count() == 0
 
 
+def test_long_runs_take_linear_time():
+    assert linededup.normal("a" + "-" * 200_000 + "b --x--") == ["a" + "-" * 200_000 + "b", "x"]
+    text = "A\t" * 300_000
+    assert list(linededup.units_of(text)) == [(0, len(text))]
+
+
 def test_passage_within_a_line_is_found_and_cut(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
