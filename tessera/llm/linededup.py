@@ -4,6 +4,10 @@ Lines are cut into units at sentence ends and before capitals, places that depen
 put into another text, wherever, therefore gives the same units there, but for its first and last. Units are normalised and
 hashed, digests are grouped over all documents, and the occurrence in the first document keeps its text. Runs of other
 occurrences that are long enough are passages to remove, known by their offsets in the original text.
+
+A passage that begins and ends in mid-sentence may hold few whole units. Runs of GRAM words are therefore hashed too; of any WINDOW
+neighbours the one with the smallest hash is kept, so equal texts of GRAM + WINDOW - 1 words have one in common. The outermost
+ones of a run are compared word by word with their first occurrence, as far as the words are equal.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]++|(?<!\s)[^\S\n]++(?=[A-ZÀ-ÖØ-ÞΑ
 SENTENCE_ENDS = ".!?…"
 EDGES = re.compile(r"^[\W_]+|(?<![\W_])[\W_]++$")
 SHORT = 3
+#: Words of a gram; grams of which one is kept. GRAM >= WINDOW: the kept ones of a repeated run leave no gap.
+GRAM, WINDOW = 16, 15
+TOKEN = re.compile(r"\S+")
+FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 SCHEMA = "doc long, idx int, word_at int, words int, start int, stop int, digest binary"
 
@@ -51,20 +59,80 @@ def normal(unit: str) -> list[str]:
     return [x for w in words if (x := w if w.isalnum() else EDGES.sub("", w))]
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
-    """A row for each unit with a word: its document, number, place in words and characters, and digest. `docs` has id and text."""
+class WordHashes(dict):
+    """64-bit hashes of words, kept for as many words as fit."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+        return found
+
+
+def powers(factor: int, n: int) -> np.ndarray:
+    """factor**0 .. factor**(n - 1) modulo 2**64."""
+    out = np.full(n, factor, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def slide(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """The smallest or largest of each n neighbours."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        values, size = best(values[:-step], values[step:]), size + step
+    return values
+
+
+def grams_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 128-bit hashes (two columns) of the grams that are kept; none of texts too short for a whole window."""
+    n = len(hashes) - GRAM + 1
+    if n < WINDOW:
+        return np.empty(0, np.int32), np.empty((0, 2), np.uint64)
+    columns = []
+    for factor in FACTORS:
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(factor, len(hashes)), dtype=np.uint64)])
+        h = (total[GRAM:] - total[:-GRAM]) * powers(pow(factor, -1, 1 << 64), n)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(FACTORS[1])
+        columns.append(h ^ (h >> np.uint64(29)))
+    least = slide(columns[0], WINDOW, np.minimum)
+    edge = np.zeros(WINDOW - 1, np.uint64)
+    places = np.flatnonzero(slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == columns[0])
+    return places.astype(np.int32), np.stack([c[places] for c in columns], axis=1)
+
+
+def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
+    """A row for each unit with a word: its document, number, place in words and characters, and digest. `docs` has id and text.
+
+    With `grams` a row for each kept gram too: idx is its place in words, start and stop are null.
+    """
+    hash_of = WordHashes()
+
+    def gram_batch(held: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+        places = np.concatenate([p for _, p, _ in held])
+        n = len(places)
+        doc = np.repeat(np.array([i for i, _, _ in held], np.int64), [len(p) for _, p, _ in held])
+        digest = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, np.int32)), pa.py_buffer(np.concatenate([h for _, _, h in held]).tobytes())])
+        none = pa.nulls(n, pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(places), pa.array(places), pa.array(np.full(n, GRAM, np.int32)), none, none, digest], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 doc, idx, word_at, size, start, stop, digest = [], [], [], [], [], [], []
+                held = []
                 for i, v in zip(batch.column(0).slice(at, 1000).to_pylist(), batch.column(1).slice(at, 1000).to_pylist()):
                     if i is None or not v:
                         continue
                     n = seen = 0
+                    hashes: list[int] = []
                     for a, b in units_of(v):
                         words = normal(v[a:b])
                         if words:
+                            if grams:
+                                hashes += map(hash_of.__getitem__, words)
                             doc.append(i)
                             idx.append(n)
                             word_at.append(seen)
@@ -74,34 +142,119 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                             digest.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
                             n += 1
                             seen += len(words)
+                    if len(hashes) >= GRAM + WINDOW - 1:
+                        held.append((i, *grams_of(np.array(hashes, np.uint64))))
                 ints = [pa.array(np.array(x, np.int32)) for x in (idx, word_at, size, start, stop)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *ints, pa.array(digest, pa.binary())], names=["doc", "idx", "word_at", "words", "start", "stop", "digest"])
+                if held:
+                    yield gram_batch(held, ["doc", "idx", "word_at", "words", "start", "stop", "digest"])
 
     return small_batches(docs.select("id", "text")).mapInArrow(run, SCHEMA)
 
 
-def repeated_passages(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, pos, side, hashes, bounds: the WINDOW - 1 words before (side 0) or after (side 1) a place between the words of a text.
+
+    They are listed away from the place. bounds has one entry more: where the text begins or ends that takes 0, 1, ... of them in.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = WordHashes()
+        for batch in batches:
+            out: list[tuple[int, int, int, list[int], list[int]]] = []
+            for i, text, places in zip(*(c.to_pylist() for c in batch.columns)):
+                words, spans = [], []
+                for m in TOKEN.finditer(text):
+                    found = normal(m[0])
+                    if found:
+                        words.append(found[0])
+                        spans.append(m.span())
+                for p in places:
+                    pos, side = p["pos"], p["side"]
+                    edge = pos - 1 if side else pos
+                    if not 0 <= edge < len(words):
+                        continue  # one id with several texts: the place is in another one
+                    near = range(pos, min(pos + WINDOW - 1, len(words))) if side else range(pos - 1, max(pos - WINDOW, -1), -1)
+                    out.append((i, pos, side, [hash_of[words[k]] - (1 << 63) for k in near], [spans[k][side] for k in (edge, *near)]))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "pos", "side", "hashes", "bounds"])
+
+    places = wanted.distinct().groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("places"))
+    found = small_batches(docs.join(places, "id").select("id", "text", "places")).mapInArrow(run, "id long, pos int, side int, hashes array<long>, bounds array<int>")
+    return found.groupBy("id", "pos", "side").agg(F.max(F.struct("hashes", "bounds")).alias("c")).select("id", "pos", "side", "c.hashes", "c.bounds")
+
+
+def islands(pieces: DataFrame) -> DataFrame:
+    """`pieces` (doc, a, b: words from a up to b) with `island`, the same number for those that touch or overlap."""
+    w = W.partitionBy("doc").orderBy("a", F.desc("b"))
+    before = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    return pieces.withColumn("_new", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+
+
+def extended(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The islands (with gram_l, gram_r: their outermost grams), widened as far as the words beside these grams equal those beside their first occurrence."""
+    found = materialize(found, "passages-islands")
+    sides = []
+    for side, gram, shift in ((0, "gram_l", 0), (1, "gram_r", GRAM)):
+        g = F.col(gram)
+        sides.append(found.where(g.isNotNull()).select("doc", "island", F.lit(side).alias("side"), (g["a"] + shift).alias("pos"), g["fdoc"].alias("fdoc"), (g["fpos"] + shift).alias("fpos")))
+    both = sides[0].unionByName(sides[1])
+    wanted = both.select(F.col("doc").alias("id"), "pos", "side").unionByName(both.select(F.col("fdoc").alias("id"), F.col("fpos").alias("pos"), "side"))
+    near = materialize(contexts(docs, wanted), "passages-contexts")
+    own = near.select(F.col("id").alias("doc"), "pos", "side", F.col("hashes").alias("mine"), "bounds")
+    there = near.select(F.col("id").alias("fdoc"), F.col("pos").alias("fpos"), "side", F.col("hashes").alias("theirs"))
+    # the number of equal words: up to the first place where they differ or one of the texts ends
+    same = F.zip_with("mine", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    differ = F.array_position(same, False)
+    n = F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int")
+    grown = both.join(own, ["doc", "pos", "side"]).join(there, ["fdoc", "fpos", "side"]).withColumn("n", n)
+    grown = grown.withColumn("edge", F.get("bounds", F.col("n"))).groupBy("doc", "island").agg(
+        F.min(F.when(F.col("side") == 0, F.col("pos") - F.col("n"))).alias("_a"),
+        F.max(F.when(F.col("side") == 1, F.col("pos") + F.col("n"))).alias("_b"),
+        F.min(F.when(F.col("side") == 0, F.col("edge"))).alias("_start"),
+        F.max(F.when(F.col("side") == 1, F.col("edge"))).alias("_stop"),
+    )
+    pick = lambda best, a, b: best(F.coalesce(a, b), F.coalesce(b, a)).alias(a)
+    return found.join(grown, ["doc", "island"], "left").select(
+        "doc", pick(F.least, "a", "_a"), pick(F.greatest, "b", "_b"), pick(F.least, "start", "_start"), pick(F.greatest, "stop", "_stop"), "lo", "hi", "first"
+    )
+
+
+def repeated_passages(docs: DataFrame, *, min_words: int = 30, verbatim: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, span_start, span_end, n_words, n_units, first_doc_id: the passages to remove, with offsets in code points, end exclusive.
 
     A passage is a run of at least `min_words` words of units that stand in a document with a smaller id, or earlier in the same one.
-    first_doc_id: the smallest of the documents that keep its units. Rows with equal id and text count as one document. Rows without id take no
-    part; null and empty texts have no units. Other columns are not read.
+    With `verbatim` words of repeated grams and the equal words around them count as well, wherever units begin and end; n_units counts
+    from the first whole repeated unit to the last and is 0 if there is none. first_doc_id: the smallest of the documents that keep its units.
+    Rows with equal id and text count as one document. Rows without id take no part; null and empty texts have no units. Other columns are not read.
     """
-    units = unit_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    units = unit_rows(docs, verbatim)
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "idx")).alias("f"), F.max(F.struct("doc", "idx")).alias("l")).where("f <> l").select("digest", "f")
     # as a table of its own, so that Spark can split the units of a very common digest over several tasks of the join
     first = materialize(first, "passages-first")
-    again = units.join(first, "digest").where((F.col("doc") != F.col("f.doc")) | (F.col("idx") != F.col("f.idx"))).select("doc", "idx", "word_at", "words", "start", "stop", F.col("f.doc").alias("first"))
-    island = F.col("idx") - F.dense_rank().over(W.partitionBy("doc").orderBy("idx"))
-    runs = again.withColumn("island", island).groupBy("doc", "island")
-    found = runs.agg(
-        F.min("start").alias("span_start"),
-        F.max("stop").alias("span_end"),
-        (F.max(F.col("word_at") + F.col("words")) - F.min("word_at")).cast("long").alias("n_words"),
-        (F.max("idx") - F.min("idx") + 1).cast("long").alias("n_units"),
-        F.min("first").alias("first_doc_id"),
+    again = units.join(first, "digest").where((F.col("doc") != F.col("f.doc")) | (F.col("idx") != F.col("f.idx")))
+    pieces = again.select("doc", F.col("word_at").alias("a"), (F.col("word_at") + F.col("words")).alias("b"), "start", "stop", F.col("f.doc").alias("first"), F.when(F.col("start").isNull(), F.col("f.idx")).alias("fpos"), F.when(F.col("start").isNotNull(), F.col("idx")).alias("unit"))
+    gram = F.when(F.col("fpos").isNotNull(), F.struct("a", F.col("first").alias("fdoc"), "fpos"))
+    found = islands(pieces).groupBy("doc", "island").agg(
+        F.min("a").alias("a"),
+        F.max("b").alias("b"),
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        F.min("unit").alias("lo"),
+        F.max("unit").alias("hi"),
+        F.min("first").alias("first"),
+        F.min(gram).alias("gram_l"),
+        F.max(gram).alias("gram_r"),
+    )
+    if verbatim:
+        found = extended(found.where(F.col("b") - F.col("a") >= min(GRAM, min_words)), docs.where("id IS NOT NULL AND text IS NOT NULL"))
+        found = islands(found).groupBy("doc", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"))
+    n_words = (F.col("b") - F.col("a")).cast("long")
+    return found.where(n_words >= min_words).select(
+        F.col("doc").alias(id_col), F.col("start").alias("span_start"), F.col("stop").alias("span_end"), n_words.alias("n_words"), F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0)).cast("long").alias("n_units"), F.col("first").alias("first_doc_id")
     )
-    return found.where(F.col("n_words") >= min_words).select(F.col("doc").alias(id_col), "span_start", "span_end", "n_words", "n_units", "first_doc_id")
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,4 +281,4 @@ def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(read(spark, sf_dir, "documents"))
+    return repeated_passages(read(spark, sf_dir, "documents"), verbatim=True)

@@ -83,3 +83,26 @@ def test_cutting_keeps_nulls_and_columns(spark):
     assert out.columns == ["doc_id", "text", "first", "removed"]
     assert sorted((r.text or "", len(r.removed)) for r in out.collect()) == [("", 0), ("abc", 0), ("z", 0)]
     assert linededup.without_passages(docs.where(F.lit(False)), none).count() == 0
+
+
+def test_passages_from_mid_sentence_are_found(spark):
+    """51 to 60 words that begin and end in mid-sentence, of sentences too long for whole ones to make up 30 words."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for k in range(10):
+        n = 51 + k
+        words = text(n).split()
+        words[20], words[44] = words[20] + ".", words[44] + "."  # one whole sentence, of 24 words
+        passage = " ".join(words)
+        for i in (2 * k, 2 * k + 1):
+            head = f"{text(30 + i)}. {text(7)} "
+            rows.append((i, head + passage + f" {text(9)}. {text(25)}."))
+            planted[i] = (len(head), len(head) + len(passage), n)
+    docs = frame(spark, [*rows, (None, rows[0][1]), rows[1], (50, None), (51, "")])
+    assert linededup.repeated_passages(docs).count() == 0
+    found = {r.doc_id: r for r in linededup.repeated_passages(docs, verbatim=True).collect()}
+    assert set(found) == set(range(1, 20, 2))
+    for i, r in found.items():
+        assert (r.span_start, r.span_end, r.n_words) == planted[i] and r.first_doc_id == i - 1
