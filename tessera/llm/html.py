@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read, small_batches
 
 #: Elements whose whole content is no text; elements that start a line; elements and words of class or id that mark what is around the text.
-SILENT = "script|style|noscript|template|iframe|svg|math|title|textarea|select|option|button|object|canvas|audio|video|map"
+RAW = frozenset("script style title textarea".split())
+SILENT = RAW | frozenset("noscript template iframe svg math select option button object canvas audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,9 +37,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""",
     re.S | re.I,
 )
+EDGE = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*+>", re.I) for t in SILENT}
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"[a-z0-9]+")
 #: Lines of a window; the sum over which a window surges.
@@ -68,6 +70,30 @@ class Line:
         return " ".join(unescape("".join(self.pieces)).split())
 
 
+class Silence:
+    """Where the silent elements of a page end."""
+
+    def __init__(self, html: str):
+        self.html, self.ends = html, {}
+
+    def end(self, tag: str, m: re.Match[str]) -> int:
+        """The end of the element whose start tag is `m`; of an element without an end tag only the tag is silent, but for RAW ones."""
+        if tag in RAW:
+            found = next((e for e in EDGE[tag].finditer(self.html, m.end()) if e[1]), None)
+            return found.end() if found else len(self.html)
+        if tag in ("svg", "math") and m[0].endswith("/>"):
+            return m.end()
+        if tag not in self.ends:
+            opened, ends = [], {}
+            for e in EDGE[tag].finditer(self.html):
+                if not e[1] and not (tag in ("svg", "math") and e[0].endswith("/>")):
+                    opened.append(e.start())
+                elif e[1] and opened:
+                    ends[opened.pop()] = e.end()
+            self.ends[tag] = ends
+        return max(self.ends[tag].get(m.start(), 0), m.end())
+
+
 def lines_of(html: str) -> list[Line]:
     """The page's lines; article: the number of the outermost article or main element around it, 0 if none."""
     stack: list[tuple[str, bool, int]] = []
@@ -80,23 +106,27 @@ def lines_of(html: str) -> list[Line]:
         else:
             out[-1] = line
 
-    for m in TOKEN.finditer(html):
+    silence = Silence(html)
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
             out[-1].pieces.append(piece)
             if in_link:
                 out[-1].linked += len(piece.strip())
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+        tag = (m[2] or m[4] or "").lower()
+        if tag in SILENT and not m[1]:
+            at = silence.end(tag, m)
+            continue
+        if not m[2]:
             continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not m[1]
             continue
         if tag == "br":
             out[-1].pieces.append(" ")
             continue
-        closing = bool(m[2])
+        closing = bool(m[1])
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -106,7 +136,7 @@ def lines_of(html: str) -> list[Line]:
             if tag in BLOCKS and stack and stack[-1][0] == "p":
                 stack.pop()
             above, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            around = above or marked(tag, m[4])
+            around = above or marked(tag, m[3])
             if tag in HEADINGS and article and stack[-1][0] == "header" and not (stack[-2][1] if len(stack) > 1 else False):
                 around = False  # the heading of an article stands in the article's own header
             if tag in ("article", "main") and not article:

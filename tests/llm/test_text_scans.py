@@ -177,3 +177,10 @@ def test_rules_with_another_text_column_and_clashing_names(spark):
     out = rules.cascade(docs, text_col="body")
     assert sorted(out.columns) == sorted(["doc_id", "body", "text", "n", *rules.MEASURES, "kept", "failed_rule"])
     assert [r.failed_rule for r in out.collect()] == ["too_short", "too_short"]
+
+
+@pytest.mark.parametrize("odd", ["<video-js id=v></video-js>", "<button-group>", "<svg class=i/>", "<math />", "<button>", "<video src=x>", "<map_view>", "<button><button>no</button>", "<svg><svg>no</svg>no</svg>", "<script>'<p>no'</script >"])
+def test_html_silent_elements_end_where_they_end(odd):
+    assert html.main_text(f"<article><p>one</p>{odd}<p>rest of it</p></article>") == "one\n\nrest of it"
+    assert html.main_text("<article><p>one</p><script>" + "no <p>no</p>") == "one"
+    assert html.main_text("<article><p>one</p>" + "<option>" * 50_000 + "<p>end</p>") == "one\n\nend"
