@@ -2,8 +2,11 @@
 
 Markup is stripped into lines, one for each block element. A line counts with the length of its text outside links, and
 with nothing in menus, headers, footers, side columns, notices, adverts, forms and comments, or outside a page's
-article element if it has one. The counts are summed over sliding windows of lines; where the sum surges over a threshold text
+article elements if it has some. The counts are summed over sliding windows of lines; where the sum surges over a threshold text
 begins, where it dives to zero text ends, and what counts between the two points is kept.
+
+Class names and roles often stand on wrappers of the whole page too (with-sidebar, has-header). A mark therefore does not hold for an element
+with most of the page's text, and one of LOUD only if there is other text.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ MARKS = frozenset(
     "popup modal overlay widget toolbar pagination pager login search skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+WRAPPERS = frozenset("form header head search banner".split())
+#: Marks of what is beside the text even where there is much of it; words that begin a class name of an article that is not the page's own.
+LOUD = MARKS - frozenset("sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead share sharing social widget toolbar pagination pager login signup search skip".split())
+TEASERS = frozenset("comment reply teaser card related promo ad advert sponsored recommended".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
@@ -47,24 +54,37 @@ WORD = re.compile(r"[a-z0-9]+")
 WINDOW, SURGE = 3, 86
 
 
-def marked(tag: str, attributes: str) -> bool:
+#: Kinds of marks: of layout, which wrappers of the text carry as well; of what is beside the text; by an element's name.
+LAYOUT, BESIDE, NAMED = 1, 2, 3
+
+
+def marked(tag: str, attributes: str) -> int:
+    """The kind of an element's mark, 0 if it has none."""
     if tag in AROUND:
-        return True
-    if not attributes or tag in NEVER:
-        return False
+        return LAYOUT if tag in WRAPPERS else NAMED
+    if not attributes or tag in NEVER and tag != "article":
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "role" and value in ROLES or name in ("class", "id") and not MARKS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+        if tag == "article":
+            if name == "class" and not TEASERS.isdisjoint(w.partition("-")[0].partition("_")[0] for w in value.split()):
+                return BESIDE
+        elif name == "role" and value in ROLES:
+            found = max(found, LAYOUT if value in WRAPPERS else BESIDE)
+        elif name in ("class", "id"):
+            words = MARKS.intersection(WORD.findall(value))
+            if words:
+                found = max(found, LAYOUT if LOUD.isdisjoint(words) else BESIDE)
+    return found
 
 
 class Line:
-    __slots__ = ("pieces", "linked", "around", "article")
+    __slots__ = ("pieces", "linked", "mark", "article")
 
-    def __init__(self, around: bool, article: int):
+    def __init__(self, mark: int, article: int):
         self.pieces: list[str] = []
-        self.linked, self.around, self.article = 0, around, article
+        self.linked, self.mark, self.article = 0, mark, article
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.pieces)).split())
@@ -94,11 +114,14 @@ class Silence:
         return max(self.ends[tag].get(m.start(), 0), m.end())
 
 
-def lines_of(html: str) -> list[Line]:
-    """The page's lines; article: the number of the outermost article or main element around it, 0 if none."""
-    stack: list[tuple[str, bool, int]] = []
-    out = [Line(False, 0)]
-    state, in_link, articles, at = (False, 0), False, 0, 0
+def lines_of(html: str) -> tuple[list[Line], list[tuple[int, int]]]:
+    """The page's lines, and its marked elements: the marked element around each and the kind of its mark; number 0 is the page.
+
+    mark: the innermost marked element around a line; article: the number of the outermost article or main element around it, 0 if none.
+    """
+    stack: list[tuple[str, int, int]] = []
+    out, marks = [Line(0, 0)], [(0, 0)]
+    in_link, articles, at = False, 0, 0
 
     def start(line: Line) -> None:
         if out[-1].pieces:
@@ -135,38 +158,71 @@ def lines_of(html: str) -> list[Line]:
         elif tag not in VOID:
             if tag in BLOCKS and stack and stack[-1][0] == "p":
                 stack.pop()
-            above, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            around = above or marked(tag, m[3])
-            if tag in HEADINGS and article and stack[-1][0] == "header" and not (stack[-2][1] if len(stack) > 1 else False):
-                around = False  # the heading of an article stands in the article's own header
-            if tag in ("article", "main") and not article:
+            above, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+            mark, kind = above, marked(tag, m[3])
+            if tag in HEADINGS and article and stack[-1][0] == "header":
+                mark = stack[-2][1] if len(stack) > 1 else 0  # the heading of an article stands in the article's own header
+            if kind:
+                marks.append((mark, kind))
+                mark = len(marks) - 1
+            if tag in ("article", "main") and not article and not kind:
                 articles += 1
                 article = articles
-            if tag in BLOCKS or around != above:
-                stack.append((tag, around, article))
-        if tag in BLOCKS or (stack[-1][1] if stack else False) != out[-1].around:
-            around, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            start(Line(around, article))
+            if tag in BLOCKS or mark != above:
+                stack.append((tag, mark, article))
+        mark, article = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
+        if tag in BLOCKS or mark != out[-1].mark:
+            start(Line(mark, article))
             in_link = in_link and tag not in BLOCKS
     if at < len(html):
         out[-1].pieces.append(html[at:])
+    return out, marks
+
+
+def around(held: list[int], marks: list[tuple[int, int]], beside: int, named: bool) -> list[bool]:
+    """For each marked element whether text in it is left out: its mark or one around it holds.
+
+    held: the weight of the lines whose innermost marked element it is; beside: above 0 if most of the page's text has no weight;
+    named: whether a mark by an element's name may be overruled.
+    """
+    inner = held[:]
+    for k in range(len(marks) - 1, 0, -1):
+        inner[marks[k][0]] += inner[k]
+    total, out = inner[0], [False]
+    for k in range(1, len(marks)):
+        parent, kind = marks[k]
+        if kind == LAYOUT:
+            holds = 2 * inner[k] <= total
+        else:
+            holds = inner[k] < total or not total or beside > 0 or kind == NAMED and not named
+        out.append(out[parent] or holds)
     return out
 
 
 def main_text(html: str) -> str:
-    lines = [(x, x.text()) for x in lines_of(html)]
-    lines = [(x, t) for x, t in lines if t]
-    by_article: dict[int, int] = {}
+    found, marks = lines_of(html)
+    lines = [(x, t) for x in found if (t := x.text())]
+    free = [0 if 2 * x.linked > len(t) else len(t) - x.linked for x, t in lines]
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
     for x, t in lines:
-        if x.article and not x.around:
-            by_article[x.article] = by_article.get(x.article, 0) + len(t)
-    if by_article:
-        chosen = max(by_article, key=lambda k: (by_article[k], -k))
-        counts = [0 if x.around or x.article != chosen else len(t) for x, t in lines]
-    else:
-        counts = [0 if x.around or 2 * x.linked > len(t) else len(t) - x.linked for x, t in lines]
+        size[x.article] = size.get(x.article, 0) + len(t)
+        linked[x.article] = linked.get(x.article, 0) + x.linked
+    # articles of links are teasers, unless there are no others
+    articles = {k for k in size if k and 2 * linked[k] <= size[k]} or size.keys() - {0}
+    counts: list[int] = []
+    for known in (True, False) if articles else (False,):
+        weight = [len(t) if x.article in articles else 0 for x, t in lines] if known else free
+        held = [0] * len(marks)
+        for (x, _), w in zip(lines, weight):
+            held[x.mark] += w
+        inside = sum(f for f, w in zip(free, weight) if w)
+        out = around(held, marks, max(0, sum(free) - 2 * inside) if known else 0, known)
+        counts = [0 if out[x.mark] else w for (x, _), w in zip(lines, weight)]
+        if any(counts):
+            break
     sums = [sum(counts[k : k + WINDOW]) for k in range(len(counts))]
-    surge = 0 if by_article else min(SURGE, max(sums, default=0) / 2)
+    surge = 0 if known else min(SURGE, max(sums, default=0) / 2)
     spans, k = [], 0
     while k < len(sums):
         if counts[k] and sums[k] > surge:
@@ -177,9 +233,6 @@ def main_text(html: str) -> str:
             k = end
         else:
             k += 1
-    weight = [sum(counts[a:b]) for a, b in spans]
-    if not by_article:
-        spans = [s for s, w in zip(spans, weight) if 4 * w >= max(weight)]
     return "\n\n".join(lines[k][1] for a, b in spans for k in range(a, b) if counts[k])
 
 

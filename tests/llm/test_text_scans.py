@@ -184,3 +184,21 @@ def test_html_silent_elements_end_where_they_end(odd):
     assert html.main_text(f"<article><p>one</p>{odd}<p>rest of it</p></article>") == "one\n\nrest of it"
     assert html.main_text("<article><p>one</p><script>" + "no <p>no</p>") == "one"
     assert html.main_text("<article><p>one</p>" + "<option>" * 50_000 + "<p>end</p>") == "one\n\nend"
+
+
+TEXT = "This is a sentence of the main text, long enough to count for itself and more. "
+
+
+@pytest.mark.parametrize("wrapper", ["div class=with-sidebar", "div class=has-header", "div class='page no-sidebar'", "div class=layout-menu", "section id=login", "section id=search", "form action=x", "div class=has-comments"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_marks_do_not_hold_for_wrappers(wrapper, inner):
+    page = f"<{wrapper}><nav><a href=a>Home</a> and more</nav><{inner}><p>{TEXT}</p><p>{TEXT * 2}</p></{inner}><div class=sidebar>Beside it</div></{wrapper.split()[0]}>"
+    assert html.main_text(page) == f"{TEXT.strip()}\n\n{(TEXT * 2).strip()}"
+
+
+def test_html_keeps_all_articles_and_all_spans():
+    page = f"<article><p>One. {TEXT}</p></article><article class='post'><p>Two.</p></article><article class='teaser-small'>{TEXT}</article><article><a href=x>Read on here</a></article>"
+    assert html.main_text(page) == f"One. {TEXT.strip()}\n\nTwo."
+    adverts = "<div class=advert>Buy</div>" * 3
+    page = f"<p>{TEXT * 9}</p>{adverts}<p>End. {TEXT * 2}</p>"
+    assert html.main_text(page) == f"{(TEXT * 9).strip()}\n\nEnd. {(TEXT * 2).strip()}"
