@@ -2,7 +2,8 @@
 
 A string drawn at random compresses badly under a BPE vocabulary: it yields few characters per token.
 Candidates that are already known to be harmless (digests in their usual lengths, UUIDs, version or
-word-like identifiers) are left out before the ratio is taken.
+word-like identifiers) are left out before the ratio is taken. Paths and assignments join a random string to ordinary
+words; where the whole is no finding its parts are tested, each with the neighbours that compress as badly.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
+LOWER, UPPER = re.compile(r"[a-z]"), re.compile(r"[A-Z]")
+PART = re.compile(r"[A-Za-z0-9+]+")
+UUID_WITHIN = re.compile(rf"(?<![0-9A-Za-z]){UUID.pattern}(?![0-9A-Za-z])")
+#: Characters of a string to test, and of the part that a run of parts must hold; up to TINY a part says nothing.
+LEAST, CORE, TINY = 20, 8, 2
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -59,17 +65,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def mixed(s: str) -> bool:
+    """Whether a string has letters and digits, or letters of both cases."""
+    return bool(LETTER.search(s) and DIGIT.search(s) or LOWER.search(s) and UPPER.search(s))
+
+
+def known(s: str) -> bool:
+    return bool(UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s))
+
+
+def random_parts(s: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int]]:
+    """(start, end) of the runs of parts of a candidate that have few characters a token, without UUIDs and digests."""
+    uuids = {k for m in UUID_WITHIN.finditer(s) for k in range(m.start(), m.end())}
+    runs: list[list[tuple[int, int]]] = [[]]
+    for m in PART.finditer(s):
+        part = m[0]
+        bad = len(part) < chars_per_token * len(encoding.encode_ordinary(part))
+        if m.start() in uuids or known(part) or not bad and len(part) > TINY:
+            runs.append([])
+        elif bad and len(part) > TINY or runs[-1]:
+            runs[-1].append(m.span())
+    out = []
+    for run in runs:
+        while run and run[-1][1] - run[-1][0] <= TINY:
+            run.pop()
+        if not run or not any(b - a >= CORE and mixed(s[a:b]) for a, b in run):
+            continue
+        start, end = run[0][0], run[-1][1]
+        found = s[start:end]
+        if len(found) >= LEAST and not known(found) and len(found) < chars_per_token * len(encoding.encode_ordinary(found)):
+            out.append((start, end))
+            continue
+        # the run as a whole is none: each part by itself
+        out += [(a, b) for a, b in run if b - a >= LEAST and mixed(s[a:b])]
+    return out
+
+
 def random_spans(text: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int, int]]:
-    """Strings with letters and digits that the vocabulary encodes with few characters a token."""
+    """Strings with letters and digits, or letters of both cases, that the vocabulary encodes with few characters a token."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (DIGIT.search(s) and LETTER.search(s)):
-            continue
-        if UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s):
+        if not mixed(s) or known(s):
             continue
         if len(s) < chars_per_token * len(encoding.encode_ordinary(s)):
             out.append((m.start(), 3, m.end()))
+        else:
+            out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(s, encoding, chars_per_token)]
     return out
 
 

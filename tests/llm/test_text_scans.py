@@ -202,3 +202,16 @@ def test_html_keeps_all_articles_and_all_spans():
     adverts = "<div class=advert>Buy</div>" * 3
     page = f"<p>{TEXT * 9}</p>{adverts}<p>End. {TEXT * 2}</p>"
     assert html.main_text(page) == f"{(TEXT * 9).strip()}\n\nEnd. {(TEXT * 2).strip()}"
+
+
+def test_random_strings_beside_words_are_found():
+    rng, encoding = random.Random(7), secrets.vocabulary(VOCAB)
+    spans = lambda t: [(a, b) for a, _, b in secrets.random_spans(t, encoding, 2.0)]
+    head, missed = "see /documents/reports/download/", 0
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for _ in range(200):
+            key = "".join(rng.choices(letters, k=24))
+            missed += spans(f"{head}{key} end") not in ([(len(head), len(head) + 24)], [(4, len(head) + 24)])
+    assert missed <= 6
+    for text in ("/documents/reports/123e4567-e89b-12d3-a456-426614174000/download", "/reports/of-the-year/2024-01-02/part-03/download", "InternationalizationOfThings/AndOtherThings", "downloads/reports/digest/" + hashlib.sha1(b"x").hexdigest()):
+        assert not secrets.random_parts(text, encoding, 2.0)
