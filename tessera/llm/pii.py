@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 import warnings
@@ -25,11 +26,14 @@ from tessera.llm.common import materialize, read, small_batches
 
 #: Patterns of the entities, in the order in which they claim text.
 EMAIL = (
-    r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?"
+    r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?"
     r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})"
 )
-IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
-IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{1,7}}:|:(?::{_HEX}){{1,7}})(?![\w:]|\.\d)"
+IP = rf"(?P<ip>{IPV4}|{IPV6})"
+IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?!\w))"
 CARD = r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 PHONE = (
@@ -49,7 +53,10 @@ GIVEN = {
 }
 SYLLABLES = {"LATIN": "ba be bi bo da de di do ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te ti to va ve vi".split(), "CYRILLIC": "ба бе бо ва ве во да де ка ко ла ло ма ми мо на не ни ра ро са со та ти".split(), "GREEK": "βα γα δα κα λα μα να ρα σα τα κο λο μο νο ρο σο το".split()}
 _SIGN = {t: g for g, names in TITLES.items() for t in names}
-NAME = rf"(?P<name>(?<!\w)(?:{'|'.join(sorted(map(re.escape, _SIGN), key=len, reverse=True))})\.? [^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})"
+_CAPITAL = r"[^\W\d_a-zа-яα-ω]"
+#: A word of a name with the initials before it.
+_WORD = rf"(?:{_CAPITAL}(?:\. ?| ))*{_CAPITAL}(?:['’]?[^\W\d_])+"
+NAME = rf"(?P<name>(?<!\w)(?:{'|'.join(sorted(map(re.escape, _SIGN), key=len, reverse=True))})\.? {_WORD}(?:[ -]{_WORD}){{0,2}})"
 ENTITY = re.compile("|".join((EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME)))
 #: Whether any pattern can match: an at sign, a digit or a title.
 HINT = re.compile(rf"[@\d]|(?<!\w)(?:{'|'.join(map(re.escape, _SIGN))})\b")
@@ -82,6 +89,13 @@ def detect(text: str, strict_cards: bool) -> list[tuple[int, int, str, str]]:
             canonical = "".join(str(int(c)) if c.isdecimal() else c for c in found if c.isdecimal() or c == "+" or "A" <= c <= "Z")
             if kind == "card" and strict_cards and not luhn(canonical):
                 continue
+        elif ":" in found:
+            try:
+                canonical = ipaddress.ip_address(found).compressed
+            except ValueError:
+                continue
+            if not any(c.isdigit() for c in found) and found.count(":") < 3:
+                continue  # a name of program text rather than an address
         else:
             canonical = found
         out.append((m.start(), m.end(), kind, canonical))
@@ -135,6 +149,8 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
         swap = "".join(chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in local)
         tail = "".join(chr(97 + s.below(26)) for _ in range(max(0, 8 - len(local))))
         return f"{swap}{tail}@{'xyz'[s.below(3)]}{s.below(1000)}.example.{('com', 'net', 'org')[s.below(3)]}"
+    if kind == "ip" and ":" in canonical:
+        return ":".join(f"{g:x}" for g in (0xFD00 + s.below(256), *(1 + s.below(0xFFFF) for _ in range(7))))
     if kind == "ip":
         low, high = ((10, 11), (240, 256), (1, 256))[min(draw // 4, 2)]
         return f"{low + s.below(high - low)}.{s.below(256)}.{s.below(256)}.{1 + s.below(254)}"
@@ -156,8 +172,14 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
     given, syllables = GIVEN[script][gender], SYLLABLES[script]
     out = []
     for k, old in enumerate(words):
-        first = k == 0 and len(words) > 1
-        new = given[s.below(len(given))] if first else "".join(syllables[s.below(len(syllables))] for _ in range(3 + draw // 3)).capitalize()
+        last = k == len(words) - 1
+        # the family name depends on nothing else, so that forms with and without given names agree
+        draws = Stream(key, kind, f"family:{old.lower()}", draw if len(words) == 1 else 0) if last else s
+        made = "".join(syllables[draws.below(len(syllables))] for _ in range(5 if last else 3 + draw // 3)).capitalize()
+        if len(old.rstrip(".")) == 1:
+            new = made[0] + old[1:]
+        else:
+            new = given[s.below(len(given))] if k == 0 and not last and draw < 4 else made
         out.append(cased(new, old))
     return f"{gender}:{' '.join(out)}"
 

@@ -215,3 +215,22 @@ def test_random_strings_beside_words_are_found():
     assert missed <= 6
     for text in ("/documents/reports/123e4567-e89b-12d3-a456-426614174000/download", "/reports/of-the-year/2024-01-02/part-03/download", "InternationalizationOfThings/AndOtherThings", "downloads/reports/digest/" + hashlib.sha1(b"x").hexdigest()):
         assert not secrets.random_parts(text, encoding, 2.0)
+
+
+@pytest.mark.parametrize("entity, kind", [("Mr. J. Smith", "name"), ("Mrs. O'Brien", "name"), ("Dr. Anna K. Weber", "name"), ("Mr. J.R.R. McTolk", "name"), ("_john@example.com", "email"), ("-bob@example.org", "email"), ("_j.smith@example.com", "email"), ("NO93 8601 1117 947", "iban"), ("NO9386011117947", "iban"), ("2001:db8::8a2e:370:7334", "ip"), ("fe80:0:0:0:1:2:3:4", "ip"), ("::1", "ip")])
+def test_pii_finds_whole_entities(entity, kind):
+    text = f"see {entity}, at 12:30:45"
+    (a, b, found, canonical), = pii.detect(text, False)
+    assert (text[a:b], found) == (entity, kind)
+    new = pii.surrogate(kind, canonical, KEY)
+    written = f"see {pii.written(entity, kind, new)}, at 12:30:45"
+    (_, _, again, other), = pii.detect(written, False)
+    assert again == kind and other == new != canonical
+
+
+def test_pii_forms_of_a_name_share_the_family_name(spark):
+    texts = ["Mr. John Smith and later Mr. Smith, Mrs. Smith, Dr. J. Smith", "Mr. James Smith, Mr. Jones"] + [f"Mr. G{chr(97 + k // 26)}{chr(97 + k % 26)} Smith" for k in range(40)]
+    out = [r.text for r in pii.pseudonymize(frame(spark, texts), key=KEY).orderBy("doc_id").collect()]
+    family = re.fullmatch(r"Mr\. \w+ (\w+) and later Mr\. \1, Mrs\. \1, Dr\. [A-Z]\. \1", out[0])[1]
+    assert re.fullmatch(rf"Mr\. \w+ {family}, Mr\. (?!{family})\w+", out[1])
+    assert all(t.endswith(f" {family}") for t in out[2:]) and len(set(out[2:])) == 40
