@@ -5,6 +5,8 @@ All readers are Spark's own; a file's size is checked from the listing before it
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +25,17 @@ def file_id(path: Column) -> Column:
     return F.sha1(F.concat(F.lit("file:"), path))
 
 
-def files(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Readable files (path, title, ext, text) and rejected ones (path, reason): too large, or of a kind that is not read."""
+def files(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Readable files (path, title, ext, text) and rejected ones (path, reason): too large, too long as text, or of a kind that is not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     title, ext = path_parts(F.col("path"))
     listed = raw.withColumn("title", title).withColumn("ext", ext)
+    text = F.decode("content", "UTF-8")
     reason = F.when(F.col("length") > most_bytes, "too large").when(F.col("ext") == "doc", "format not read")
+    # a text has no more characters than bytes: only files of many bytes are decoded for it
+    reason = reason.when(F.col("length") > most_chars, F.when(F.char_length(text) > most_chars, "text too long"))
     rejected = listed.select("path", reason.alias("reason")).where("reason IS NOT NULL")
-    return listed.where(reason.isNull()).select("path", "title", "ext", F.left(F.decode("content", "UTF-8"), F.lit(MOST_CHARS)).alias("text")), rejected
+    return listed.where(reason.isNull()).select("path", "title", "ext", text.alias("text")), rejected
 
 
 def json_records(text: Column, ext: Column) -> Column:
@@ -55,11 +60,20 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.select(file_id(F.col("path")).alias("doc_id"), content.alias("content"), "title", F.col("path").alias("source"), "format", "records", F.size("records").alias("record_count"))
 
 
-def documents(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Text, Markdown, JSON and HTML files as documents; unknown extensions count as text, HTML becomes Markdown."""
+def documents(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS, strict: bool = False) -> DataFrame:
+    """Text, Markdown, JSON and HTML files as documents; unknown extensions count as text, HTML becomes Markdown.
+
+    If files are rejected it warns with their number and reasons, or raises if `strict`; `files` lists them all.
+    """
     from tessera.sources.markdown import to_markdown
 
-    read, _ = files(spark, path, most_bytes=most_bytes)
+    read, rejected = files(spark, path, most_bytes=most_bytes, most_chars=most_chars)
+    bad = rejected.groupBy("reason").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy("reason").collect()
+    if bad:
+        message = "files not read: " + "; ".join(f"{r.n} {r.reason}, as {r.path}" for r in bad)
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=2)
     records = read.where(F.col("ext").isin("json", "jsonl"))
     out = _documents(records.select("path", "title", F.col("ext").alias("format"), json_records(F.col("text"), F.col("ext")).alias("records")))
     none = F.lit(None).cast("array<string>")

@@ -229,3 +229,15 @@ def test_ports(spark):
     assert {r.rerank_score for r in scores.collect()} == {7.0}
     q = spark.createDataFrame([(1, "alpha be"), (2, " ")], "query_id int, query string")
     assert [(r.query_id, r.query) for r in ports.variants(q, ports.offline_rewritings(F.col("query"))).orderBy("query_id", "variant").collect()] == [(1, "alpha be"), (1, "alpha"), (2, " ")]
+
+
+def test_files_beyond_the_limits_are_named(spark, tmp_path):
+    for name, text in (("a.txt", "x" * 10), ("b.txt", "x" * 11), ("c.txt", "é" * 10), ("d.txt", "x" * 40)):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    read, rejected = loaders.files(spark, str(tmp_path), most_bytes=30, most_chars=10)
+    assert sorted(r.text for r in read.collect()) == ["x" * 10, "é" * 10]
+    assert sorted((r.path[-5:], r.reason) for r in rejected.collect()) == [("b.txt", "text too long"), ("d.txt", "too large")]
+    with pytest.raises(ValueError, match="1 text too long, as .*b.txt; 1 too large"):
+        loaders.documents(spark, str(tmp_path), most_bytes=30, most_chars=10, strict=True)
+    with pytest.warns(UserWarning, match="1 text too long, as .*b.txt; 1 too large"):
+        assert loaders.documents(spark, str(tmp_path), most_bytes=30, most_chars=10).count() == 2
