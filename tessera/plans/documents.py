@@ -71,7 +71,9 @@ def bullet_parse(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, array_to_string(CASE WHEN len(q) > 0 THEN q ELSE ['none'] END, '|') AS queries FROM (
   SELECT user_id, (list_transform(list_sort(list_distinct(list_transform(l, lambda x: {'i': list_position(l, x), 'v': x}))), lambda s: s.v))[1:8] AS q FROM (SELECT user_id, list(event_type ORDER BY event_id) AS l FROM events GROUP BY user_id))""")
 def query_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    held = ad.read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
+    # the first event of each value: a user's list holds distinct values only, however many events there are
+    first = ad.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    held = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("s"))
     return held.select("user_id", F.array_join(tx.query_list(F.transform("s", lambda s: s["event_type"]), F.lit("none")), "|").alias("queries"))
 
 
