@@ -49,13 +49,16 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Rows that go to Python at once: texts are long, and each batch stands in the JVM, in Arrow and in Python at the same time.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to Python at once: texts are long, and each batch stands in the JVM, in Arrow and in Python at the same time.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, with its session's Arrow batches bounded to BATCH_ROWS rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
+    """`df`, with its session's Arrow batches bounded to BATCH_ROWS rows and BATCH_BYTES bytes (a longer row is a batch of its own)."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if not 0 < int(conf.get(size).rstrip("bB")) <= BATCH_BYTES:
+        conf.set(size, BATCH_BYTES)
     return df
