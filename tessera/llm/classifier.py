@@ -1,8 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge scores, isotonic calibration.
 
 The features cos(w.x + b) approximate a Gaussian kernel over standardised statistics. Each partition adds up its part
-of the normal equations, the parts are summed by Spark, and the driver solves a system whose size is that of the
-feature map. The ridge scores of the same rows are counted in bins of fixed width; pool-adjacent-violators over the
+of the normal equations into one row, the rows are summed in a tree of tasks, and the driver solves a system whose size is that of the
+feature map. The ridge scores of the rows that the ridge was fitted to are counted in bins of fixed width; pool-adjacent-violators over the
 bins makes the score a calibrated, monotone probability.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, read, small_batches
 
@@ -27,6 +28,8 @@ NAMES = (
     "non_ascii", "byte_entropy", "compressed", "line_length", "repeated_lines", "ended_lines", "marked_words", "long_words", "short_words",
 )
 BINS = 500
+#: Partial sums that one task adds up.
+FAN_IN = 16
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -77,15 +80,17 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col` and x, array<double>: the statistics of each row's whole text."""
+def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """id, the carried columns and x, array<double>: the statistics of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(v.as_py() or "") for v in batch.column(1)], float).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(x)], names=["id", "x"])
+            x = np.array([statistics(v.as_py() or "") for v in batch.column(batch.num_columns - 1)], float).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(x)], names=[*names, "x"])
 
-    return small_batches(docs.select(F.col(id_col).alias("id"), text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    names = ["id", *carried]
+    picked = docs.select(F.col(id_col).alias("id"), *carried, F.col(text_col).alias("_stat_value"))
+    return small_batches(picked).mapInArrow(run, T.StructType([*picked.schema.fields[:-1], T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 def lists(x: np.ndarray) -> pa.Array:
@@ -115,12 +120,21 @@ class Model:
         return np.interp(self.raw(x), self.cuts, self.levels)
 
 
-def summed(parts: DataFrame) -> np.ndarray:
-    """Sums rows (k, v) by k; k counts from 0 and its number is fixed by the feature map."""
-    rows = parts.groupBy("k").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(int(rows["k"].max()) + 1 if len(rows) else 0)
-    out[rows["k"]] = rows["v"]
-    return out
+def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], np.ndarray], levels: int = 2) -> np.ndarray:
+    """The sum of the arrays that `run` makes of each partition: one row of bytes for each, added up in ever fewer tasks, the last on the driver."""
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"v": [run(frames).astype(np.float64).tobytes()]})
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((np.frombuffer(v) for f in frames for v in f["v"]), 0.0)
+        yield pd.DataFrame({"v": [] if isinstance(total, float) else [total.tobytes()]})
+
+    parts = rows.mapInPandas(first, "v binary")
+    for width in (FAN_IN**k for k in range(levels, 0, -1)):
+        parts = parts.repartition(width).mapInPandas(add, "v binary")
+    found = [np.frombuffer(r.v) for r in parts.collect()]  # FAN_IN rows of fixed size
+    return np.sum(found, axis=0) if found else np.zeros(0)
 
 
 def matrix(x: pd.Series) -> np.ndarray:
@@ -130,14 +144,14 @@ def matrix(x: pd.Series) -> np.ndarray:
 def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     d = len(NAMES)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         total = np.zeros(2 * d + 1)
         for f in frames:
             x = matrix(f["x"])
             total += np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
-        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+        return total
 
-    total = summed(rows.mapInPandas(run, "k int, v double"))
+    total = summed(rows, run)
     n = max(1.0, total[-1]) if len(total) else 1.0
     mean = total[:d] / n if len(total) else np.zeros(d)
     scale = np.sqrt(np.maximum(total[d : 2 * d] / n - mean**2, 0)) if len(total) else np.ones(d)
@@ -164,16 +178,15 @@ def fit(rows: DataFrame, *, size: int = 192, width: float = 4.0, ridge: float =
     m = Model(mean, scale, rng.normal(size=(len(NAMES), size)) / width, rng.uniform(0, 2 * np.pi, size), np.zeros(size + 1), np.array([0.0]), np.array([0.5]))
     upper = np.triu_indices(size + 1)
 
-    def equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def equations(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         gram, right = np.zeros((size + 1, size + 1)), np.zeros(size + 1)
         for f in frames:
             z = m.features(matrix(f["x"]))
             gram += z.T @ z
             right += z.T @ f["y"].to_numpy(float)
-        total = np.concatenate([gram[upper], right])
-        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+        return np.concatenate([gram[upper], right])
 
-    total = summed(rows.mapInPandas(equations, "k int, v double"))
+    total = summed(rows, equations)
     if not len(total) or not total[0]:
         return m
     gram = np.zeros((size + 1, size + 1))
@@ -183,15 +196,15 @@ def fit(rows: DataFrame, *, size: int = 192, width: float = 4.0, ridge: float =
     penalty[0] = 1e-9
     m.beta = np.linalg.solve(gram + np.diag(penalty), total[len(upper[0]) :])
 
-    def binned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def binned(frames: Iterator[pd.DataFrame]) -> np.ndarray:
         total = np.zeros(2 * BINS)
         for f in frames:
             at = np.clip(((m.raw(matrix(f["x"])) + 0.5) * BINS / 2).astype(int), 0, BINS - 1)
             y = f["y"].to_numpy(float)
             total += np.concatenate([np.bincount(at, y, BINS), np.bincount(at, minlength=BINS)])
-        yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
+        return total
 
-    total = summed(rows.mapInPandas(binned, "k int, v double"))
+    total = summed(rows, binned)
     positive, count = total[:BINS], total[BINS:]
     full = count > 0
     # a little of the ridge score keeps the order within a level
@@ -202,31 +215,32 @@ def fit(rows: DataFrame, *, size: int = 192, width: float = 4.0, ridge: float =
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """`rows` with score, double."""
+    """`rows` with score, double, in place of x, their last column."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[["id"]].assign(score=model.score(matrix(f["x"])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*batch.schema.names[:-1], "score"])
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **model: float) -> DataFrame:
-    """One row per row of `docs`: `id_col`, held_out, score (0 to 1), predicted.
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", carried: tuple[str, ...] = (), **model: float) -> DataFrame:
+    """One row per row of `docs`: `id_col`, the carried columns, held_out, score (0 to 1), predicted.
 
     Learns from the rows of `labels` whose id is not held out; of several labels of an id the largest counts, null
     labels and ids do not. A null or empty text has statistics of zero and is scored like any other. Nothing but the text
     goes into the score. A null id is not held out. Repeated rows each give a row.
     """
-    x = materialize(with_statistics(docs, id_col, text_col), "quality-statistics")
+    x = materialize(with_statistics(docs, id_col, text_col, carried), "quality-statistics")
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     m = fit(x.where(~held_out(F.col("id"))).join(y, "id").select("x", "y"), **model)
     out = F.coalesce(held_out(F.col("id")), F.lit(False))
-    return scored(x, m).select(F.col("id").alias(id_col), out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(x, m).select(F.col("id").alias(id_col), *carried, out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

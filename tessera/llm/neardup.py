@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, read, small_batches
 
@@ -103,7 +104,7 @@ def shingled(docs: DataFrame, p: Near, keep: int | None) -> DataFrame:
                     [batch.column(0).slice(at, 500), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), lists], names=["id", "n", "node", "hashes"]
                 )
 
-    return small_batches(docs.select("id", "text")).mapInArrow(run, "id long, n long, node binary, hashes array<long>")
+    return small_batches(docs.select("id", "text")).mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, node binary, hashes array<long>")
 
 
 def similar_sizes(a: str, b: str, p: Near) -> Column:
@@ -265,11 +266,12 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
 
     Links join sets with percent similarity or more; component_id is the smallest id that links reach. A text that is
     null, empty or without words has an empty set and is linked with nothing. A row without id is linked
-    with nothing and kept, its component_id is null. Equal texts share a component; repeated rows each give a row.
+    with nothing and kept, its component_id is null. Ids are numbers, or structs, which are compared field by field. Equal texts share a component; repeated rows each give a row.
     Other columns are not read.
     """
     p, least = near, shared_values(near)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    number = isinstance(docs.schema[id_col].dataType, (T.IntegralType, T.StringType))
+    texts = docs.select((F.col(id_col).cast("long") if number else F.col(id_col)).alias("id"), F.col(text_col).alias("text"))
     sets = materialize(shingled(texts, p, p.k), "neardup-sketches")
     usable = sets.where("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("node").agg(F.min(F.struct("id", "n", "hashes")).alias("m")).select("node", "m.*")
