@@ -18,27 +18,44 @@ from tessera.llm.common import materialize, read
 LEAST_QUALITY = 0.5
 
 
-#: Ids up to which a join that takes documents out broadcasts them.
-BROADCAST_IDS = 200_000
+#: Keys up to which a join that takes documents out broadcasts them.
+BROADCAST_KEYS = 200_000
+#: What a row is known by within a stage: its doc_id, which may be null, and a hash of its text.
+KEY = ("doc_id", "_text")
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """The documents whose doc_id is not among `ids`; rows without doc_id stay."""
-    ids = materialize(ids.distinct(), name)
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_text", F.xxhash64("text"))
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of `docs` whose key is not among `keys`: another text under the same doc_id stays."""
+    gone = materialize(keys.select(*(F.col(c).alias(f"_gone_{k}") for k, c in enumerate(KEY))).distinct(), name)
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = F.col("_gone_1") == F.col("_text")
+    rows = keyed(docs).join(F.broadcast(gone) if few else gone, same & F.col("_gone_0").eqNullSafe(F.col("doc_id")), "left_anti")
+    return rows.select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
-    scores = classifier.classify(docs, read(spark, sf_dir, "labels"))
-    return without(docs, scores.where(F.col("score") < LEAST_QUALITY).select("doc_id"), "pipeline-rejected")
+    """The rows that the classifier does not reject."""
+    scores = classifier.classify(keyed(docs), read(spark, sf_dir, "labels"), carried=("_text",))
+    return without(docs, scores.where(F.col("score") < LEAST_QUALITY), "pipeline-rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    found = neardup.near_duplicates(docs)
-    return without(docs, found.where("NOT kept").select("doc_id"), "pipeline-copies")
+    """One row of each group of near-duplicates: the one with the smallest id, rows without one last; of repeated rows one."""
+    rows = keyed(docs).select(F.struct(F.col("doc_id").isNull().alias("none"), *KEY).alias("id"), "text")
+    found = materialize(neardup.near_duplicates(rows, id_col="id").select("id.*", "kept", "n_shingles"), "pipeline-copies")
+    left = without(docs, found.where("NOT kept"), "pipeline-gone")
+    # a text without words is no one's copy, so its repeated rows stay
+    again = found.where("kept AND n_shingles > 0").groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    again = materialize(again, "pipeline-again")
+    if not again.limit(1).count():
+        return left
+    repeated = keyed(docs).join(again.select(*(F.col(c).alias(f"_again_{k}") for k, c in enumerate(KEY))), (F.col("_again_1") == F.col("_text")) & F.col("_again_0").eqNullSafe(F.col("doc_id")))
+    single = repeated.groupBy(*KEY).agg(*(F.first(c).alias(f"_{c}") for c in docs.columns))
+    return without(left, again, "pipeline-single").unionByName(single.select(*(F.col(f"_{c}").alias(c) for c in docs.columns)))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +71,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each document's tokens and of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocab=path).select("doc_id", "ids")
-    return bpe.digest_columns(bpe.decode(encoded, vocab=path))
+    return bpe.round_trip(docs, vocab=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
