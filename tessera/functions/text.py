@@ -67,10 +67,11 @@ def one_line(text: Column, most: int = 120) -> Column:
     return F.when(F.char_length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
 
 
-#: Key names and parts of names whose values are hidden, and value patterns that are masked.
-SECRET_NAMES = ("authorization", "cookie", "token", "access_token", "refresh_token", "credential", "credentials")
-SECRET_PARTS = ("api_key", "apikey", "api-key", "password", "passwd", "secret", "private_key")
-SECRET_VALUES = ("sk-[A-Za-z0-9_-]{16,}", "Bearer +[A-Za-z0-9._-]+", "AKIA[0-9A-Z]{16}", "ghp_[A-Za-z0-9]{20,}")
+#: Key names and parts of names whose values are hidden, value patterns that are masked, the user's part of a home path, keys that stay as they are.
+SECRET_NAMES = ("key", "token", "secret", "password", "passwd", "auth", "authorization", "bearer", "credential", "credentials", "api_key", "apikey", "access_token", "refresh_token")
+SECRET_PARTS = ("api_key", "apikey", "secret", "password", "passwd", "access_token", "refresh_token")
+SECRET_VALUES = ("sk-[A-Za-z0-9_-]{12,}|Bearer\\s+\\S+|\\b[A-Za-z0-9_-]{32,}\\b",)
+HOME_PATH = "(/Users/|/home/)([^/]+)"
 OPEN_NAMES = ("run_id", "step_index")
 MASK = "***"
 
@@ -81,18 +82,29 @@ def secret_name(name: Column) -> Column:
     hit = low.isin(*SECRET_NAMES)
     for part in SECRET_PARTS:
         hit = hit | low.contains(part)
-    return hit & ~low.isin(*OPEN_NAMES)
+    return hit & ~name.isin(*OPEN_NAMES)
 
 
 def masked(text: Column, patterns: tuple[str, ...] = SECRET_VALUES) -> Column:
+    """The text with what looks like a secret masked, and the user's name in home paths."""
     for p in patterns:
-        text = F.regexp_replace(text, p, MASK)
-    return text
+        text = F.regexp_replace(text, p if p.startswith("(?") else f"(?U){p}", MASK)
+    return F.regexp_replace(text, HOME_PATH, f"$1{MASK}")
 
 
 def redacted(values: Column, most: int = 4000) -> Column:
-    """A map<string,string> with secret keys hidden and the other values masked and clipped."""
-    return F.transform_values(values, lambda k, v: F.when(secret_name(k), F.lit(MASK)).otherwise(clip(masked(v), most)))
+    """A map<string,string> with secret keys' values hidden and the others masked and clipped; key names are masked too, open keys stay as they are."""
+    keys = F.transform(F.map_keys(values), lambda k: F.when(k.isin(*OPEN_NAMES), k).otherwise(masked(k)))
+    clean = F.transform(F.map_entries(values), lambda e: F.when(e["key"].isin(*OPEN_NAMES), e["value"]).when(secret_name(e["key"]), F.lit(MASK)).otherwise(clip(masked(e["value"]), most)))
+    # masked names may fall together: the first of them stays
+    pairs = F.arrays_zip(keys.alias("k"), clean.alias("v"))
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+    return F.when(values.isNotNull(), F.map_from_arrays(F.transform(first, lambda p: p["k"]), F.transform(first, lambda p: p["v"])))
+
+
+def short_repr(text: Column, most: int = 40) -> Column:
+    """The first characters of a text, with an ellipsis where it goes on."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 
 
 def tool_name(text: Column) -> Column:

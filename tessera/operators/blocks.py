@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.sources.shared import materialize
 
 ITEM_ROWS, QUERY_ROWS = 4096, 512
+#: Bytes of query blocks that go to every task at once; more of them are worked off in turn.
+GROUP_BYTES = 64 << 20
 
 
-def packed(df: DataFrame, id_col: str, vec_col: str, rows: int, name: str) -> DataFrame:
-    """A row for up to `rows` vectors of equal length of a partition: their ids, length and values. Null and empty vectors, and those with nulls, are left out."""
+def packed(df: DataFrame, key: Column, vec_col: str, rows: int, name: str) -> DataFrame:
+    """A row for up to `rows` vectors of equal length of a partition: their keys, length and values. Null and empty vectors, and those with nulls, are left out."""
     fine = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.forall(vec_col, lambda x: x.isNotNull())
-    picked = df.where(fine).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    kind = picked.schema["id"].dataType.simpleString()
+    picked = df.where(fine).select(key.alias("key"), F.col(vec_col).cast("array<double>").alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -25,12 +29,50 @@ def packed(df: DataFrame, id_col: str, vec_col: str, rows: int, name: str) -> Da
             for dim in np.unique(sizes):
                 own = batch.take(pa.array(np.flatnonzero(sizes == dim)))
                 for at in range(0, own.num_rows, rows):
-                    ids, flat = own.column(0).slice(at, rows), own.column(1).slice(at, rows).flatten().to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([int(dim)], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_dim", f"{name}_values"]
-                    )
+                    keys, flat = own.column(0).slice(at, rows), own.column(1).slice(at, rows).flatten().to_numpy(zero_copy_only=False)
+                    listed = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                    yield pa.RecordBatch.from_arrays([listed, pa.array([int(dim)], pa.int32()), pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_keys", f"{name}_dim", f"{name}_values"])
+
+    schema = [T.StructField(f"{name}_keys", T.ArrayType(picked.schema["key"].dataType)), T.StructField(f"{name}_dim", T.IntegerType()), T.StructField(f"{name}_values", T.BinaryType())]
+    return picked.mapInArrow(pack, T.StructType(schema))
+
+
+def every_pair(items: DataFrame, queries: DataFrame, values: str, run: Callable, schema: T.StructType, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """`run` over every pair of a row of `items` and one of `queries`, both packed blocks; `values`: the column of `queries` that makes up its bytes.
+
+    Query blocks are broadcast in groups of bounded bytes, so that the items, however many, are only read: once if one group is enough,
+    else once for each group, whose result is written before the next begins.
+    """
+    q = materialize(queries, "query-blocks")
+    total = q.agg(F.sum(F.octet_length(values)).alias("b")).first().b or 0
+    groups = -(-total // group_bytes) or 1
+    if groups == 1:
+        return items.join(F.broadcast(q), how="cross").mapInArrow(run, schema)
+    c, out = materialize(items, "item-blocks"), []
+    for g in range(groups):
+        own = q.where(F.pmod(F.xxhash64(values), F.lit(groups)) == g)
+        out.append(materialize(c.join(F.broadcast(own), how="cross").mapInArrow(run, schema), "block-pairs"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
 
-    return picked.mapInArrow(pack, f"{name}_ids array<{kind}>, {name}_dim int, {name}_values binary")
+
+def block(batch: pa.RecordBatch, k: int, name: str) -> tuple[pa.Array, np.ndarray]:
+    """Keys and vectors of the k-th row's block."""
+    column = batch.column(batch.schema.get_field_index(f"{name}_keys"))
+    keys = column.slice(k, 1).flatten()
+    values = np.frombuffer(batch.column(batch.schema.get_field_index(f"{name}_values"))[k].as_py())
+    return keys, values.reshape(len(keys), -1)
+
+
+def order_of(keys: pa.Array) -> np.ndarray:
+    """For each key its place in their order; structs are ordered field by field."""
+    fields = keys.flatten() if pa.types.is_struct(keys.type) else [keys]
+    table = pa.table(fields, names=[str(n) for n in range(len(fields))])
+    place = np.empty(len(keys), np.int64)
+    place[pc.sort_indices(table, sort_keys=[(n, "ascending") for n in table.column_names]).to_numpy()] = np.arange(len(keys))
+    return place
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -41,30 +83,34 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide((a * b).sum(1), norm, out=np.zeros_like(norm), where=norm > 0)
 
 
-def block_nearest(items: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """query_id, id, distance: of every pair of an item block and a query block, each query's k nearest.
+def block_nearest(items: DataFrame, queries: DataFrame, key: Column, k: int, metric: str) -> DataFrame:
+    """query_id, key, distance: of every pair of an item block and a query block, each query's k nearest by distance and then key.
 
-    A product over the blocks finds k and a few more for each query, whose distances are then taken term by term; ties at the edge are all kept.
+    A product over the blocks finds k and those as near as the k-th, whose distances are then taken term by term; k of them leave the task, however many are equal.
     """
-    left = packed(items, "id", "embedding", ITEM_ROWS, "i")
-    right = packed(queries, "query_id", "query", QUERY_ROWS, "q")
-    # the pairs are of blocks, never of rows
-    pairs = left.crossJoin(right).where("i_dim = q_dim")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                i_ids, q_ids = np.asarray(row["i_ids"], object), np.asarray(row["q_ids"], object)
-                x, q = (np.frombuffer(row[f"{n}_values"]).reshape(-1, row[f"{n}_dim"]) for n in "iq")
+    left = packed(items, key, "embedding", ITEM_ROWS, "i")
+    right = packed(queries, F.col("query_id"), "query", QUERY_ROWS, "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i_keys, x = block(batch, row, "i")
+                q_keys, q = block(batch, row, "q")
+                if x.shape[1] != q.shape[1]:
+                    continue
                 if metric == "l2":
                     rough = (x**2).sum(1)[None, :] - 2 * q @ x.T
                 else:
                     norm = np.linalg.norm(x, axis=1)
                     rough = -(q @ x.T) / np.where(norm > 0, norm, 1)[None, :]
-                edge = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-                near = rough <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None]
-                at, col = np.nonzero(near)
-                yield pd.DataFrame({"query_id": q_ids[at], "id": i_ids[col], "distance": distances(q[at], x[col], metric)})
+                most = min(k, rough.shape[1])
+                edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
+                at, col = np.nonzero(rough <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None])
+                exact = np.concatenate([distances(q[at[s : s + 65536]], x[col[s : s + 65536]], metric) for s in range(0, len(at), 65536)])
+                ranked = np.lexsort((order_of(i_keys)[col], exact, at))
+                at, col, exact = at[ranked], col[ranked], exact[ranked]
+                best = np.arange(len(at)) - np.searchsorted(at, at) < k
+                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(at[best])), i_keys.take(pa.array(col[best])), pa.array(exact[best])], names=["query_id", "key", "distance"])
 
-    kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, "query_id"), (items, "id"))]
-    return pairs.mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", left.schema["i_keys"].dataType.elementType), T.StructField("distance", T.DoubleType())])
+    return every_pair(left, right, "q_values", run, schema)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
+import types
+import typing
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -12,6 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import query_list
+from tessera.operators import search, tables
+from tessera.operators.scope import in_range
+from tessera.sources.versioned import VersionedStore
 
 #: Texts in one call of an embedder.
 EMBED_BATCH = 256
@@ -67,3 +74,112 @@ def batches_of(df: DataFrame, size: int, *order: str) -> DataFrame:
     """`df` with batch and the place in it, by key order within each partition key: how a writer would send it."""
     n = F.row_number().over(W.partitionBy(order[0]).orderBy(*order[1:])) - 1
     return df.withColumn("batch", F.floor(n / size).cast("int")).withColumn("place", (n % size).cast("int"))
+
+
+def hyde(queries: DataFrame, written: Column) -> DataFrame:
+    """query_id, query, embed_text: what is searched by words stays the query; what is embedded is the passage that a model has written for it, or the query where it has written none."""
+    return queries.select("query_id", "query", F.when(F.trim(F.coalesce(written, F.lit(""))) != "", written).otherwise(F.col("query")).alias("embed_text"))
+
+
+class VectorStore(Protocol):
+    """Vectors by key (id and scope)."""
+
+    def upsert(self, rows: DataFrame) -> None: ...
+    def delete(self, ids: DataFrame, scope: dict[str, str | None]) -> None: ...
+    def search(self, queries: DataFrame, *, top_k: int, scope: dict[str, str | None]) -> DataFrame: ...
+
+
+class KeywordIndex(Protocol):
+    """Texts by key (id and scope)."""
+
+    def upsert(self, rows: DataFrame) -> None: ...
+    def delete(self, ids: DataFrame, scope: dict[str, str | None]) -> None: ...
+    def search(self, queries: DataFrame, *, top_k: int, scope: dict[str, str | None]) -> DataFrame: ...
+
+
+class ContextSource(Protocol):
+    """A named source of candidates (query_id, pos, score, content, embedding) for queries (query_id, query)."""
+
+    name: str
+
+    def fetch(self, queries: DataFrame) -> DataFrame: ...
+
+
+def gathered(sources: list[ContextSource], queries: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """The candidates of all sources with their name; a source without a ratio, or a name that stands twice, raises before anything is fetched."""
+    names = [s.name for s in sources]
+    unknown, twice = set(names) - set(ratios), {n for n in names if names.count(n) > 1}
+    if unknown or twice:
+        raise ValueError(f"sources without a ratio: {sorted(unknown)}; named twice: {sorted(twice)}")
+    found = [s.fetch(queries).withColumn("source", F.lit(s.name)) for s in sources]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class _TableIndex:
+    """A keyed table of a store, changed version by version."""
+
+    def __init__(self, store: VersionedStore, table: str):
+        self.store, self.table = store, table
+
+    def rows(self) -> DataFrame:
+        return self.store.read(self.table)
+
+    def upsert(self, rows: DataFrame) -> None:
+        if tables.repeated_keys(rows).limit(1).count():
+            raise ValueError("a key stands twice in the batch")
+        known = self.store.current() is not None and self.table in self.store.tables()
+        self.store.commit({self.table: tables.upsert(self.rows(), rows) if known else rows})
+
+    def delete(self, ids: DataFrame, scope: dict[str, str | None]) -> None:
+        self.store.commit({self.table: tables.delete_in_range(self.rows(), ids, in_range(scope))})
+
+
+class TableVectors(_TableIndex):
+    """A VectorStore over a store's table of id, scope, embedding."""
+
+    def search(self, queries: DataFrame, *, top_k: int, scope: dict[str, str | None]) -> DataFrame:
+        return search.nearest(self.rows(), queries, top_k=top_k, where=in_range(scope))
+
+
+class TableKeywords(_TableIndex):
+    """A KeywordIndex over a store's table of id, scope, content."""
+
+    def search(self, queries: DataFrame, *, top_k: int, scope: dict[str, str | None]) -> DataFrame:
+        return search.bm25(self.rows(), queries, top_k=top_k, where=in_range(scope))
+
+
+#: Spark types and JSON schema types of Python annotations.
+ANNOTATIONS = {str: (T.StringType(), "string"), int: (T.LongType(), "integer"), float: (T.DoubleType(), "number"), bool: (T.BooleanType(), "boolean")}
+
+
+def _annotated(kind: object) -> tuple[T.DataType, dict]:
+    options = [k for k in typing.get_args(kind) if k is not type(None)] if isinstance(kind, types.UnionType) or typing.get_origin(kind) is typing.Union else [kind]
+    if len(options) == 1 and options[0] in ANNOTATIONS:
+        spark, name = ANNOTATIONS[options[0]]
+        return spark, {"type": name}
+    if len(options) == 1 and typing.get_origin(options[0]) is list:
+        spark, inner = _annotated(typing.get_args(options[0])[0])
+        return T.ArrayType(spark), {"type": "array", "items": inner}
+    raise TypeError(f"no Spark type for {kind}")
+
+
+def tool(f: Callable) -> tuple[Callable[..., Column], dict]:
+    """A column function of a typed Python function, and the JSON schema of its call: names, types, which are required, and its first line of text.
+
+    It runs on Arrow batches, a row at a time; rows in which an argument without a default is null give null.
+    """
+    hints, signature = typing.get_type_hints(f), inspect.signature(f)
+    fields = {n: _annotated(hints[n]) for n in signature.parameters}
+    required = [n for n, p in signature.parameters.items() if p.default is inspect.Parameter.empty]
+    schema = {"name": f.__name__, "description": (inspect.getdoc(f) or "").split("\n")[0], "parameters": {"type": "object", "properties": {n: s for n, (_, s) in fields.items()}, "required": required}}
+
+    @F.pandas_udf(_annotated(hints["return"])[0])
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            rows = zip(*columns)
+            yield pd.Series([None if any(v is None or v != v for n, v in zip(fields, row) if n in required) else f(*row) for row in rows], dtype=object)
+
+    return run, schema

@@ -1,5 +1,6 @@
 """Retrieval: nearest neighbours, BM25, rank fusion and hybrid search.
 
+Items are known by their key: id and, where the tables have them, the five scope columns, so equal ids of two owners stay apart.
 Ranked lists have the columns query_id, list_no, rank (from 1) and what they carry of a hit.
 """
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators.blocks import block_nearest
+from tessera.operators.tables import ITEM_KEY, key_of
+from tessera.sources.shared import few, materialize
 
 TOP_K, POOL, RRF_K = 5, 20, 60
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -30,7 +33,7 @@ def ranked(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where: Column | None = None, metric: str = "l2") -> DataFrame:
-    """query_id, id, distance, score, rank: the nearest items of each query, ties to the smaller id.
+    """query_id, the item's key, distance, rank, score: the nearest items of each query, ties to the smaller key.
 
     `items` has id and embedding, `queries` query_id and query; metric is l2 or cosine (distance 1 - cosine). The filter holds before the distance, so it
     never costs hits. Vectors that are null, empty, hold nulls or differ in length from the query take no part.
@@ -38,14 +41,22 @@ def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where:
     checked_sizes(top_k, top_k)
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric}")
-    found = block_nearest(items if where is None else items.where(where), queries, top_k, metric)
-    return ranked(found, top_k, F.col("distance"), F.col("id")).withColumn("score", vx.distance_score(F.col("distance")))
+    key = key_of(items)
+    found = block_nearest(items if where is None else items.where(where), queries, F.struct(*key), top_k, metric).select("query_id", "key.*", "distance")
+    return ranked(found, top_k, F.col("distance"), *map(F.col, key)).withColumn("score", vx.distance_score(F.col("distance")))
+
+
+def term_rows(docs: DataFrame, text: str, *also: Column) -> DataFrame:
+    """The key of each document, dl (its number of terms), the `also` columns and term: a row for each term as often as it stands there, and one with a null term."""
+    terms = tx.search_terms(F.col(text))
+    listed = docs.select(*key_of(docs), *also, terms.alias("terms"))
+    return listed.select(*key_of(docs), *(c for c in listed.columns if c not in ITEM_KEY and c != "terms"), F.size("terms").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
 
 
 def postings(docs: DataFrame, text: str = "content") -> DataFrame:
-    """term, id, tf and dl (terms of the document): the keyword index."""
-    terms = docs.select("id", tx.search_terms(F.col(text)).alias("terms"))
-    return terms.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    """term, the document's key, tf and dl (terms of the document): the keyword index."""
+    rows = term_rows(docs, text).where("term IS NOT NULL")
+    return rows.groupBy("term", *key_of(docs), "dl").agg(F.count("*").alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
@@ -54,26 +65,35 @@ def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: int | None = TOP_K, where: Column | None = None, scoped_stats: bool = False) -> DataFrame:
-    """query_id, id, score, rank: documents that hold any term of the query, best first, ties to the smaller id.
+    """query_id, the document's key, score, rank: documents that hold any term of the query, best first, ties to the smaller key.
 
     A term that the query repeats counts as often. Statistics are those of the whole table, also where `where` narrows what is
-    found, unless scoped_stats. `queries` has query_id and query.
+    found, unless scoped_stats. `queries` has query_id and query. The texts are taken apart once: terms that nobody asks for fall out
+    before anything is shuffled, and the lengths of all documents are kept beside the postings.
     """
-    kept = docs if where is None else docs.where(where)
-    basis = kept if scoped_stats else docs
+    key = key_of(docs)
+    basis = docs if where is None or not scoped_stats else docs.where(where)
+    seen = F.lit(True) if where is None or scoped_stats else F.coalesce(where, F.lit(False))
     asked = queries.select("query_id", F.explode(tx.search_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    index = postings(basis, text)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    found = index.join(asked, "term").join(df, "term").crossJoin(F.broadcast(corpus_stats(basis, text)))  # one row of statistics
-    if where is not None and not scoped_stats:
-        found = found.join(kept.select("id"), "id", "left_semi")
+    asked = materialize(asked, "bm25-asked")
+    small = few(asked)
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    wanted = asked.select(F.col("term").alias("wanted")).distinct()
+    rows = term_rows(basis, text, seen.alias("seen"))
+    lengths_and_hits = rows.join(side(wanted.unionByName(wanted.sparkSession.createDataFrame([(None,)], "wanted string"))), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    index = materialize(lengths_and_hits.groupBy("term", *key, "seen", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+    # a row without a term stands for each document of that key
+    stats = index.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
+    hits = index.where("term IS NOT NULL")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    found = hits.where("seen").join(side(asked), "term").join(side(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = found.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * idf * gain).alias("score"))
+    scored = found.groupBy("query_id", *key).agg(F.sum(F.col("qtf") * idf * gain).alias("score"))
     if top_k is None:
         return scored
     # scores are sums in any order: ties are told apart at nine digits
-    return ranked(scored, top_k, vx.rounded(F.col("score"), 9).desc(), F.col("id"))
+    return ranked(scored, top_k, vx.rounded(F.col("score"), 9).desc(), *map(F.col, key))
 
 
 def fuse_key(id_col: Column, content: Column) -> Column:
@@ -81,13 +101,13 @@ def fuse_key(id_col: Column, content: Column) -> Column:
     return F.when(F.coalesce(id_col, F.lit("")) != "", id_col).otherwise(F.concat(F.lit("\0"), F.coalesce(content, F.lit(""))))
 
 
-def rrf(lists: DataFrame, *, top_k: int | None = TOP_K, k: int = RRF_K) -> DataFrame:
-    """query_id, key, score, seen, rank: reciprocal rank fusion of lists (query_id, list_no, rank, key).
+def rrf(lists: DataFrame, *, top_k: int | None = TOP_K, k: int = RRF_K, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """query_id, the `by` columns, score, seen, rank: reciprocal rank fusion of lists (query_id, list_no, rank, by).
 
     Ties go to what was seen first, by list and then rank.
     """
     seen = F.min(F.struct("list_no", "rank"))
-    fused = lists.groupBy("query_id", "key").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), seen.alias("seen"))
+    fused = lists.groupBy("query_id", *by).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), seen.alias("seen"))
     if top_k is None:
         return fused
     return ranked(fused, top_k, vx.rounded(F.col("score"), 12).desc(), F.col("seen"))
@@ -115,10 +135,11 @@ def merged_metadata(lists: DataFrame) -> DataFrame:
 
 
 def hybrid(dense: DataFrame, sparse: DataFrame, *, top_k: int = TOP_K, pool: int = POOL) -> DataFrame:
-    """Fusion of a dense list and a keyword list (query_id, id, rank), each cut at the pool; dense hits go first on ties."""
+    """query_id, the item's key, score, seen, rank: fusion of a dense list and a keyword list (query_id, key, rank), each cut at the pool; dense hits go first on ties."""
     checked_sizes(top_k, pool)
-    one = lambda df, n: df.where(F.col("rank") <= pool).select("query_id", F.lit(n).alias("list_no"), "rank", F.col("id").alias("key"))
-    return rrf(one(dense, 0).unionByName(one(sparse, 1)), top_k=top_k)
+    key = key_of(dense, sparse)
+    one = lambda df, n: df.where(F.col("rank") <= pool).select("query_id", F.lit(n).alias("list_no"), "rank", *key)
+    return rrf(one(dense, 0).unionByName(one(sparse, 1)), top_k=top_k, by=tuple(key))
 
 
 def reranked(hits: DataFrame, score: Column, *, top_k: int = TOP_K) -> DataFrame:
@@ -128,5 +149,7 @@ def reranked(hits: DataFrame, score: Column, *, top_k: int = TOP_K) -> DataFrame
 
 
 def multi_query(hits: DataFrame, *, top_k: int = TOP_K, k: int = RRF_K) -> DataFrame:
-    """Fusion over the variants of a query: hits have query_id, variant, rank and id."""
-    return rrf(hits.select("query_id", F.col("variant").alias("list_no"), "rank", F.col("id").alias("key")), top_k=top_k, k=k)
+    """Fusion over the variants of a query: hits have query_id, variant, rank and the item's key; an id alone comes out as `key`."""
+    own = key_of(hits)
+    lists = hits.select("query_id", F.col("variant").alias("list_no"), "rank", *own)
+    return rrf(lists, top_k=top_k, k=k, by=tuple(own)).withColumn("key", F.col("id"))

@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scope import DIMENSIONS, footprints
 from tessera.operators.tables import ITEM_KEY, delete_exact, upsert
 
 
+def pending_above(source: DataFrame, book: DataFrame) -> DataFrame:
+    """The source rows for whose id the book has a pending entry in their scope or in one that contains it: each dimension is '' or equal."""
+    waiting = book.where("pending_since IS NOT NULL").select(F.col("id").alias("_id"), *(F.col(d).alias(f"_{d}") for d in DIMENSIONS)).distinct()
+    met = F.col("id") == F.col("_id")
+    for d in DIMENSIONS:
+        met = met & ((F.col(f"_{d}") == "") | (F.col(f"_{d}") == F.col(d)))
+    return source.join(waiting, met, "left_semi")
+
+
 def changed(source: DataFrame, book: DataFrame, *, force: bool = False) -> DataFrame:
-    """Source rows (with content_hash) to index: new ones, those with another hash than the book's, and those pending."""
-    known = book.select(*ITEM_KEY, F.col("content_hash").alias("known_hash"), F.col("pending_since").alias("pending"))
-    met = source.join(known, list(ITEM_KEY), "left")
-    due = F.col("known_hash").isNull() | (F.col("known_hash") != F.col("content_hash")) | F.col("pending").isNotNull()
-    return (met if force else met.where(due)).select(*source.columns)
+    """Source rows (with content_hash) to index: new ones, those with another hash than the book's, and those that are pending there or in a scope above."""
+    if force:
+        return source
+    known = book.select(*ITEM_KEY, F.col("content_hash").alias("_known"))
+    waiting = pending_above(source, book).select(*ITEM_KEY).distinct().withColumn("_pending", F.lit(True))
+    met = source.join(known, list(ITEM_KEY), "left").join(waiting, list(ITEM_KEY), "left")
+    due = F.col("_known").isNull() | (F.col("_known") != F.col("content_hash")) | F.col("_pending").isNotNull()
+    return met.where(due).select(*source.columns)
 
 
 def stale(source: DataFrame, book: DataFrame) -> DataFrame:
@@ -48,6 +61,4 @@ def ingest_plan(documents: DataFrame, hashes: DataFrame) -> DataFrame:
 
 def tracked_or_pending(book: DataFrame) -> DataFrame:
     """The exact scopes that hold an index entry or a pending one."""
-    from tessera.operators.scope import footprints
-
     return footprints(book.where("content_hash IS NOT NULL")).union(footprints(book.where("pending_since IS NOT NULL"))).distinct()

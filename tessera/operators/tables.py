@@ -12,6 +12,11 @@ from tessera.operators.scope import DIMENSIONS
 ITEM_KEY = ("id", *DIMENSIONS)
 
 
+def key_of(*tables: DataFrame) -> list[str]:
+    """The columns of an item's key that all these tables have: an id without scope columns is a key of its own."""
+    return [c for c in ITEM_KEY if all(c in t.columns for t in tables)]
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: tuple[str, ...] = ITEM_KEY) -> DataFrame:
     """`rows` in place of those with their key, and all other rows of `table`."""
     return table.join(rows.select(*key), list(key), "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
@@ -49,7 +54,25 @@ def ambiguous(table: DataFrame, id_col: str, scope: Column) -> DataFrame:
     return table.where(scope).groupBy(id_col).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def touched(table: DataFrame, ids: DataFrame, column: str, now: Column) -> DataFrame:
-    """`table` with `column` set to `now` for the ids."""
-    hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
-    return table.join(hit, "id", "left").withColumn(column, F.when(F.col("_hit"), now).otherwise(F.col(column))).select(*table.columns)
+def touched(table: DataFrame, keys: DataFrame, column: str, now: Column) -> DataFrame:
+    """`table` with `column` set to `now` for the keys: ids within their scopes, as far as both tables have scopes."""
+    key = key_of(table, keys)
+    hit = keys.select(*key).distinct().withColumn("_hit", F.lit(True))
+    return table.join(hit, key, "left").withColumn(column, F.when(F.col("_hit"), now).otherwise(F.col(column))).select(*table.columns)
+
+
+def with_decoded(table: DataFrame, column: str = "value") -> DataFrame:
+    """`table` with is_json and the text of its value: of a JSON text what it stands for, of anything else the raw text."""
+    parsed = F.try_parse_json(F.col(column))
+    text = F.when(parsed.isNull(), F.col(column)).when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(F.to_json(parsed))
+    return table.withColumn("is_json", parsed.isNotNull()).withColumn(column, text)
+
+
+def cleared(table: DataFrame, scope: Column) -> DataFrame:
+    """Without the rows of a scope."""
+    return table.where(~F.coalesce(scope, F.lit(False)))
+
+
+def materialised_metadata(table: DataFrame, declared: tuple[str, ...], column: str = "metadata") -> DataFrame:
+    """`table` with a text column md_<key> for each declared key of its metadata map, '' where it is missing or null."""
+    return table.withColumns({f"md_{k}": F.coalesce(F.col(column)[k].cast("string"), F.lit("")) for k in declared})

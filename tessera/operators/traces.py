@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.text import one_line
+from tessera.sources.shared import materialize
+
 #: Finish reasons of a cut answer, and the types of event that are known.
 CUT_REASONS = ("length", "max_tokens", "MAX_TOKENS")
 TYPES = ("run_start", "run_end", "llm", "tool", "retrieval", "memory", "compaction", "rag", "index_sync", "guardrail", "approval", "error", "stream")
@@ -20,10 +23,20 @@ def steps(events: DataFrame) -> DataFrame:
 
 
 def run_order(events: DataFrame) -> DataFrame:
-    """run_id, first_pos, n_events, place: runs in the order in which they begin, events without run last."""
+    """run_id, first_pos, n_events, place: runs numbered from 0 in the order in which they begin, events without run last.
+
+    Runs are dealt out by ranges of their first position and numbered within each; the ranges' sizes, one number for each task, give the offsets.
+    """
     runs = events.groupBy("run_id").agg(F.min("pos").alias("first_pos"), F.count("*").alias("n_events"))
-    # the runs are many, their order is global: a range shuffle, then offsets, would number them; the first position itself serves as place
-    return runs.withColumn("place", F.when(F.col("run_id").isNull(), F.lit(2**62)).otherwise(F.col("first_pos")))
+    dealt = runs.where("run_id IS NOT NULL").repartitionByRange("first_pos", "run_id").withColumn("_range", F.spark_partition_id())
+    dealt = materialize(dealt, "trace-runs")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each task
+    within = F.row_number().over(W.partitionBy("_range").orderBy("first_pos", "run_id")) - 1
+    placed = dealt.withColumn("_within", within).join(F.broadcast(before), "_range").select("run_id", "first_pos", "n_events", (F.col("_before") + F.col("_within")).alias("place"))
+    total = dealt.agg(F.count("*").alias("_total"))
+    outside = runs.where("run_id IS NULL").crossJoin(F.broadcast(total)).select("run_id", "first_pos", "n_events", F.col("_total").alias("place"))  # one row at most on each side
+    return placed.unionByName(outside)
 
 
 def findings(numbered: DataFrame) -> DataFrame:
@@ -88,10 +101,67 @@ def last_run(events: DataFrame) -> DataFrame:
     return events.join(F.broadcast(last), "run_id")
 
 
+def picked_run(events: DataFrame, run_id: str | None = None) -> DataFrame:
+    """The events of a run: the one of that id, or the one that began last; a run that is not there raises."""
+    if run_id is None:
+        return last_run(events)
+    own = events.where(F.col("run_id") == run_id)
+    if not own.limit(1).count():
+        raise LookupError(f"no run {run_id}")
+    return own
+
+
+def event_line(events: DataFrame) -> Column:
+    """What happened in a step, by its type; fields that a table lacks are left out."""
+
+    def text(name: str, before: str = "", after: str = "") -> Column:
+        if name not in events.columns:
+            return F.lit(None).cast("string")
+        value = F.col(name).cast("string")
+        return F.when(value.isNotNull(), F.concat(F.lit(before), value, F.lit(after)))
+
+    by_type = {
+        "llm": (text("tokens", "", " tokens"), text("finish_reason", "finish=")),
+        "tool": (text("name"), text("status", "status=")),
+        "retrieval": (text("hits", "", " hits"),),
+        "index_sync": (text("pending", "pending="), text("converged", "converged=")),
+        "compaction": (text("degraded", "degraded="),),
+        "rag": (text("degraded", "degraded="),),
+        "guardrail": (text("name"), text("status", "status=")),
+        "error": (text("message"),),
+    }
+    out = F.lit("")
+    for kind, parts in by_type.items():
+        out = F.when(F.col("type") == kind, F.concat_ws(" ", *parts)).otherwise(out)
+    return one_line(F.concat_ws(" ", F.concat(F.lit("["), F.col("type"), F.lit("]")), F.nullif(out, F.lit(""))))
+
+
+def rendered(events: DataFrame, *, head: int = 12, tail: int = 8, most_chars: int = 20_000) -> DataFrame:
+    """run_id, timeline: a line of totals, then the run's steps, those in the middle without findings as a count, cut hard at `most_chars`."""
+    numbered = steps(events)
+    found = findings(numbered)
+    stats = run_stats(events, found)
+    total = F.concat(F.col("steps").cast("string"), F.lit(" steps, "), F.col("llm_calls").cast("string"), F.lit(" llm, "), F.col("tool_calls").cast("string"), F.lit(" tool, "), F.col("tokens").cast("string"), F.lit(" tokens, "), F.col("errors").cast("string"), F.lit(" errors, "), F.col("warnings").cast("string"), F.lit(" warnings"))
+    top = stats.select(F.col("run_id").alias("_run"), total.alias("_total"))
+    body = timeline(numbered, elided(numbered, found, head=head, tail=tail), event_line(numbered))
+    met = body.join(top, body["run_id"].eqNullSafe(top["_run"]))
+    return met.select("run_id", F.left(F.concat("_total", F.lit("\n"), "timeline"), F.lit(most_chars)).alias("timeline"))
+
+
+def newest(events: DataFrame, n: int = 2048, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """What a ring buffer of n events holds of each run."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("pos")))
+    return events.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+
+
+def spans(events: DataFrame) -> DataFrame:
+    """`events` (with at, the time of their end, and latency_ms) with span_start and span_end."""
+    start = F.timestamp_micros(F.unix_micros("at") - F.round(F.coalesce("latency_ms", F.lit(0.0)) * 1000).cast("long"))
+    return events.withColumn("span_start", start).withColumn("span_end", F.col("at"))
+
+
 def line(kind: Column, name: Column, status: Column, text: Column) -> Column:
     """A step on one line."""
-    from tessera.functions.text import one_line
-
     return F.concat_ws(" ", F.concat(F.lit("["), kind, F.lit("]")), name, F.when(status != "ok", F.concat(F.lit("("), status, F.lit(")"))), one_line(text))
 
 

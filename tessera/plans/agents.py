@@ -74,22 +74,22 @@ def recency_decay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id FROM memories WHERE importance < 0.2", "memories")
 def forget_importance(spark: SparkSession, d: str) -> DataFrame:
-    return memory.forget_unimportant(ad.memories(spark, d), 0.2)
+    return memory.forget_unimportant(ad.memories(spark, d), 0.2).select("id")
 
 
 @query("SELECT id FROM memories WHERE created_at < TIMESTAMP '2024-02-15' - INTERVAL 30 DAY", "memories")
 def forget_age(spark: SparkSession, d: str) -> DataFrame:
-    return memory.forget_older(ad.memories(spark, d), now(), 30)
+    return memory.forget_older(ad.memories(spark, d), now(), 30).select("id")
 
 
 @query("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user ORDER BY importance DESC, created_at DESC, id DESC) AS n FROM memories) WHERE n > 10", "memories")
 def forget_capacity(spark: SparkSession, d: str) -> DataFrame:
-    return memory.forget_beyond(ad.memories(spark, d), 10, "user")
+    return memory.forget_beyond(ad.memories(spark, d), 10, "user").select("id")
 
 
 @query("""SELECT id, CASE WHEN superseded_by IN (SELECT id FROM memories) THEN superseded_by ELSE coalesce(superseded_by, id) END AS final, CASE WHEN superseded_by IS NULL THEN 0 ELSE 1 END AS steps FROM memories""", "memories")
 def supersede_chain(spark: SparkSession, d: str) -> DataFrame:
-    return memory.superseded_chain(ad.memories(spark, d))
+    return memory.superseded_chain(ad.memories(spark, d)).select("id", "final", "steps")
 
 
 @query("""SELECT user, floor(sum(s) / sum(n) * 1e10 + 0.5) / 1e10 AS importance, arg_min(type, lpad(CAST(1000000 - n AS VARCHAR), 8, '0') || type) AS type, CAST(sum(n) AS BIGINT) AS n FROM (
@@ -339,7 +339,7 @@ def trace_summary(spark: SparkSession, d: str) -> DataFrame:
     return traces.summary(ad.traces(spark, d)).withColumn("latency_ms", vx.rounded(F.col("latency_ms"), 3))
 
 
-@query("SELECT run_id, min(pos) AS first_pos, count(*) AS n_events, CASE WHEN run_id IS NULL THEN 4611686018427387904 ELSE min(pos) END AS place FROM traces GROUP BY run_id", "traces")
+@query("SELECT *, row_number() OVER (ORDER BY run_id IS NULL, first_pos) - 1 AS place FROM (SELECT run_id, min(pos) AS first_pos, count(*) AS n_events FROM traces GROUP BY run_id)", "traces")
 def trace_run_order(spark: SparkSession, d: str) -> DataFrame:
     return traces.run_order(ad.traces(spark, d))
 
@@ -368,11 +368,21 @@ def trace_doctor(spark: SparkSession, d: str) -> DataFrame:
     return flagged.join(with_any, flagged["run_id"].eqNullSafe(with_any["r"]), "left_semi").select("run_id", "needs_doctor")
 
 
-@query("""SELECT run_id, string_agg(step || ' [' || type || '] ' || CASE WHEN status IS NOT NULL AND status <> 'ok' THEN '(' || status || ') ' ELSE '' END || pos, chr(10) ORDER BY step) AS timeline FROM steps WHERE step < 5 GROUP BY run_id""", "traces")
+EVENT_LINE = """'[' || type || ']' || CASE type WHEN 'llm' THEN ' ' || concat_ws(' ', tokens || ' tokens', 'finish=' || finish_reason) WHEN 'tool' THEN coalesce(' status=' || status, '')
+  WHEN 'retrieval' THEN coalesce(' ' || hits || ' hits', '') WHEN 'index_sync' THEN ' ' || concat_ws(' ', 'pending=' || pending, 'converged=' || converged) ELSE '' END"""
+ELIDED = """shown AS (SELECT s.*, s.step < 12 OR s.step > max(s.step) OVER (PARTITION BY s.run_id) - 8 OR f.step IS NOT NULL AS shown FROM steps s
+  LEFT JOIN (SELECT DISTINCT run_id, step FROM findings) f ON f.run_id IS NOT DISTINCT FROM s.run_id AND f.step = s.step),
+grouped AS (SELECT *, sum(CASE WHEN shown THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM shown),
+listed AS (SELECT run_id, step AS at, step || ' ' || """ + EVENT_LINE + """ AS l FROM grouped WHERE shown UNION ALL SELECT run_id, min(step), '… ' || count(*) || ' steps …' FROM grouped WHERE NOT shown GROUP BY run_id, g),
+totals AS (SELECT run_id AS r, count(*) || ' steps, ' || count(*) FILTER (WHERE type = 'llm') || ' llm, ' || count(*) FILTER (WHERE type = 'tool') || ' tool, ' || CAST(sum(coalesce(tokens, 0)) AS BIGINT) || ' tokens, ' AS t FROM traces GROUP BY run_id),
+issues AS (SELECT run_id AS ir, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w FROM findings GROUP BY run_id)"""
+
+
+@query("SELECT * FROM (WITH " + ad.CTE["traces"] + ", " + ELIDED + """ SELECT run_id, left(any_value(t) || any_value(coalesce(e, 0)) || ' errors, ' || any_value(coalesce(w, 0)) || ' warnings' || chr(10) || string_agg(l, chr(10) ORDER BY at), 20000) AS timeline
+  FROM listed JOIN totals ON r IS NOT DISTINCT FROM run_id LEFT JOIN issues ON ir IS NOT DISTINCT FROM run_id GROUP BY run_id)""")
 def trace_timeline(spark: SparkSession, d: str) -> DataFrame:
-    s = traces.steps(ad.traces(spark, d)).where("step < 5")
-    shown = s.select("run_id", "step", F.lit(0).alias("gap"), F.col("step").alias("at"))
-    return traces.timeline(s, shown, traces.line(F.col("type"), F.lit(None).cast("string"), F.col("status"), F.col("pos").cast("string")))
+    """Every run: its totals, its first and last steps, those with findings, and counts for the gaps."""
+    return traces.rendered(ad.traces(spark, d))
 
 
 # ---- index maintenance
@@ -499,4 +509,4 @@ def conversation_feed(spark: SparkSession, d: str) -> DataFrame:
 def error_classify(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("event_id") % 2 == 0, 400 + F.col("event_id") % 150)
     slow = F.when(F.col("event_type") == "view", "ReadTimeout").otherwise("ValueError")
-    return ad.read(spark, d, "events").select("event_id", F.coalesce(code.isin(408, 429) | (code >= 500) | F.lower(slow).contains("timeout"), F.lower(slow).contains("timeout")).alias("retryable"))
+    return ad.read(spark, d, "events").select("event_id", tools.retryable(code, slow).alias("retryable"))

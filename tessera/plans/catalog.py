@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import agents, documents, extras, retrieval
+from tessera.plans import agents, documents, extras, more, retrieval
 
-QUERIES = {**retrieval.QUERIES, **agents.QUERIES, **documents.QUERIES, **extras.QUERIES}
-SQL = {**retrieval.SQL, **agents.SQL, **documents.SQL, **extras.SQL}
+QUERIES = {**retrieval.QUERIES, **agents.QUERIES, **documents.QUERIES, **extras.QUERIES, **more.QUERIES}
+SQL = {**retrieval.SQL, **agents.SQL, **documents.SQL, **extras.SQL, **more.SQL}

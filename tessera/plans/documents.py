@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from tessera.operators import chunking
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
 from tessera.sources.markdown import to_markdown
+from tessera.sources.shared import shared_dir
 from tessera.streaming import feeds
 
 registry = Registry()
@@ -33,28 +33,28 @@ def _as_documents(rows: DataFrame, kind: str) -> DataFrame:
 @query()
 def markdown_split(spark: SparkSession, d: str) -> DataFrame:
     pages = to_markdown(ad.read(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("content")), "content")
-    return chunking.chunked(_as_documents(pages, "md"))
+    return chunking.chunked(_as_documents(pages, "md")).drop("metadata")
 
 
 @query()
 def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("content"))
-    return chunking.chunked(_as_documents(docs, "txt"), most=128, overlap=16)
+    return chunking.chunked(_as_documents(docs, "txt"), most=128, overlap=16).drop("metadata")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS idx, props AS content FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS doc_id, CAST(i - 1 AS INT) AS idx, ([props, event_type, CAST(user_id AS VARCHAR)])[i] AS content FROM events, (SELECT unnest([1, 2, 3]) AS i) WHERE trim(([props, event_type, CAST(user_id AS VARCHAR)])[i]) <> ''")
 def record_split(spark: SparkSession, d: str) -> DataFrame:
-    """A chunk for each record of a JSON document: the events of a user."""
-    held = ad.read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("r"))
-    records = F.transform("r", lambda r: r["props"])
-    docs = held.select(F.col("user_id").cast("string").alias("doc_id"), F.array_join(records, "\n\n").alias("content"), F.lit("").alias("title"), F.lit("jsonl").alias("format"), records.alias("records"))
+    """A chunk for each record of a JSON document: each event is one, of three records."""
+    records = F.array("props", "event_type", F.col("user_id").cast("string"))
+    docs = ad.read(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.array_join(records, "\n\n").alias("content"), F.lit("").alias("title"), F.lit("jsonl").alias("format"), records.alias("records"))
     return chunking.chunked(docs).select("doc_id", "idx", "content")
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]'))) AS n_paragraphs FROM documents")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, content FROM (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS content FROM documents) WHERE content <> ''""")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t\\r]"))
-    return ad.read(spark, d, "documents").select("doc_id", F.size(parts).cast("long").alias("n_paragraphs"))
+    """The paragraphs of each document, here its sentences, in one chunk without a bound."""
+    docs = ad.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit(". "), F.lit("\n\n")).alias("content"))
+    return chunking.chunked(_as_documents(docs, "txt"), most=1 << 40, overlap=0).select("doc_id", "content")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -63,9 +63,10 @@ def json_extract(spark: SparkSession, d: str) -> DataFrame:
     return ad.read(spark, d, "events").select("event_id", F.try_variant_get(tx.json_in_prose(prose), "$.k", "bigint").alias("k"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[ \\t]*([-*•]|[0-9]+[.)])[ \\t]*', ''))), lambda x: x <> '')) AS n_lines FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split('- ' || replace(text, '. ', chr(10) || '2) '), chr(10)), lambda x: trim(regexp_replace(x, '^[ \\t]*([-*•]|[0-9]+[.)])[ \\t]*', ''))), lambda x: x <> ''), '|') AS lines FROM conversations")
 def bullet_parse(spark: SparkSession, d: str) -> DataFrame:
-    return ad.read(spark, d, "conversations").select("conv_id", "turn", F.size(tx.bullet_lines(F.col("text"))).cast("long").alias("n_lines"))
+    listed = F.concat(F.lit("- "), F.replace("text", F.lit(". "), F.lit("\n2) ")))
+    return ad.read(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.bullet_lines(listed), "|").alias("lines"))
 
 
 @query("""SELECT user_id, array_to_string(CASE WHEN len(q) > 0 THEN q ELSE ['none'] END, '|') AS queries FROM (
@@ -83,8 +84,7 @@ def external_sanitize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _workspace(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:

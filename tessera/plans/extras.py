@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import budget as bd
 from tessera.functions import parsing
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
-from tessera.operators import ports, search, sessions, tables, traces
+from tessera.operators import memory, ports, search, sessions, tables, tools, traces
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
+from tessera.sources import loaders
+from tessera.streaming import exporters
 
 registry = Registry()
 query = registry.query
@@ -88,20 +89,20 @@ def state_version(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('click', 'view')) AS answer FROM events GROUP BY user_id")
 def latest_answer(spark: SparkSession, d: str) -> DataFrame:
-    fine = F.col("event_type").isin("click", "view")
-    return ad.read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.when(fine, F.col("event_id"))).alias("answer"))
+    steps = ad.read(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("type"), F.col("event_type").alias("text"))
+    return sessions.latest_answer(steps, "user_id", "event_id", ("click", "view"))
 
 
 @query("SELECT run_id, pos FROM (SELECT run_id, pos, row_number() OVER (PARTITION BY run_id ORDER BY pos DESC) AS n FROM traces) WHERE n <= 8", "traces")
 def ring_buffer(spark: SparkSession, d: str) -> DataFrame:
     """The last eight events of each run."""
-    newest = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("pos")))
-    return ad.traces(spark, d).withColumn("n", newest).where("n <= 8").select("run_id", "pos")
+    return traces.newest(ad.traces(spark, d), 8).select("run_id", "pos")
 
 
-@query("SELECT type, count(*) FILTER (WHERE status = 'error') AS failures, count(*) AS calls FROM traces GROUP BY type", "traces")
+@query("SELECT event_type AS exporter, count(*) FILTER (WHERE event_id % 3 = 0) AS failures, count(*) AS attempts FROM events GROUP BY event_type")
 def export_failures(spark: SparkSession, d: str) -> DataFrame:
-    return ad.traces(spark, d).groupBy("type").agg(F.count_if(F.col("status") == "error").alias("failures"), F.count("*").alias("calls"))
+    """A log of exports, a third of them failed."""
+    return exporters.failure_counts(ad.read(spark, d, "events").select(F.col("event_type").alias("exporter"), (F.col("event_id") % 3 != 0).alias("ok")))
 
 
 @query("SELECT event_id, type_name, truncated FROM (SELECT event_id, event_type AS type_name, event_type = 'signup' AND event_id % 5 = 0 AS truncated FROM events)")
@@ -115,23 +116,27 @@ def decision_injection(spark: SparkSession, d: str) -> DataFrame:
     """Decisions reach the pending calls that they name, and no others."""
     calls = ad.read(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("call_id"))
     decisions = ad.read(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("call_id"), (F.col("event_id") % 2 == 0).alias("approved"))
-    return calls.join(decisions, "call_id", "left")
+    return sessions.injected(calls, decisions)
 
 
-@query("SELECT o_custkey AS session, array_to_string(list_sort(list_distinct(list('tool-' || o_orderstatus))), ',') AS tools FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey")
+@query("SELECT session, row_number() OVER (PARTITION BY session ORDER BY at, name) - 1 AS place, name FROM (SELECT o_custkey AS session, 'tool-' || o_orderstatus AS name, min(o_orderkey) AS at FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)")
 def discovered_tools(spark: SparkSession, d: str) -> DataFrame:
-    """Tools that a session has found, each once, without the one that is there from the start."""
-    found = F.array_except(F.collect_set(F.concat(F.lit("tool-"), "o_orderstatus")), F.array(F.lit("tool-P")))
-    out = ad.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.array_sort(found).alias("t"))
-    return out.where(F.size("t") > 0).select("session", F.array_join("t", ",").alias("tools"))
+    """Tools that a session has found, each once and in that order, without the one that is there from the start."""
+    found = ad.read(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("at"), F.concat(F.lit("tool-"), "o_orderstatus").alias("name"))
+    present = found.select("session").distinct().withColumn("name", F.lit("tool-P"))
+    return sessions.discovered(found, present).withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 9999 WHEN n_nationkey IS NOT NULL THEN 1000 + n_nationkey ELSE -1 END AS context_window FROM orders LEFT JOIN nation ON n_nationkey = o_custkey")
+@query("""SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN 9999 END, CASE WHEN o_custkey = 3 THEN 777 END, CASE WHEN o_custkey % 2 = 0 AND n_nationkey IS NOT NULL THEN 1000 + n_nationkey END, -1) AS context_window,
+  coalesce(CASE WHEN o_custkey = 3 THEN 77 END, CASE WHEN o_custkey % 2 = 0 AND n_nationkey IS NOT NULL THEN 10 + n_nationkey END, -1) AS max_output FROM orders LEFT JOIN nation ON n_nationkey = o_custkey""")
 def model_limits(spark: SparkSession, d: str) -> DataFrame:
-    """A limit that is given, else the catalogue's, else none."""
-    catalogue = ad.read(spark, d, "nation").select(F.col("n_nationkey").alias("o_custkey"), (F.lit(1000) + F.col("n_nationkey")).alias("listed"))
-    given = F.when(F.col("o_orderkey") % 4 == 0, F.lit(9999))
-    return ad.read(spark, d, "orders").join(catalogue, "o_custkey", "left").select("o_orderkey", F.coalesce(given, "listed", F.lit(-1)).alias("context_window"))
+    """A limit that is given, else the profile's of the default model, else the catalogue's, else none."""
+    n = ad.read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("model"))
+    catalogue = n.where("k % 2 = 0").select("model", (F.lit(1000) + F.col("k")).alias("context_window"), (F.lit(10) + F.col("k")).alias("max_output"))
+    profiles = n.select("model", F.lit(777).alias("context_window"), F.lit(77).alias("max_output"))
+    calls = ad.read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("model"), F.when(F.col("o_orderkey") % 4 == 0, F.lit(9999)).alias("context_window"), F.lit(None).cast("int").alias("max_output"))
+    out = tools.resolved_limits(calls, profiles, catalogue, "m3")
+    return out.select("o_orderkey", F.coalesce("context_window", F.lit(-1)).alias("context_window"), F.coalesce("max_output", F.lit(-1)).alias("max_output"))
 
 
 @query("SELECT id, CASE WHEN event_id % 6 = 0 THEN 'changed' ELSE type END AS content, event_id % 6 = 0 AS fresh FROM memories", "memories")
@@ -153,46 +158,40 @@ def memory_touch(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user, id FROM (SELECT user, id, row_number() OVER (PARTITION BY user ORDER BY created_at DESC, id) AS n FROM memories WHERE invalid_at IS NULL) WHERE n <= 5", "memories")
 def summary_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The five newest valid memories of each user."""
-    m = ad.memories(spark, d).where("invalid_at IS NULL").withColumn("query_id", F.col("user"))
-    return search.ranked(m, 5, F.desc("created_at"), F.col("id")).select("user", "id")
+    return memory.summary_candidates(ad.memories(spark, d), owner="user").select("user", "id")
 
 
 @query("""SELECT conv_id, string_agg(upper(role) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS trajectory FROM conversations GROUP BY conv_id""")
 def trajectory_render(spark: SparkSession, d: str) -> DataFrame:
-    one = F.concat(F.upper("role"), F.lit("\n"), F.col("text"))
-    held = ad.read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one.alias("t")))).alias("s"))
-    return held.select("conv_id", F.array_join(F.transform("s", lambda s: s["t"]), "\n\n").alias("trajectory"))
+    return sessions.trajectory(ad.read(spark, d, "conversations").withColumn("label", F.upper("role")), "conv_id", "turn")
 
 
 @query("SELECT o_orderkey, CAST(floor(w * 0.5) AS BIGINT) AS max_tokens, CAST(floor(w * 0.4 * 0.5) AS BIGINT) AS rag_budget FROM (SELECT o_orderkey, floor(o_totalprice) AS w FROM orders)")
 def context_config(spark: SparkSession, d: str) -> DataFrame:
     """Limits derived from a window: half of it, and of that a share for retrieval."""
-    w = F.floor("o_totalprice")
-    return ad.read(spark, d, "orders").select("o_orderkey", F.floor(w * 0.5).alias("max_tokens"), bd.quota(w, F.lit(0.4 * 0.5), F.lit(1.0)).alias("rag_budget"))
+    most, rag = bd.context_limits(F.floor("o_totalprice"), 0.4)
+    return ad.read(spark, d, "orders").select("o_orderkey", most.alias("max_tokens"), rag.alias("rag_budget"))
 
 
-@query("SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations) WHERE n <= 2000")
+@query("""SELECT conv_id, left(text, 2000) AS text, length(text) > 2000 AS truncated FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)""")
 def bounded_join(spark: SparkSession, d: str) -> DataFrame:
-    """The first blocks of a result whose text stays within a bound."""
-    rows = ad.read(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("pos"), F.char_length("text").alias("tokens"))
-    from tessera.operators.context import greedy
-
-    return greedy(rows, F.lit(2000), "conv_id").where("taken").select("conv_id", "turn")
+    """The text of a result, cut at a bound."""
+    return tools.joined_text(ad.read(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", 2000)
 
 
 @query("SELECT conv_id, max(turn) AS cached_until FROM conversations WHERE turn < 3 GROUP BY conv_id")
 def prefix_cache(spark: SparkSession, d: str) -> DataFrame:
     """Summaries cached over a session's first messages are found again by the digest of the prefix."""
     m = ad.messages(spark, d)
-    cached = sessions.prefix_digests(m.where("seq < 3"), ("sc_session",)).select("conv_id", "digest")
-    now = sessions.prefix_digests(m, ("sc_session",)).select("conv_id", "seq", "digest")
-    return now.join(cached, ["conv_id", "digest"]).groupBy("conv_id").agg(F.max("seq").alias("cached_until"))
+    cached = sessions.prefix_digests(m.where("seq < 3"), ("sc_session",)).select("sc_session", "digest")
+    return sessions.cached_prefix(m, cached, ("sc_session",)).select(F.col("sc_session").cast("long").alias("conv_id"), "cached_until")
 
 
-@query("SELECT doc_id, regexp_extract(url, '([^/?#]*)$', 1) AS tail FROM (SELECT page_id AS doc_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)")
+@query("""SELECT page_id, regexp_replace(name, '\\.[^.]*$', '') AS title, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, sha1('file:' || url) AS doc_id FROM (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS name FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.HTML' WHEN 1 THEN '.tar.gz' ELSE '' END AS url FROM pages))""")
 def path_titles(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.regexp_replace("url", "[?#].*$", "")
-    return ad.read(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract(bare, "([^/?#]*)$", 1).alias("tail"))
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, ".HTML").when(F.col("page_id") % 3 == 1, ".tar.gz").otherwise(""))
+    title, ext = loaders.path_parts(url)
+    return ad.read(spark, d, "pages").select("page_id", title.alias("title"), ext.alias("ext"), loaders.file_id(url).alias("doc_id"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(replace(text, chr(10), ' '), 1, 120) || '…' ELSE replace(text, chr(10), ' ') END AS line FROM documents")

@@ -106,7 +106,8 @@ KNN = """SELECT query_id, id, rank, floor(distance * 1e6 + 0.5) / 1e6 AS distanc
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: vx.rounded(F.col(n)) for n in names})
+    """Without the scope of the items, their ids being distinct here."""
+    return df.withColumns({n: vx.rounded(F.col(n)) for n in names}).drop(*scope.DIMENSIONS)
 
 
 @query(KNN.format(where=""))
@@ -128,7 +129,7 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT term, CAST(doc_id AS VARCHAR) AS id, CAST(dl AS INT) AS dl, tf FROM postings", "terms")
 def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
-    return search.postings(ad.items(spark, d))
+    return search.postings(ad.items(spark, d)).select("term", "id", "dl", "tf")
 
 
 @query("SELECT n_docs, floor(avg_dl * 1e6 + 0.5) / 1e6 AS avg_dl FROM stats", "terms")
@@ -203,7 +204,8 @@ def _hybrid(spark: SparkSession, d: str, where=None) -> DataFrame:
     asked = texts.select("query_id").join(ad.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     dense = search.nearest(ad.vectors(spark, d), asked, top_k=search.POOL)
     sparse = search.bm25(ad.items(spark, d), texts, top_k=search.POOL, where=where)
-    return search.hybrid(dense, sparse).select("query_id", F.col("key").alias("id"), vx.rounded(F.col("score")).alias("score"), "rank")
+    own = lambda df: df.drop(*scope.DIMENSIONS)  # the vectors' owners are not those of the texts
+    return search.hybrid(own(dense), own(sparse)).select("query_id", "id", vx.rounded(F.col("score")).alias("score"), "rank")
 
 
 @query("SELECT * FROM (" + "WITH " + ad.CTE["terms"] + ", " + HYBRID.format(where="") + ")")

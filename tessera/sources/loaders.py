@@ -1,18 +1,28 @@
 """Files as documents: doc_id, content, title, source, format, records, record_count.
 
-All readers are Spark's own; a file's size is checked from the listing before its bytes are decoded.
+Files are listed and read by Spark. Their sizes are a filter on the listing, so what is too large is never read; what is rejected has a reason.
 """
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+import re
 import warnings
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_BYTES = 10 * 1024 * 1024
-MOST_CHARS = 10_000_000
-TEXT, RECORDS = ("txt", "md", "markdown", "text", ""), ("json", "jsonl", "csv")
+from tessera.sources.markdown import markdown
+
+#: Bytes and characters of a file, bytes that a container may expand to, and how often its packed size.
+MOST_BYTES, MOST_CHARS, MOST_EXPANDED, MOST_RATIO = 10 * 1024 * 1024, 10_000_000, 100 * 1024 * 1024, 1000
+RECORDS, CONTAINERS, UNREAD = ("json", "jsonl", "csv"), ("docx",), ("doc", "pdf", "ppt", "pptx", "xls", "xlsx", "zip", "epub")
 
 
 def path_parts(path: Column) -> tuple[Column, Column]:
@@ -25,73 +35,117 @@ def file_id(path: Column) -> Column:
     return F.sha1(F.concat(F.lit("file:"), path))
 
 
-def files(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Readable files (path, title, ext, text) and rejected ones (path, reason): too large, too long as text, or of a kind that is not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    title, ext = path_parts(F.col("path"))
-    listed = raw.withColumn("title", title).withColumn("ext", ext)
-    text = F.decode("content", "UTF-8")
-    reason = F.when(F.col("length") > most_bytes, "too large").when(F.col("ext") == "doc", "format not read")
-    # a text has no more characters than bytes: only files of many bytes are decoded for it
-    reason = reason.when(F.col("length") > most_chars, F.when(F.char_length(text) > most_chars, "text too long"))
-    rejected = listed.select("path", reason.alias("reason")).where("reason IS NOT NULL")
-    return listed.where(reason.isNull()).select("path", "title", "ext", text.alias("text")), rejected
+def json_records(text: str) -> list[str]:
+    """The elements of an array, or the value itself, each as JSON."""
+    value = json.loads(text)
+    return [json.dumps(v, ensure_ascii=False) for v in (value if isinstance(value, list) else [value])]
 
 
-def json_records(text: Column, ext: Column) -> Column:
-    """The records of a JSON text: elements of an array, lines that are not blank of a .jsonl, else the whole; each as JSON."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
-    elements = F.transform(F.from_json(text, "array<string>"), lambda x: x)
-    return F.when(ext == "jsonl", lines).when(F.substring(F.trim(text), 1, 1) == "[", elements).otherwise(F.array(text))
+def line_records(text: str) -> list[str]:
+    return [json.dumps(json.loads(line), ensure_ascii=False) for line in text.splitlines() if line.strip()]
 
 
-def csv_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A document for each CSV file: its rows as lines `name: value`."""
-    rows = spark.read.csv(path, header=True, multiLine=True).withColumn("_path", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    names = [c for c in rows.columns if c not in ("_path", "_at")]
-    one = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in names))
-    title, _ = path_parts(F.col("_path"))
-    held = rows.select("_path", "_at", one.alias("r")).groupBy("_path").agg(F.array_sort(F.collect_list(F.struct("_at", "r"))).alias("s"))
-    return _documents(held.select(F.col("_path").alias("path"), title.alias("title"), F.lit("csv").alias("format"), F.transform("s", lambda s: s["r"]).alias("records")))
+def csv_records(text: str) -> list[str]:
+    """The rows of a CSV text as lines `name: value`, by its own header; cells beyond the header have no name and are left out, missing ones are empty."""
+    rows = csv.DictReader(io.StringIO(text, newline=""))
+    return ["\n".join(f"{k}: {v or ''}" for k, v in row.items() if k is not None) for row in rows]
 
 
-def _documents(df: DataFrame) -> DataFrame:
-    content = F.array_join("records", "\n\n") if "text" not in df.columns else F.col("text")
-    return df.select(file_id(F.col("path")).alias("doc_id"), content.alias("content"), "title", F.col("path").alias("source"), "format", "records", F.size("records").alias("record_count"))
+READERS: dict[str, Callable[[str], list[str]]] = {"json": json_records, "jsonl": line_records, "csv": csv_records}
 
 
-def documents(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS, strict: bool = False) -> DataFrame:
-    """Text, Markdown, JSON and HTML files as documents; unknown extensions count as text, HTML becomes Markdown.
+def docx_text(content: bytes) -> str:
+    """A Word file's paragraphs as Markdown; one that expands too far raises before it is unpacked."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        infos = z.infolist()
+        if sum(i.file_size for i in infos) > MOST_EXPANDED or any(i.file_size > MOST_RATIO * max(1, i.compress_size) for i in infos):
+            raise ValueError("expands too far")
+        root = ElementTree.fromstring(z.read("word/document.xml"))
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    out = []
+    for p in root.iter(f"{w}p"):
+        style = p.find(f"{w}pPr/{w}pStyle")
+        level = re.fullmatch(r"[Hh]eading ?([1-6])", style.get(f"{w}val", "")) if style is not None else None
+        text = "".join(t.text or "" for t in p.iter(f"{w}t"))
+        if text.strip():
+            out.append(f"{'#' * int(level[1])} {text}" if level else text)
+    return "\n\n".join(out)
 
-    If files are rejected it warns with their number and reasons, or raises if `strict`; `files` lists them all.
-    """
-    from tessera.sources.markdown import to_markdown
 
-    read, rejected = files(spark, path, most_bytes=most_bytes, most_chars=most_chars)
-    bad = rejected.groupBy("reason").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy("reason").collect()
+#: Readers that a user adds: extension to a function of the file's text.
+Reader = Callable[[str], str]
+
+
+def load(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS, readers: dict[str, Reader] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents, and rejected files (path, reason): too large, of a kind that is not read, too long as text, or broken.
+
+    Text, Markdown, JSON, JSON lines, CSV, HTML and Word files, by extension; `readers` adds or replaces some, unknown extensions count as text. Each file is read by itself: CSV by its own
+    header, JSON records in one form. HTML and Word become Markdown.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    title, ext = path_parts(F.col("path"))
+    unread = F.when(F.col("length") > most_bytes, "too large").when(ext.isin(*(set(UNREAD) - set(readers or {}))), "format not read")
+    rejected = listed.select("path", unread.alias("reason")).where("reason IS NOT NULL")
+    rows = listed.where(F.col("length") <= most_bytes).select("path", title.alias("title"), ext.alias("ext"), "content").where(~F.col("ext").isin(*(set(UNREAD) - set(readers or {}))))
+
+    def one(kind: str, content: bytes) -> tuple[str, str, list[str] | None]:
+        """Text, format and records of a file."""
+        if kind in CONTAINERS and kind not in (readers or {}):
+            return docx_text(content), "md", None
+        text = content.decode("utf-8-sig", "replace")
+        if len(text) > most_chars:
+            raise ValueError("text too long")
+        if kind in (readers or {}):
+            return readers[kind](text), "txt", None
+        if kind in READERS:
+            records = READERS[kind](text)
+            return "\n\n".join(records), kind, records
+        if kind in ("html", "htm"):
+            return markdown(text), "md", None
+        return text, "md" if kind in ("md", "markdown") else "txt", None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, t, kind, content in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    text, form, records, reason = *one(kind, content), None
+                    if len(text) > most_chars:
+                        raise ValueError("text too long")
+                except Exception as e:  # a broken file is named, the others go on
+                    text, form, records, reason = None, None, None, str(e)[:200] or type(e).__name__
+                    if reason not in ("text too long", "expands too far"):
+                        reason = f"broken: {reason}"
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([t]), pa.array([text], pa.string()), pa.array([form], pa.string()), pa.array([records], pa.list_(pa.string())), pa.array([reason], pa.string())], names=["path", "title", "text", "format", "records", "reason"])
+
+    read = rows.mapInArrow(run, "path string, title string, text string, format string, records array<string>, reason string")
+    good = read.where("reason IS NULL")
+    docs = good.select(file_id(F.col("path")).alias("doc_id"), F.col("text").alias("content"), "title", F.col("path").alias("source"), "format", "records", F.when(F.col("records").isNotNull(), F.size("records")).alias("record_count"))
+    return docs, rejected.unionByName(read.where("reason IS NOT NULL").select("path", "reason"))
+
+
+def documents(spark: SparkSession, path: str, *, strict: bool = False, **limits: int) -> DataFrame:
+    """The documents of a folder, by load(). If files are rejected it warns with their number and reasons, or raises if `strict`; load() lists them all."""
+    read, rejected = load(spark, path, **limits)
+    bad = rejected.groupBy("reason").agg(F.count("*").alias("n"), F.min("path").alias("path")).orderBy("reason").limit(20).collect()
     if bad:
         message = "files not read: " + "; ".join(f"{r.n} {r.reason}, as {r.path}" for r in bad)
         if strict:
             raise ValueError(message)
         warnings.warn(message, stacklevel=2)
-    records = read.where(F.col("ext").isin("json", "jsonl"))
-    out = _documents(records.select("path", "title", F.col("ext").alias("format"), json_records(F.col("text"), F.col("ext")).alias("records")))
-    none = F.lit(None).cast("array<string>")
-    plain = read.where(~F.col("ext").isin("json", "jsonl", "csv", "html", "htm"))
-    kind = F.when(F.col("ext").isin("md", "markdown"), "md").otherwise("txt")
-    out = out.unionByName(_documents(plain.select("path", "title", "text", kind.alias("format"), none.alias("records"))))
-    html = to_markdown(read.where(F.col("ext").isin("html", "htm")), "text")
-    return out.unionByName(_documents(html.select("path", "title", "text", F.lit("md").alias("format"), none.alias("records"))))
+    return read
 
 
-def trace_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Events (pos, event VARIANT) of JSON lines, and bad lines (pos, value); blank lines are left out.
+def trace_lines(spark: SparkSession, path: str, *, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Events (pos, event VARIANT) of JSON lines, and bad lines (pos, value); blank lines are left out. If `strict` a bad line raises with its number.
 
     pos counts lines within a file; it comes from reading each file whole, for a line's number needs all lines before it.
     """
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "value"))
     lines = whole.where("trim(value) <> ''").select((F.col("pos") + 1).alias("pos"), "value", F.try_parse_json("value").alias("event"))
-    return lines.where("event IS NOT NULL").select("pos", "event"), lines.where("event IS NULL").select("pos", "value")
+    bad = lines.where("event IS NULL").select("pos", "value")
+    if strict and (first := bad.orderBy("pos").limit(1).collect()):
+        raise ValueError(f"line {first[0].pos} is no JSON")
+    return lines.where("event IS NOT NULL").select("pos", "event"), bad
 
 
 def skills(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tessera.operators.tables import ITEM_KEY, upsert
+from tessera.sources.shared import materialize
 from tessera.sources.versioned import VersionedStore
 
 
@@ -40,20 +41,32 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def apply_outbox(stream: DataFrame, store: VersionedStore, table: str, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch of changed items (key, content_hash, ...) into the store's table.
+#: Parts of an outbox's table; a batch writes those that it touches.
+BUCKETS = 32
 
-    A batch that is run again after a failure finds its rows already there with the same digest, so it changes nothing.
+
+def apply_outbox(stream: DataFrame, store: VersionedStore, table: str, checkpoint: str, *, buckets: int = BUCKETS) -> StreamingQuery:
+    """Upserts each batch of changed items (key, content_hash, ...) into the store's table, which stands in `buckets` parts by a hash of the key.
+
+    Only parts with changed rows are written again. A batch that is run again after a failure finds its rows already there with the same digest, so it changes nothing.
     """
+    bucket = F.pmod(F.xxhash64(*ITEM_KEY), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy(*ITEM_KEY).agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*").drop("seq")
-        if store.current() is None:
-            store.commit({table: last})
-            return
-        held = store.read(table)
-        new = last.join(held.select(*ITEM_KEY, "content_hash"), [*ITEM_KEY, "content_hash"], "left_anti")
-        if new.limit(1).count():
-            store.commit({table: upsert(held, new)})
+        last = batch.groupBy(*ITEM_KEY).agg(F.max_by(F.struct(*batch.columns), "seq").alias("r")).select("r.*").drop("seq").withColumn("_bucket", bucket)
+        last = materialize(last, "outbox")
+        held = store.tables() if store.current() else {}
+        changed = {}
+        for r in last.select("_bucket").distinct().collect():  # one row for each part at most
+            name, own = f"{table}/{r._bucket:03d}", last.where(F.col("_bucket") == r._bucket).drop("_bucket")
+            if name not in held:
+                changed[name] = own
+                continue
+            old = batch.sparkSession.read.parquet(held[name])
+            new = own.join(old.select(*ITEM_KEY, "content_hash"), [*ITEM_KEY, "content_hash"], "left_anti")
+            if new.limit(1).count():
+                changed[name] = upsert(old, new)
+        if changed:
+            store.commit(changed)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -142,11 +142,31 @@ def test_loaders(spark, tmp_path):
     assert found["b"].records == ['{"a": 1}', '{"a": 2}'] and found["b"].record_count == 2
     assert len(found["c"].records) == 2
     assert found["d"].content == "# T\n\none **two**"
-    assert {r.reason for r in loaders.files(spark, str(tmp_path), most_bytes=60)[1].collect()} == {"too large", "format not read"}
+    assert {r.reason for r in loaders.load(spark, str(tmp_path), most_bytes=60)[1].collect()} == {"too large", "format not read"}
     csv = tmp_path / "csv"
     csv.mkdir()
     (csv / "t.csv").write_text("k,v\n1,2\n3,4\n")
-    assert loaders.csv_documents(spark, str(csv)).first().records == ["k: 1\nv: 2", "k: 3\nv: 4"]
+    (csv / "u.csv").write_text('a,b,c\n"x\ny",5,6\n')
+    found = {r.title: r.records for r in loaders.documents(spark, str(csv)).collect()}
+    assert found == {"t": ["k: 1\nv: 2", "k: 3\nv: 4"], "u": ["a: x\ny\nb: 5\nc: 6"]}
+
+
+def test_broken_files_and_containers(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "bad.json").write_text("[1, 2")
+    (tmp_path / "ok.json").write_text('{"b":"\u00e9", "a": [1]}')
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    text = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>one </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>'
+    with zipfile.ZipFile(tmp_path / "w.docx", "w") as z:
+        z.writestr("word/document.xml", text)
+    with zipfile.ZipFile(tmp_path / "bomb.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "0" * 30_000_000)
+    docs, rejected = loaders.load(spark, str(tmp_path), readers={"odd": str.upper})
+    found = {r.title: r for r in docs.collect()}
+    assert found["ok"].records == ['{"b": "é", "a": [1]}'] and found["w"].content == "# Top\n\none two"
+    reasons = {r.path.rpartition("/")[2]: r.reason for r in rejected.collect()}
+    assert reasons["bomb.docx"] == "expands too far" and reasons["bad.json"].startswith("broken:")
 
 
 def test_skills_and_traces(spark, tmp_path):
@@ -234,10 +254,167 @@ def test_ports(spark):
 def test_files_beyond_the_limits_are_named(spark, tmp_path):
     for name, text in (("a.txt", "x" * 10), ("b.txt", "x" * 11), ("c.txt", "é" * 10), ("d.txt", "x" * 40)):
         (tmp_path / name).write_text(text, encoding="utf-8")
-    read, rejected = loaders.files(spark, str(tmp_path), most_bytes=30, most_chars=10)
-    assert sorted(r.text for r in read.collect()) == ["x" * 10, "é" * 10]
+    read, rejected = loaders.load(spark, str(tmp_path), most_bytes=30, most_chars=10)
+    assert sorted(r.content for r in read.collect()) == ["x" * 10, "é" * 10]
     assert sorted((r.path[-5:], r.reason) for r in rejected.collect()) == [("b.txt", "text too long"), ("d.txt", "too large")]
     with pytest.raises(ValueError, match="1 text too long, as .*b.txt; 1 too large"):
         loaders.documents(spark, str(tmp_path), most_bytes=30, most_chars=10, strict=True)
     with pytest.warns(UserWarning, match="1 text too long, as .*b.txt; 1 too large"):
         assert loaders.documents(spark, str(tmp_path), most_bytes=30, most_chars=10).count() == 2
+
+
+def brute_pack(units, most, overlap):
+    """Straight from the rule, counting every joined text again."""
+    size = lambda x: chunking.tokens("\n".join(x))
+    out, held = [], []
+    for u in units:
+        if held and size([*held, u]) > most:
+            out.append(held)
+            k = len(held)
+            while k and size(held[k - 1 :]) <= overlap:
+                k -= 1
+            held = held[k:]
+            while held and size([*held, u]) > most:
+                held = held[1:]
+        held = [*held, u]
+    return ["\n".join(x).strip() for x in ([*out, held] if held else out)]
+
+
+def test_packing_is_what_the_rule_says():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(400):
+        units = ["".join(rng.choices("ab字. ", k=rng.randrange(1, 40))) for _ in range(rng.randrange(0, 30))]
+        most = rng.randrange(2, 40)
+        overlap = rng.randrange(0, most)
+        pieces = chunking.pieces_of(units, most)
+        assert "".join(pieces) == "".join(units) and all(chunking.tokens(p) <= most for p in pieces)
+        assert chunking.pack(units, most, overlap) == brute_pack(pieces, most, overlap)
+        assert chunking.pack(units, most, overlap, len) == [c for c in chunking.pack(units, most, overlap, lambda t: len(t))]
+    with pytest.raises(ValueError, match="one character"):
+        chunking.cut_characters("abc", 1, lambda t: 2 * len(t))
+
+
+def test_equal_ids_of_two_owners_stay_apart(spark):
+    rows = scope.scoped(spark.createDataFrame([("1", "alice", "cat"), ("1", "bob", "cat dog")], "id string, u string, content string"), sc_user=F.col("u")).drop("u")
+    hits = search.bm25(rows, spark.createDataFrame([(1, "cat")], "query_id int, query string"))
+    assert {(r.sc_user, r.rank) for r in hits.collect()} == {("alice", 1), ("bob", 2)}
+    chunks = rows.where("sc_user = 'bob'").withColumnRenamed("id", "chunk_id")
+    assert [r.sc_user for r in rag.hydrated(hits.select("query_id", "rank", "id", *scope.DIMENSIONS), chunks).collect()] == ["bob"]
+    assert [r.sc_user for r in rag.orphans(hits, chunks).collect()] == ["alice"]
+    at = F.lit("2024-01-01").cast("timestamp")
+    m = rows.withColumns({c: F.lit(None).cast("timestamp") for c in ("created_at", "updated_at", "last_accessed_at", "invalid_at")}).withColumn("superseded_by", F.lit(None).cast("string")).withColumn("importance", F.lit(0.5))
+    gone = m.where("sc_user = 'alice'").select("id", *scope.DIMENSIONS, F.lit("x").alias("by"))
+    assert {r.sc_user: r.superseded_by for r in memory.invalidated(m, gone, at).collect()} == {"alice": "x", "bob": None}
+    assert {r.sc_user: r.created_at is not None for r in tables.touched(m, gone, "created_at", at).collect()} == {"alice": True, "bob": False}
+    both = memory.blended(hits, m, at)
+    assert {(r.sc_user, r.query_id) for r in both.collect()} == {("alice", 1), ("bob", 1)}
+
+
+def test_superseded_chains_end_or_go_in_circles(spark):
+    rows = [(str(i), str(i + 1) if i < 99 else None) for i in range(100)] + [("a", "b"), ("b", "c"), ("c", "b"), ("z", "gone")]
+    out = {r.id: (r.final, r.steps) for r in memory.superseded_chain(spark.createDataFrame(rows, "id string, superseded_by string")).collect()}
+    assert all(out[str(i)] == ("99", 99 - i) for i in range(100))
+    assert out["a"] == out["b"] == out["c"] == (None, None) and out["z"] == ("gone", 1)
+
+
+def test_equal_vectors_do_not_flood(spark):
+    items = spark.createDataFrame([(f"{i:05d}", [1.0, 0.0]) for i in range(9000)], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, query array<double>")
+    found = search.nearest(items, q)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(n, f"{i:05d}") for n in (1, 2) for i in range(5)]
+    from tessera.operators import blocks
+
+    left, right = blocks.packed(items, F.col("id"), "embedding", 4096, "i"), blocks.packed(q, F.col("query_id"), "query", 1, "q")
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def pairs(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(blocks.block(b, k, "i")[0]) for k in range(b.num_rows)])], names=["n"])
+
+    grouped = blocks.every_pair(left, right, "q_values", pairs, T.StructType([T.StructField("n", T.LongType())]), group_bytes=16)
+    assert sum(r.n for r in grouped.collect()) == 18000
+
+
+def test_unique_names_never_clash(spark):
+    from tessera.operators import tools
+
+    names = ["a", "a", "a_2", "b", "b", "b", "x" * 64, "x" * 64, "a_2", "x" * 62 + "_2"]
+    t = spark.createDataFrame(list(enumerate(names)), "n int, name string")
+    out = {r.n: r.unique_name for r in tools.unique_names(t, "n").collect()}
+    assert len(set(out.values())) == len(names) and all(len(v) <= 64 for v in out.values())
+    assert [out[i] for i in range(6)] == ["a", "a_2", "a_2_2", "b", "b_2", "b_3"]
+
+
+def test_sinks_fail_alone(spark, tmp_path):
+    from tessera.streaming import exporters
+
+    def broken(events, batch):
+        raise OSError("no disk")
+
+    e = spark.createDataFrame([("r", i, "llm", 5.0) for i in range(20)], "run_id string, pos int, type string, latency_ms double").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    e.write.parquet(f"{tmp_path}/e")
+    store = VersionedStore(spark, f"file://{tmp_path}/ring")
+    fan = exporters.Fanout({"bad": broken, "json": exporters.json_lines(f"{tmp_path}/json"), "table": exporters.table(f"{tmp_path}/table"), "spans": exporters.span_table(f"{tmp_path}/spans"), "ring": exporters.ring(store, "t", 8)})
+    fan.start(feeds.file_feed(spark, f"{tmp_path}/e", e.schema), f"{tmp_path}/cp").awaitTermination()
+    assert {(r.exporter, r.failures, r.lost_events) for r in fan.counters(e).collect()} == {("bad", 1, 20), ("json", 0, 0), ("table", 0, 0), ("spans", 0, 0), ("ring", 0, 0)}
+    assert spark.read.json(f"{tmp_path}/json").count() == spark.read.parquet(f"{tmp_path}/table").count() == 20
+    assert sorted(r.pos for r in store.read("t").collect()) == list(range(12, 20))
+    s = spark.read.parquet(f"{tmp_path}/spans").first()
+    assert (s.span_end - s.span_start).total_seconds() == 0.005
+
+
+def test_untouched_parts_keep_their_files(spark, tmp_path):
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    store.commit({"t/0": spark.range(3), "t/1": spark.range(3, 5)})
+    before = store.tables()
+    store.commit({"t/1": spark.range(3, 9)})
+    assert store.tables()["t/0"] == before["t/0"] and store.tables()["t/1"] != before["t/1"]
+    assert store.read("t").count() == 9 and store.read("t", store.current()).count() == 9
+
+
+def test_indexes_and_tools_as_ports(spark, tmp_path):
+    from tessera.operators import ports
+
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    keywords = ports.TableKeywords(store, "k")
+    rows = scope.scoped(spark.createDataFrame([("1", "cat"), ("2", "dog")], "id string, content string"), base="rag")
+    keywords.upsert(rows)
+    keywords.upsert(rows.where("id = '2'").withColumn("content", F.lit("cat cat")))
+    with pytest.raises(ValueError):
+        keywords.upsert(rows.union(rows))
+    q = spark.createDataFrame([(1, "cat")], "query_id int, query string")
+    assert {r.id for r in keywords.search(q, top_k=5, scope={"base": "rag"}).collect()} == {"1", "2"}
+    keywords.delete(rows.where("id = '1'"), {"base": "rag"})
+    assert keywords.rows().count() == 1
+
+    def join(text: str, times: int, sign: str | None = None) -> str:
+        """Repeats a text.
+
+        More of it."""
+        return (sign or "-").join([text] * times)
+
+    f, schema = ports.tool(join)
+    assert schema["description"] == "Repeats a text." and schema["parameters"]["required"] == ["text", "times"] and schema["parameters"]["properties"]["sign"] == {"type": "string"}
+    df = spark.createDataFrame([("a", 2), ("b", None)], "t string, n long")
+    assert [r.x for r in df.select(f("t", "n").alias("x")).collect()] == ["a-a", None]
+    with pytest.raises(ValueError, match="named twice"):
+        source = type("S", (), {"name": "m", "fetch": None})()
+        ports.gathered([source, source], q, {"m": 1.0})
+
+
+def test_mmr_drops_equal_contents_first(spark):
+    rows = [(1, 0, 0.2, "same", [1.0, 0.0]), (1, 1, 0.9, "same", [1.0, 0.0]), (1, 2, 0.8, "other", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "query_id int, pos int, score double, content string, embedding array<double>")
+    assert [(r.pick, r.pos) for r in context.mmr(df, k=None).orderBy("pick").collect()] == [(1, 1), (2, 2)]
+
+
+def test_long_sessions_are_digested_once(spark):
+    import hashlib
+
+    m = spark.createDataFrame([("s", i, "user", f"m{i}") for i in range(3000)] + [("t", 0, "user", None)], "session string, seq int, role string, content string")
+    out = {(r.session, r.seq): r.digest for r in sessions.prefix_digests(m, ("session",)).collect()}
+    joined = lambda n: "\x1e".join(f"user\x1fm{i}" for i in range(n + 1))
+    assert all(out["s", n] == hashlib.sha256(joined(n).encode()).hexdigest() for n in (0, 1, 2999)) and len(out) == 3001
