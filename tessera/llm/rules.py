@@ -1,50 +1,73 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a Boolean column over a few counts of the text. On a bounded sample of rows the cascade times every rule
-and takes the share it rejects, and then asks the rules in order of rejections per second; a text that a
-rule rejects is not put to the ones after it. The order changes the work and which rule is named, never
-which texts are kept.
+A rule is a comparison of a few measures of the text. On a sample spread over the table the cascade times every measure on
+the texts themselves and takes what every rule rejects, and then asks the rules in order of rejections per cost: a measure that an earlier rule has
+needed is free, and rejections count among the texts that are left. A measure is taken of a text only when a rule asks for it that the text has
+come to; a text that a rule rejects is not put to the ones after it. The order changes the work and which rule is named, never which texts are kept.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, read, text_or_empty
+from tessera.llm.common import SPACE, materialize, read, text_or_empty
 
 #: Words of a window in which repetition is looked for.
 WINDOW = 8
+#: The measures that the query gives out.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def without(text: Column, characters: str) -> Column:
+    return F.char_length(F.translate(text, characters, ""))
+
+
+def duplicate_lines(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    # the lines are used twice and made once
+    return F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+
+
+#: Measures of a text as columns; n_repeat_words takes several steps, see with_repeats.
+MEASURED: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")),
+    "word_chars": lambda t: without(t, " \t\n\x0b\x0c\r"),
+    "n_symbols": lambda t: F.char_length(t) - without(t, "#*$%&|<>"),
+    "n_dup_lines": duplicate_lines,
+    "n_lines": lambda t: F.char_length(t) - without(t, "\n") + 1,
+    "n_capitals": lambda t: F.char_length(t) - without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    "n_letters": lambda t: F.regexp_count(t, F.lit("\\p{L}")),
+    "n_ellipses": lambda t: F.regexp_count(t, F.lit("\\.\\.\\.|…")),
+}
+REPEATS = "n_repeat_words"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is true for a text that fails; it may use the columns of `measured()` and `text`."""
+    """`rejects` is true for a text that fails, over the measures that it `needs`; null does not reject."""
 
     name: str
+    needs: tuple[str, ...]
     rejects: Column
 
 
-def default_rules(text: str = "text") -> list[Rule]:
+def default_rules() -> list[Rule]:
     """Limits that ordinary prose of any language stays well clear of."""
-    n, chars = F.col("n_words"), F.col("word_chars")
-    capitals = F.regexp_count(text, F.lit("[A-Z]"))
-    letters = F.regexp_count(text, F.lit("\\p{L}"))
-    ellipses = F.regexp_count(text, F.lit("\\.\\.\\.|…"))
-    lines = F.size(F.split(text, "\n"))
+    n, chars, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
     return [
-        Rule("too_short", n < 20),
-        Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
-        Rule("symbols", 10 * F.col("n_symbols") > chars),
-        Rule("word_length", (chars > 15 * n) | (chars < 2 * n)),
-        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 6 * lines),
-        Rule("capitals", 2 * capitals > chars),
-        Rule("letterless", 5 * letters < 2 * chars),
-        Rule("ellipses", 10 * ellipses > 3 * lines),
+        Rule("too_short", ("n_words",), n < 20),
+        Rule("repeated_words", ("n_words", REPEATS), 100 * F.col(REPEATS) > 30 * n),
+        Rule("symbols", ("word_chars", "n_symbols"), 10 * F.col("n_symbols") > chars),
+        Rule("word_length", ("n_words", "word_chars"), (chars > 15 * n) | (chars < 2 * n)),
+        Rule("repeated_lines", ("n_lines", "n_dup_lines"), 10 * F.col("n_dup_lines") > 6 * lines),
+        Rule("capitals", ("word_chars", "n_capitals"), 2 * F.col("n_capitals") > chars),
+        Rule("letterless", ("word_chars", "n_letters"), 5 * F.col("n_letters") < 2 * chars),
+        Rule("ellipses", ("n_lines", "n_ellipses"), 10 * F.col("n_ellipses") > 3 * lines),
     ]
 
 
@@ -58,70 +81,106 @@ def windows(words: Column, n: Column) -> Column:
     return hashes
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole text; null counts as empty.
-
-    Columns of these names are replaced, as are kept and failed_rule in `cascade`; all others stay, and repeated rows each give a row.
-    """
-    names = [c for c in docs.columns if c not in MEASURES]
-    text = text_or_empty(text_col)
-    out = docs.select(*names, text.alias("_rule_t"), F.array_remove(F.split(text, SPACE), "").alias("_rule_w"))
-    lines = F.filter(F.split("_rule_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = out.select(*names, "_rule_t", "_rule_w", F.size("_rule_w").alias("_rule_n"), lines.alias("_rule_l"))
-    out = out.select(*names, "_rule_t", "_rule_n", F.char_length(F.array_join("_rule_w", "")).alias("_rule_c"), F.size("_rule_l").alias("_rule_ln"), F.size(F.array_distinct("_rule_l")).alias("_rule_ld"), windows(F.col("_rule_w"), F.col("_rule_n")).alias("_rule_h"))
+def with_repeats(docs: DataFrame, text: Column, active: Column, out: str) -> DataFrame:
+    """`docs` with `out`, the words in windows that stand in a text more than once; null where not active."""
+    names = [c for c in docs.columns if c != out]
+    rows = docs.select(*names, F.when(active, F.array_remove(F.split(text, SPACE), "")).alias("_rule_w"))
+    rows = rows.select(*names, F.col("_rule_w").isNotNull().alias("_rule_on"), windows(F.col("_rule_w"), F.size("_rule_w")).alias("_rule_h"))
     repeated = F.size(F.array_distinct("_rule_h")) < F.size("_rule_h")
     # only texts with a repeated window are sorted: equal hashes then stand side by side
     ranked = F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.select(*names, "_rule_t", "_rule_n", "_rule_c", "_rule_ln", "_rule_ld", F.when(repeated, ranked).alias("_rule_s"))
+    rows = rows.select(*names, "_rule_on", F.when(repeated, ranked).alias("_rule_s"))
     at = F.transform(
         F.filter("_rule_s", lambda s, i: F.get("_rule_s", i - 1)["h"].eqNullSafe(s["h"]) | F.get("_rule_s", i + 1)["h"].eqNullSafe(s["h"])),
         lambda s: s["i"],
     )
-    out = out.select(*names, "_rule_t", "_rule_n", "_rule_c", "_rule_ln", "_rule_ld", F.sort_array(at).alias("_rule_p"))
+    rows = rows.select(*names, "_rule_on", F.sort_array(at).alias("_rule_p"))
     cover = F.aggregate(
         F.transform("_rule_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_rule_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, x: total + x
     )
-    symbols = F.regexp_count("_rule_t", F.lit("[#*$%&|<>]"))
-    return out.select(
-        *names,
-        F.col("_rule_n").cast("long").alias("n_words"),
-        F.col("_rule_c").cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        (F.col("_rule_ln") - F.col("_rule_ld")).cast("long").alias("n_dup_lines"),
-        F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
+    return rows.select(*names, F.when(F.col("_rule_on"), F.coalesce(cover, F.lit(0).cast("long"))).alias(out))
 
 
-def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
-    """The rules by rejections per second on `sample`, a small cached frame with the measures."""
-    total = max(1, sample.count())
-    worth = []
-    for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.where(rule.rejects).count()
-        worth.append((rejected / total / (time.perf_counter() - began), rule))
-    return [rule for _, rule in sorted(worth, key=lambda x: -x[0])]
+def with_measure(docs: DataFrame, name: str, text: Column, active: Column) -> DataFrame:
+    """`docs` with a measure of the texts where active, null elsewhere."""
+    if name == REPEATS:
+        return with_repeats(docs, text, active, name)
+    return docs.withColumn(name, F.when(active, MEASURED[name](text)).cast("long"))
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """`docs` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (long) of the whole text; null counts as empty.
 
+    Columns of these names are replaced; all others stay, and repeated rows each give a row.
+    """
+    out = docs.select(*(c for c in docs.columns if c not in MEASURES))
+    for name in MEASURES:
+        out = with_measure(out, name, text_or_empty(text_col), F.lit(True))
+    return out
+
+
+def spread_sample(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """About `rows` texts, drawn from all partitions alike, as a table of its own."""
+    total = docs.count()
+    drawn = docs.select(text_or_empty(text_col).alias("text"))
+    return materialize(drawn if total <= rows else drawn.sample(fraction=rows / total, seed=11), "rules-sample")
 
-def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: int = 500, text_col: str = "text") -> DataFrame:
-    """`docs` with the measures, `kept` and `failed_rule`, the first rule in the cascade that rejects (null if kept).
 
-    Only costs and rejection shares come from the first `sample_rows` rows; every row is judged by every rule up to the
-    first that rejects it. A null or empty text has zero counts and fails as too short.
+def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
+    """The rules in order of rejections per second on `sample`, a small table of texts, each after what the ones before it leave and have measured."""
+    text = F.col("text")
+
+    def seconds(work: DataFrame) -> float:
+        began = time.perf_counter()
+        work.collect()  # a single sum
+        return time.perf_counter() - began
+
+    scan = seconds(sample.agg(F.sum(F.char_length(text)).alias("s")))
+    cost = {m: max(1e-4, seconds(with_measure(sample, m, text, F.lit(True)).agg(F.sum(m).alias("s"))) - scan) for m in sorted({m for r in rules for m in r.needs})}
+    known = sample
+    for m in cost:
+        known = with_measure(known, m, text, F.lit(True))
+    verdicts = [set(r.v) for r in known.select(F.array(*(F.when(F.coalesce(r.rejects, F.lit(False)), F.lit(k)) for k, r in enumerate(rules))).alias("v")).collect()]
+    left, taken, out = list(range(len(rules))), set(), []
+    while left:
+        # a comparison alone costs next to nothing, but not nothing
+        worth = {k: sum(k in v for v in verdicts) / (1e-4 + sum(cost[m] for m in rules[k].needs if m not in taken)) for k in left}
+        k = max(left, key=lambda k: (worth[k], -k))
+        out.append(rules[k])
+        left.remove(k)
+        taken.update(rules[k].needs)
+        verdicts = [v for v in verdicts if k not in v]
+    return out
+
+
+def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: int = 1000, text_col: str = "text") -> DataFrame:
+    """`docs` with the measures of the query, `failed_rule`, the first rule in the cascade that rejects (null if kept), and `kept`.
+
+    A measure is null where no rule up to the rejecting one needs it. Only the order comes from the sample of about `sample_rows` rows; every row is
+    judged by every rule up to the first that rejects it. A null or empty text has zero counts and fails as too short by the default rules. Columns named
+    like a measure, failed_rule or kept are replaced.
     """
-    rules = default_rules(text_col) if rules is None else rules
-    sample = measured(docs.select(text_or_empty(text_col).alias(text_col)).limit(sample_rows), text_col).cache()
-    chain = F.coalesce(*(F.when(r.rejects, F.lit(r.name)) for r in ordered(rules, sample))) if rules else F.lit(None).cast("string")
-    sample.unpersist()
-    found = measured(docs, text_col)
-    return found.withColumn("failed_rule", chain).withColumn("kept", F.col("failed_rule").isNull())
+    rules = default_rules() if rules is None else rules
+    names = {*MEASURED, REPEATS, "failed_rule", "kept"}
+    out = docs.select(*(c for c in docs.columns if c not in names)).withColumn("failed_rule", F.lit(None).cast("string"))
+    for rule in ordered(rules, spread_sample(docs, text_col, sample_rows)) if len(rules) > 1 else rules:
+        for m in rule.needs:
+            if m not in out.columns:
+                out = with_measure(out, m, text_or_empty(text_col), F.col("failed_rule").isNull())
+        out = out.withColumn("failed_rule", F.coalesce("failed_rule", F.when(rule.rejects, F.lit(rule.name))))
+    measures = (F.col(m) if m in out.columns else F.lit(None).cast("long").alias(m) for m in MEASURES)
+    own = [c for c in docs.columns if c not in names]
+    return out.select(*own, *measures, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
-    found = cascade(docs)
+    """The verdicts, and the contract's counts of every text: those that the cascade has not taken are taken after it."""
+    out = cascade(read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text")))
+    for m in MEASURES:
+        more = with_measure(out.withColumnRenamed(m, "_taken"), m, F.col("text"), F.col("_taken").isNull())
+        out = more.withColumn(m, F.coalesce("_taken", m)).drop("_taken")
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return found.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
+    return out.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
 
 
 SQL = {
