@@ -1,13 +1,12 @@
-"""Substring dedup by hashing lines and the sentences within them.
+"""Substring dedup by hashing lines, and runs of words within them.
 
-Lines are cut into units at sentence ends and before capitals, places that depend on nothing but the words next to them; a passage that was
-put into another text, wherever, therefore gives the same units there, but for its first and last. Units are normalised and
-hashed, digests are grouped over all documents, and the occurrence in the first document keeps its text. Runs of other
+Lines are normalised and hashed, digests are grouped over all documents, and the occurrence in the first document keeps its text. Runs of other
 occurrences that are long enough are passages to remove, known by their offsets in the original text.
 
-A passage that begins and ends in mid-sentence may hold few whole units. Runs of GRAM words are therefore hashed too; of any WINDOW
-neighbours the one with the smallest hash is kept, so equal texts of GRAM + WINDOW - 1 words have one in common. The outermost
-ones of a run are compared word by word with their first occurrence, as far as the words are equal.
+Passages also stand in the middle of lines, begin and end in mid-sentence. Runs of GRAM words are therefore hashed too; of any WINDOW
+neighbours the one with the smallest hash is kept, so equal texts of GRAM + WINDOW - 1 words have one in common, wherever lines begin. The outermost
+ones of a run are compared word by word with their first occurrence, as far as the words are equal. Without these (`verbatim` off)
+lines are cut at sentence ends and before capitals into smaller units, places that depend on nothing but the words next to them.
 """
 
 from __future__ import annotations
@@ -37,6 +36,17 @@ FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SCHEMA = "doc long, idx int, word_at int, words int, start int, stop int, digest binary"
 
 
+def lines_of(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines of a text."""
+    start = 0
+    while (at := text.find("\n", start)) >= 0:
+        if at > start:
+            yield start, at
+        start = at + 1
+    if start < len(text):
+        yield start, len(text)
+
+
 def units_of(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the units of a text."""
     start = counted = spaces = 0
@@ -106,9 +116,9 @@ def grams_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
     """A row for each unit with a word: its document, number, place in words and characters, and digest. `docs` has id and text.
 
-    With `grams` a row for each kept gram too: idx is its place in words, start and stop are null.
+    With `grams` the units are lines, and there is a row for each kept gram too: idx is its place in words, start and stop are null.
     """
-    hash_of = WordHashes()
+    cut = lines_of if grams else units_of
 
     def gram_batch(held: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
         places = np.concatenate([p for _, p, _ in held])
@@ -119,6 +129,7 @@ def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(places), pa.array(places), pa.array(np.full(n, GRAM, np.int32)), none, none, digest], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 doc, idx, word_at, size, start, stop, digest = [], [], [], [], [], [], []
@@ -128,7 +139,7 @@ def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
                         continue
                     n = seen = 0
                     hashes: list[int] = []
-                    for a, b in units_of(v):
+                    for a, b in cut(v):
                         words = normal(v[a:b])
                         if words:
                             if grams:
@@ -225,12 +236,12 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 30, verbatim: bool =
     """doc_id, span_start, span_end, n_words, n_units, first_doc_id: the passages to remove, with offsets in code points, end exclusive.
 
     A passage is a run of at least `min_words` words of units that stand in a document with a smaller id, or earlier in the same one.
-    With `verbatim` words of repeated grams and the equal words around them count as well, wherever units begin and end; n_units counts
-    from the first whole repeated unit to the last and is 0 if there is none. first_doc_id: the smallest of the documents that keep its units.
+    With `verbatim` units are whole lines, and words of repeated grams and the equal words around them count as well, wherever lines begin and end; n_units counts
+    from the first whole repeated line to the last and is 0 if there is none. first_doc_id: the smallest of the documents that keep its units.
     Rows with equal id and text count as one document. Rows without id take no part; null and empty texts have no units. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = unit_rows(docs, verbatim)
+    units = materialize(unit_rows(docs, verbatim), "passages-units")
     first = units.groupBy("digest").agg(F.min(F.struct("doc", "idx")).alias("f"), F.max(F.struct("doc", "idx")).alias("l")).where("f <> l").select("digest", "f")
     # as a table of its own, so that Spark can split the units of a very common digest over several tasks of the join
     first = materialize(first, "passages-first")
