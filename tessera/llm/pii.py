@@ -14,7 +14,6 @@ import hmac
 import ipaddress
 import re
 import unicodedata
-import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,9 +69,35 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: Letters of a family name from which on it is looked for without a title too.
+FAMILY_LETTERS = 4
+
+
+def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Where the people of `found` are named again without a title: by the whole name, or by a family name that is capitalised there and no word of the text in lower case."""
+    people: dict[str, str] = {}
+    for _, _, kind, canonical in found:
+        if kind == "name":
+            words = canonical.partition(":")[2].split()
+            if len(words) > 1:
+                people.setdefault(" ".join(words), canonical)
+            if len(words[-1]) >= FAMILY_LETTERS and words[-1][:1].isupper() and not re.search(rf"(?<!\w){re.escape(words[-1].lower())}(?!\w)", text):
+                people.setdefault(words[-1], f"{canonical.partition(':')[0]}:{words[-1]}")
+    if not people:
+        return []
+    taken = [(a, b) for a, b, _, _ in found]
+    out, k = [], 0
+    for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(people, key=len, reverse=True)))})(?!\w)", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.end() <= taken[k][0]:
+            out.append((m.start(), m.end(), "name", people[m[0]]))
+    return out
+
+
 def detect(text: str, strict_cards: bool) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities, left to right, without overlap."""
-    out = []
+    out: list[tuple[int, int, str, str]] = []
     if not HINT.search(text):
         return out
     at = 0
@@ -99,7 +124,7 @@ def detect(text: str, strict_cards: bool) -> list[tuple[int, int, str, str]]:
         else:
             canonical = found
         out.append((m.start(), m.end(), kind, canonical))
-    return out
+    return sorted(out + mentions(text, out))
 
 
 class Stream:
@@ -148,7 +173,9 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
         local, domain = canonical.rsplit("@", 1)
         swap = "".join(chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c for c in local)
         tail = "".join(chr(97 + s.below(26)) for _ in range(max(0, 8 - len(local))))
-        return f"{swap}{tail}@{'xyz'[s.below(3)]}{s.below(1000)}.example.{('com', 'net', 'org')[s.below(3)]}"
+        # addresses of one domain stay together
+        d = Stream(key, kind, f"domain:{domain}", 0)
+        return f"{swap}{tail}@{''.join(chr(97 + d.below(26)) for _ in range(9))}.example.{('com', 'net', 'org')[d.below(3)]}"
     if kind == "ip" and ":" in canonical:
         return ":".join(f"{g:x}" for g in (0xFD00 + s.below(256), *(1 + s.below(0xFFFF) for _ in range(7))))
     if kind == "ip":
@@ -189,7 +216,9 @@ def written(found: str, kind: str, new: str) -> str:
     if kind == "email":
         return new.upper() if found.isupper() else new
     if kind == "name":
-        return f"{found.partition(' ')[0]} {new.partition(':')[2]}"
+        title, gap, _ = found.partition(" ")
+        made = new.partition(":")[2]
+        return f"{title} {made}" if gap and title.rstrip(".") in _SIGN else made
     if kind in ("card", "ssn", "phone"):
         return digits_like(found, iter(new.lstrip("+")))
     if kind == "iban":
@@ -215,11 +244,15 @@ def entities(docs: DataFrame, text_col: str = "text", strict_cards: bool = False
     return small_batches(docs.select(text_col)).mapInArrow(run, ENTITIES).groupBy("kind", "canonical").agg(F.sum("n").alias("n"))
 
 
-def collided(found: DataFrame, key: bytes, most_draws: int = 32) -> DataFrame:
+#: Draws after which a format counts as used up: the ranges have long been widened then.
+MOST_DRAWS = 256
+
+
+def collided(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> DataFrame:
     """kind, canonical, draw of the entities whose first replacement is not theirs alone.
 
-    Of entities that share a replacement the smallest canonical form keeps it, unless it is a real entity; the others draw again.
-    If `most_draws` draws leave entities that share a replacement, it warns and they keep their last one.
+    Of entities that share a replacement the smallest canonical form keeps it, unless it is a real entity; the others draw again, until
+    no replacement is shared. If `most_draws` draws are not enough it raises: no text may be written with a shared replacement.
     """
 
     def draw_column(frame: DataFrame) -> DataFrame:
@@ -244,7 +277,7 @@ def collided(found: DataFrame, key: bytes, most_draws: int = 32) -> DataFrame:
         rest = held.join(again.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
         held = materialize(rest.unionByName(draw_column(again.withColumn("draw", F.col("draw") + 1))), "pii-draws")
     else:
-        warnings.warn(f"replacements still collide after {most_draws} draws", stacklevel=2)
+        raise ValueError(f"replacements still collide after {most_draws} draws")
     return held.where("draw > 0").select("kind", "canonical", "draw")
 
 
@@ -291,13 +324,16 @@ def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", strict_
 def _with_redrawn(docs: DataFrame, draws: DataFrame, text_col: str, strict_cards: bool) -> DataFrame:
     """`docs` with _redrawn, the draws of the entities of each text, by a join on the entities."""
 
-    @F.udf("array<struct<kind:string,canonical:string>>")
-    def of_text(text: str | None) -> list[tuple[str, str]]:
-        return sorted({(kind, canonical) for _, _, kind, canonical in detect(text or "", strict_cards)})
-
-    held = docs.withColumn("_row", F.xxhash64(text_col))
-    wanted = held.select("_row", F.explode(of_text(text_col)).alias("e")).select("_row", "e.*").distinct()
-    redrawn = wanted.join(draws, ["kind", "canonical"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "canonical", "draw")).alias("_redrawn"))
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r, kind, canonical) for r, t in zip(*(c.to_pylist() for c in batch.columns)) for kind, canonical in sorted({x[2:] for x in detect(t or "", strict_cards)})]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["_row", "kind", "canonical"])
+
+    # every row has a number of its own, so copies of a text, however many, are dealt out evenly
+    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    found = small_batches(held.select("_row", text_col)).mapInArrow(wanted, "_row long, kind string, canonical string")
+    redrawn = found.join(draws, ["kind", "canonical"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "canonical", "draw")).alias("_redrawn"))
     return held.join(redrawn, "_row", "left").select(*docs.columns, "_redrawn")
 
 
