@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns plus a token-efficiency test.
 
 A string drawn at random compresses badly under a BPE vocabulary: it yields few characters per token.
-Candidates that are already known to be harmless (digests in their usual lengths, UUIDs, version or
-word-like identifiers) are left out before the ratio is taken. Paths and assignments join a random string to ordinary
-words; where the whole is no finding its parts are tested, each with the neighbours that compress as badly.
+Candidates that are already known to be harmless (digests in their usual lengths, UUIDs) are left out before the ratio is taken. So are identifiers: many
+short parts joined by separators, as paths and version numbers are, compress badly as a whole although each part is a word or a number. A candidate
+with separators is therefore tested by its parts, each with the neighbours that compress as badly; as a whole only where its parts are
+all of one length, as in a key written in groups.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -36,8 +37,8 @@ LETTER = re.compile(r"[A-Za-z]")
 LOWER, UPPER = re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 PART = re.compile(r"[A-Za-z0-9+]+")
 UUID_WITHIN = re.compile(rf"(?<![0-9A-Za-z]){UUID.pattern}(?![0-9A-Za-z])")
-#: Characters of a string to test, and of the part that a run of parts must hold; up to TINY a part says nothing.
-LEAST, CORE, TINY = 20, 8, 2
+#: Characters of a string to test, of the part that a run of parts must hold, and of the parts of a key in groups; up to TINY a part says nothing.
+LEAST, CORE, GROUP, TINY = 20, 8, 4, 2
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -74,7 +75,13 @@ def known(s: str) -> bool:
     return bool(UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s))
 
 
-def random_parts(s: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int]]:
+def grouped(s: str) -> bool:
+    """Whether a string is of three or more parts of one length, of at least GROUP characters."""
+    parts = [len(m[0]) for m in PART.finditer(s)]
+    return len(parts) > 2 and min(parts) == max(parts) >= GROUP
+
+
+def random_parts(s: str, encoding: tiktoken.Encoding, chars_per_token: float, least: int) -> list[tuple[int, int]]:
     """(start, end) of the runs of parts of a candidate that have few characters a token, without UUIDs and digests."""
     uuids = {k for m in UUID_WITHIN.finditer(s) for k in range(m.start(), m.end())}
     runs: list[list[tuple[int, int]]] = [[]]
@@ -93,31 +100,34 @@ def random_parts(s: str, encoding: tiktoken.Encoding, chars_per_token: float) ->
             continue
         start, end = run[0][0], run[-1][1]
         found = s[start:end]
-        if len(found) >= LEAST and not known(found) and len(found) < chars_per_token * len(encoding.encode_ordinary(found)):
+        if len(found) >= least and not known(found) and len(found) < chars_per_token * len(encoding.encode_ordinary(found)):
             out.append((start, end))
             continue
         # the run as a whole is none: each part by itself
-        out += [(a, b) for a, b in run if b - a >= LEAST and mixed(s[a:b])]
+        out += [(a, b) for a, b in run if b - a >= least and mixed(s[a:b])]
     return out
 
 
-def random_spans(text: str, encoding: tiktoken.Encoding, chars_per_token: float) -> list[tuple[int, int, int]]:
-    """Strings with letters and digits, or letters of both cases, that the vocabulary encodes with few characters a token."""
+def random_spans(text: str, encoding: tiktoken.Encoding, chars_per_token: float, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Strings of `least` characters or more, with letters and digits or letters of both cases, that the vocabulary encodes with few characters a token."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not mixed(s) or known(s):
+        if len(s) < least or not mixed(s) or known(s):
             continue
-        if len(s) < chars_per_token * len(encoding.encode_ordinary(s)):
+        if (PART.fullmatch(s) or grouped(s)) and len(s) < chars_per_token * len(encoding.encode_ordinary(s)):
             out.append((m.start(), 3, m.end()))
         else:
-            out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(s, encoding, chars_per_token)]
+            out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(s, encoding, chars_per_token, least)]
     return out
 
 
-def find_secrets(docs: DataFrame, *, vocab: str, chars_per_token: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, *, vocab: str, chars_per_token: float = 2.0, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and `secrets`, the spans of every text, by start and then kind.
 
+    The token test takes strings of `least` characters or more (at least 8): shorter random strings can hardly be told from short names and numbers. The patterns
+    have no such bound.
+
     A null text counts as empty and has no spans; a null id stays null; repeated rows each give a row.
     Other columns are not read. Texts are scanned whole, one at a time.
     """
@@ -128,7 +138,7 @@ def find_secrets(docs: DataFrame, *, vocab: str, chars_per_token: float = 2.0, i
             rows = []
             for value in batch.column(1):
                 text = value.as_py() or ""
-                rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base_spans(text) + random_spans(text, encoding, chars_per_token))])
+                rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(base_spans(text) + random_spans(text, encoding, chars_per_token, least))])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "secrets"])
 
