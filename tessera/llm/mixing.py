@@ -1,9 +1,9 @@
 """Mixing sources to target weights by temperature, realised as budgeted permutations.
 
-A source's weight is its share of tokens to a power between 0 and 1, normalised. The power is found by bisection: the
+A source's weight is its share of tokens to a power between 0 and 1, normalised. The power is found by repeated section of its interval, 32 trial powers in each pass over the sources: the
 largest at which the weights reach a wanted entropy, or at which no source is repeated more often than allowed. A
 source's part of the budget is then a number of whole epochs, each a keyed permutation of its documents, and
-the head of one more. Where that head ends follows from sums over blocks of the permutation, so no source
+the head of one more. Where that head ends follows from sums over ever smaller parts of the permutation, so no source
 is ever sorted or added up in one task, however large.
 """
 
@@ -20,8 +20,6 @@ from tessera.llm.common import SPACE, materialize, read, text_or_empty
 
 #: Powers that one pass over the sources tries: the interval shrinks by this factor each time.
 TRIED, PASSES = 32, 6
-#: Documents of a block of a permutation, on average.
-BLOCK_DOCS = 2048
 
 
 def default_tokens(text: Column) -> Column:
@@ -104,7 +102,6 @@ def mix(
         "source",
         F.floor("all").cast("int").alias("epochs"),
         (F.col("all") % 1 * F.col("tokens")).cast("long").alias("rest"),
-        F.ceil(F.col("docs") / BLOCK_DOCS).cast("int").alias("blocks"),
     )
     small = sources.limit(broadcast_rows + 1).count() <= broadcast_rows
     plan = materialize(plan, "mixing-plan")
@@ -127,21 +124,30 @@ def with_plan(rows: DataFrame, plan: DataFrame, source_col: str, small: bool) ->
     return rows.join(side, rows[source_col].eqNullSafe(side["_mix_source"])).drop("_mix_source")
 
 
+#: Parts into which each round divides what is left of a permutation.
+PARTS = 4096
+
+
 def last_places(slim: DataFrame, plan: DataFrame, seed: int, small: bool) -> DataFrame:
     """cut_source, cut: the place up to which a source's last epoch is taken; no row where nothing is.
 
-    Tokens are summed by block of the permutation; only the block in which the sum reaches the rest is looked at row by row.
+    A place is a number below 2**63. Each round divides the range that holds the cut into PARTS equal parts, sums the tokens of each part over all tasks and goes on
+    with the part in which the sum reaches the rest: a source gives PARTS sums at most, wherever its rows lie, and after six rounds the part is a single place.
     """
-    rows = with_plan(slim, plan.withColumnRenamed("source", "_mix_source").where("rest > 0"), "source", small)
-    rows = rows.withColumn("place", place(seed, F.col("epochs"), F.col("row")))
-    rows = rows.withColumn("block", F.least(F.floor(F.col("place") / F.lit(2.0**63) * F.col("blocks")).cast("int"), F.col("blocks") - 1))
-    sums = rows.groupBy("source", "block", "rest").agg(F.sum("tokens").alias("s"))
-    upto = sums.withColumn("upto", F.sum("s").over(W.partitionBy("source").orderBy("block")))
-    reached = upto.where("upto >= rest AND upto - s < rest").select(F.col("source").alias("r_source"), F.col("block").alias("r_block"), (F.col("upto") - F.col("s")).alias("before"))
-    side = F.broadcast(reached) if small else reached
-    within = rows.join(side, rows["source"].eqNullSafe(side["r_source"]) & (rows["block"] == side["r_block"]))
-    running = within.withColumn("sum", F.col("before") + F.sum("tokens").over(W.partitionBy("source").orderBy("place")))
-    return running.where("sum >= rest").groupBy(F.col("source").alias("cut_source")).agg(F.min("place").alias("cut"))
+    named = plan.withColumnRenamed("source", "_mix_source").where("rest > 0")
+    rows = with_plan(slim, named, "source", small).withColumn("place", place(seed, F.col("epochs"), F.col("row"))).select("source", "place", "tokens")
+    rows = materialize(rows, "mixing-places")
+    state = named.select("_mix_source", F.lit(0).cast("long").alias("lo"), F.lit(63).alias("bits"), F.lit(0).cast("long").alias("before"), "rest")
+    width = PARTS.bit_length() - 1
+    for left in range(63, 0, -width):
+        step = max(0, left - width)
+        met = with_plan(rows, state, "source", small).where((F.col("place") >= F.col("lo")) & (F.shiftright(F.col("place") - F.col("lo"), left) == 0))
+        part = F.shiftright(F.col("place") - F.col("lo"), step)
+        sums = met.groupBy("source", "lo", "before", "rest", part.alias("part")).agg(F.sum("tokens").alias("s"))
+        upto = sums.withColumn("upto", F.col("before") + F.sum("s").over(W.partitionBy("source").orderBy("part")))
+        reached = upto.where("upto >= rest AND upto - s < rest")
+        state = materialize(reached.select(F.col("source").alias("_mix_source"), (F.col("lo") + F.shiftleft(F.col("part").cast("long"), step)).alias("lo"), F.lit(step).alias("bits"), (F.col("upto") - F.col("s")).alias("before"), "rest"), "mixing-cut")
+    return state.select(F.col("_mix_source").alias("cut_source"), F.col("lo").alias("cut"))
 
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,54 @@ def counted(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
 
 
+def test_bpe_words_of_several_blocks_and_small_replays(spark, monkeypatch):
+    """Whether a word comes from the corpus's table, from the task's own words or from a replay in slices, the tokens are the same."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["the", "ing", "naïve", "中文字", "zzzz" * 9, "x" * 50, "Ω"], k=rng.randrange(30))) + f" only{i}" for i in range(300)]
+    docs = frame(spark, texts).repartition(3)
+    shared = bpe.corpus_words(docs, vocab=VOCAB)
+    assert " the" in shared.words and not any("only1" in w for w in shared.words)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.Vocabulary(VOCAB).ids, special_tokens={})
+    for n, word in enumerate(shared.words):
+        assert shared.tokens[shared.ends[n] : shared.ends[n + 1]].tolist() == encoding.encode_ordinary(word)
+    assert bpe.corpus_words(docs, vocab=VOCAB, most=0) is bpe.NONE
+    expected = {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in bpe.encode(docs, vocab=VOCAB).collect()} == expected
+    for r in bpe.round_trip(docs, vocab=VOCAB).collect():
+        ids = expected[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    words = [w.encode() for w in texts]
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 40)
+    parts = list(bpe.sliced(texts))
+    assert [w for part in parts for w in part] == words and all(len(p) == 1 or sum(map(len, p)) <= 40 for p in parts)
+
+
+def test_cascade_takes_no_measure_after_a_rejection(spark):
+    texts = ["short", "word " * 30, " ".join(f"word{i}" for i in range(40)), "# * $ % " * 20, None]
+    order = rules.default_rules()
+    sample = spark.createDataFrame([(t or "",) for t in texts] * 5, "text string")
+    assert sorted(r.name for r in rules.ordered(order, sample)) == sorted(r.name for r in order)
+    only = [rules.Rule("too_short", ("n_words",), F.col("n_words") < 20), rules.Rule("never", ("n_capitals",), F.lit(None).cast("boolean"))]
+    for r in rules.cascade(frame(spark, texts), rules=only).collect():
+        short = len((texts[r.doc_id] or "").split()) < 20
+        assert r.kept is not short and r.failed_rule == ("too_short" if short else None)
+    found = rules.cascade(frame(spark, texts), rules=only[:1])
+    assert "n_capitals" not in found.columns and found.count() == 5
+    assert rules.cascade(frame(spark, texts), rules=[]).where("kept").count() == 5
+    plan = rules.cascade(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rules_choose_by_rejections_per_cost(spark):
+    """A cheap rule that rejects much goes before a costly one that rejects as much, and before one that rejects nothing."""
+    sample = spark.createDataFrame([("w " * 3000,)] * 60, "text string")
+    costly = rules.Rule("costly", (rules.REPEATS,), F.col(rules.REPEATS) > 0)
+    cheap = rules.Rule("cheap", ("n_lines",), F.col("n_lines") < 5)
+    idle = rules.Rule("idle", ("n_symbols",), F.col("n_symbols") > 5)
+    assert [r.name for r in rules.ordered([costly, idle, cheap], sample)][0] == "cheap"
+
+
 def test_rules_count_as_defined(spark):
     rng = random.Random(2)
     texts = ODD + [" ".join(rng.choices("abc", k=rng.randrange(60))) + rng.choice(["", "\n", "#\n|\n|"]) for _ in range(200)] + ["one two three four five six seven eight " * 3]
@@ -115,7 +163,38 @@ def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     final = [plain(k, c, KEY, redrawn.get((k, c), 0)) for k, c in rows]
     assert len(set(final)) == len(rows) and not set(final) & {c for _, c in rows}
     ips = [("phone", f"+1{i}") for i in range(10)]
-    assert pii.collided(spark.createDataFrame(ips, "kind string, canonical string"), KEY, most_draws=3).count() > 0
+    with pytest.raises(ValueError, match="still collide"):
+        pii.collided(spark.createDataFrame(ips, "kind string, canonical string"), KEY, most_draws=3)
+    redrawn = {r.canonical: r.draw for r in pii.collided(spark.createDataFrame(ips, "kind string, canonical string"), KEY).collect()}
+    final = [plain(k, c, KEY, redrawn.get(c, 0)) for k, c in ips]
+    assert len(set(final)) == len(ips) and not set(final) & {c for _, c in ips}
+
+
+def test_pii_coreference_within_a_text(spark):
+    texts = [
+        "Mr John Smith came. Mr Smith paid, then John Smith left; Smith was glad. The smithy of Blacksmith stayed.",
+        "Mr Peter Long had a long day; Long slept.",
+        "ann@corp.example bob@corp.example eve@other.example",
+        "Mr. J. O'Neil and Dr. Anna K. Weber wrote 2001:db8::1 here.",
+    ]
+    out = [r.text for r in pii.pseudonymize(frame(spark, texts), key=KEY).orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) paid, then (\w+) (\w+) left; (\w+) was glad\. The smithy of Blacksmith stayed\.", out[0])
+    given, family = m[1], m[2]
+    assert m.groups() == (given, family, family, given, family, family) and "Smith" not in (given, family)
+    assert out[1].endswith("had a long day; Long slept.")  # a word of the text as well
+    hosts = re.findall(r"@(\S+)", out[2])
+    assert hosts[0] == hosts[1] != hosts[2]
+    assert "Neil" not in out[3] and "Weber" not in out[3] and "db8" not in out[3]
+
+
+def test_secrets_leave_identifiers_alone(spark):
+    key = "9fK2xQ7vLp0ZtR4wYb8N"
+    texts = ["/usr/lib/python3/dist-packages/x86_64-linux-gnu/v1_2_3", f"see /documents/reports/{key} now", "key A1B2C-D3E4F-G5H6J-K7L8M-N9P0Q end", f"short {key[:12]} end", "release-2024-01-02-rc1_build_20240102"]
+    found = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "random"] for r in secrets.find_secrets(frame(spark, texts), vocab=VOCAB).collect()}
+    assert found[0] == [] and found[3] == [] and found[4] == []
+    assert [texts[1][a:b] for a, b in found[1]] == [key] and len(found[2]) == 1
+    shorter = {r.doc_id: [s.kind for s in r.secrets] for r in secrets.find_secrets(frame(spark, texts), vocab=VOCAB, least=10).collect()}
+    assert shorter[3] == ["random"] and shorter[0] == []
 
 
 def test_pii_digits_of_any_script(spark):
