@@ -23,7 +23,7 @@ from tessera.llm.common import read, small_batches
 
 #: Elements whose whole content is no text; elements that start a line; elements and words of class or id that mark what is around the text.
 RAW = frozenset("script style title textarea".split())
-SILENT = RAW | frozenset("noscript template iframe svg math select option button object canvas audio video map".split())
+SILENT = RAW | frozenset("noscript template iframe svg select option button object canvas audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()

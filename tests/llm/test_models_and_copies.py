@@ -151,3 +151,34 @@ def test_pipeline_of_odd_documents(spark, sf):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, sf)
     assert empty.count() == 0
+
+
+def test_ridge_is_what_one_matrix_gives(spark):
+    """The partitions' packed sums against the normal equations of all rows at once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, len(classifier.NAMES)))
+    y = (x[:, 0] + 0.3 * x[:, 3] > 0).astype(int)
+    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y)] + [(None, 1), (x[0].tolist(), None)], "x array<double>, y int").repartition(7)
+    m = classifier.fit(rows, size=40, ridge=0.5)
+    assert np.allclose(m.mean, x.mean(0)) and np.allclose(m.scale, x.std(0))
+    z = m.features(x)
+    penalty = np.diag([1e-9] + [0.5] * 40)
+    assert np.allclose(m.beta, np.linalg.solve(z.T @ z + penalty, z.T @ y), atol=1e-8)
+    raw = z @ m.beta
+    bins = np.clip(((raw + 0.5) * classifier.BINS / 2).astype(int), 0, classifier.BINS - 1)
+    count, positive = np.bincount(bins, minlength=classifier.BINS), np.bincount(bins, y, classifier.BINS)
+    fit = classifier.isotonic(positive[count > 0], count[count > 0])
+    assert np.all(np.diff(fit) >= 0) and m.levels.shape == fit.shape and np.all(np.abs(m.levels - fit) <= 0.005 + 1e-9)
+
+
+def test_pipeline_takes_out_rows_not_ids(spark, sf):
+    """One id with two texts keeps the text that is no copy; of repeated rows one stays; rows without id are judged too."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 60))
+    a, b, c = text(), text(), text()
+    docs = frame(spark, [(1, a), (2, a), (2, b), (3, c), (3, c), (3, c), (None, a), (None, text()), (7, ""), (7, "")])
+    left = sorted((r.doc_id is None, r.doc_id or 0, r.text[:5]) for r in cp.near_dedup(spark, docs, sf).collect())
+    assert [x[:2] for x in left] == [(False, 1), (False, 2), (False, 3), (False, 7), (False, 7), (True, 0)]
+    assert (False, 2, b[:5]) in left

@@ -109,3 +109,51 @@ def test_clashing_names_pass_through(spark):
         docs = docs.withColumn(name, F.lit(name))
     out = mixing.mix(docs, repetition=1.0)
     assert out.count() == 30 and {tuple(r[c] for c in CLASH) for r in out.collect()} == {CLASH}
+
+
+def test_top_k_of_huge_components(spark):
+    """Beyond what float64 and a long can hold: exact where a long can hold the score, else the end of its range."""
+    rows = [(0, [3.0e6, 1.0], "", 0), (1, [2.9e6, 5.0], "", 0), (2, [2.9e6, 4.0], "", 0), (3, [1e30, 0.0], "", 0), (4, [-1e300, 0.0], "", 0), (5, [0.0, 0.0], "", 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, score int")
+    found = [(r.vec_id, r.score) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    big = lambda a, b: sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(a, b))
+    assert found == [(3, 2**63 - 1), (1, big(rows[0][1], rows[1][1])), (2, big(rows[0][1], rows[2][1])), (5, 0), (4, -(2**63))]
+
+
+def test_mixture_is_what_sorting_gives(spark):
+    """Each source's last epoch against its rows sorted by their place, its power against bisection."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), ["a", "b", None, "c"][int(rng.choice(4, p=[0.7, 0.2, 0.06, 0.04]))], " ".join(["w"] * int(rng.integers(0, 12))), "", "", "") for i in range(900)]
+    rows += [(5, "a", "same text twice", "", "", "")] * 40
+    docs = spark.createDataFrame(rows, DOCS)
+    budget, limit, seed = 3000, 1.5, 29
+    size = lambda t: max(1, len(t.split()))
+    tokens = {}
+    for _, s, t, *_ in rows:
+        tokens[s] = tokens.get(s, 0) + size(t)
+    whole = sum(tokens.values())
+
+    def epochs(power):
+        z = sum((n / whole) ** power for n in tokens.values())
+        return {s: (n / whole) ** power / z * budget / n for s, n in tokens.items()}
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if max(epochs(mid).values()) <= limit else (mid, hi)
+    wanted = {s: min(limit, e) for s, e in epochs(hi).items()}
+    expected = []
+    for s, e in wanted.items():
+        full = math.floor(e + 1e-9)
+        own = docs.where(F.col("source").eqNullSafe(s)).select("doc_id", "text", mixing.place(seed, F.lit(full), F.xxhash64(F.struct("doc_id", "text"))).alias("p")).collect()
+        rest, upto = int((e + 1e-9) % 1 * tokens[s]), 0
+        expected += [(r.doc_id, n) for r in own for n in range(full)]
+        places = sorted({r.p for r in own}) if rest else []
+        for p in places:
+            if upto >= rest:
+                break
+            held = [r for r in own if r.p == p]
+            upto += sum(size(r.text) for r in held)
+            expected += [(r.doc_id, full) for r in held]
+    found = [(r.doc_id, r.epoch) for r in mixing.mix(docs, budget=budget, repetition=limit, seed=seed).collect()]
+    assert sorted(found) == sorted(expected)

@@ -313,3 +313,56 @@ def test_pii_forms_of_a_name_share_the_family_name(spark):
     family = re.fullmatch(r"Mr\. \w+ (\w+) and later Mr\. \1, Mrs\. \1, Dr\. [A-Z]\. \1", out[0])[1]
     assert re.fullmatch(rf"Mr\. \w+ {family}, Mr\. (?!{family})\w+", out[1])
     assert all(t.endswith(f" {family}") for t in out[2:]) and len(set(out[2:])) == 40
+
+
+def test_pii_is_what_one_pass_on_one_machine_gives(spark, monkeypatch):
+    """All replacements, also those drawn again, against a plain loop over all texts; with and without the broadcast."""
+    rng = random.Random(6)
+    people = ["Mr John Smith", "Mrs. Jane Doe", "Frau Weber", "Mr Smith"]
+    cards = ["378282246310005", "4111 1111 1111 1111"]
+    texts = [" ".join(rng.choices([*people, *cards, "+1 499 555 6503", "078-05-1120", "10.1.2.3", "a.b@c.example", "word", "Smith", "and"], k=rng.randrange(12))) for _ in range(60)] + [None, ""]
+    texts += [f"{100 + i}-11-{1000 + i}" for i in range(200)]
+    entities = sorted({e[2:] for t in texts for e in pii.detect(t or "", False)})
+    draws = dict.fromkeys(entities, 0)
+    while True:
+        owners = {}
+        for e, d in draws.items():
+            owners.setdefault((e[0], pii.surrogate(*e, KEY, d)), []).append((d, e[1]))
+        again = [(kind, c) for (kind, new), held in owners.items() for d, c in held if (len(held) > 1 and (d, c) != min(held)) or (kind, new) in draws]
+        if not again:
+            break
+        for e in again:
+            draws[e] += 1
+
+    def rewritten(text):
+        out, done = [], 0
+        for a, b, kind, canonical in pii.detect(text, False):
+            out += [text[done:a], pii.written(text[a:b], kind, pii.surrogate(kind, canonical, KEY, draws[kind, canonical]))]
+            done = b
+        return "".join([*out, text[done:]])
+
+    for broadcast in (200_000, 0):
+        out = {r.doc_id: r.text for r in pii.pseudonymize(frame(spark, texts), key=KEY, broadcast_rows=broadcast).collect()}
+        assert out == {i: None if t is None else rewritten(t) for i, t in enumerate(texts)}
+
+
+def test_html_of_pages_made_of_known_blocks(spark):
+    """Pages put together from an article's blocks and what stands around them: the text is the blocks, in order."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda: "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(6))
+    pages, expected = [], []
+    for k in range(60):
+        blocks = [sentence(rng.randrange(15, 60)) for _ in range(rng.randrange(3, 9))]
+        body = "".join(f"<p class='{rng.choice(['', 'lead', 'x'])}'>{b.replace(' ', rng.choice([' ', chr(10), '  ']), 3)}</p>" for b in blocks)
+        around = [f"<nav><ul>{links()}</ul></nav>", f"<div class='cookie-banner'>We use cookies. <button>OK</button></div>", "<script>var a = '<p>no</p>';</script>", "<!-- <p>no</p> -->"]
+        after = [f"<aside class='sidebar'><ul>{links()}</ul></aside>", f"<section class='comments'><p>{sentence(8)}</p></section>", "<footer>© site</footer>", f"<form><label>{word()}</label><input></form>"]
+        rng.shuffle(after)
+        main = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>"]).format(body)
+        pages.append((k, f"u{k}", f"<html><head><title>{word()}</title></head><body>{''.join(around)}{main}{''.join(after)}</body></html>"))
+        expected.append("\n\n".join(blocks))
+    df = spark.createDataFrame([*pages, (98, "u", None), (99, "u", "")], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert out.pop(98) == out.pop(99) == ""
+    assert [out[k] for k in range(60)] == expected
