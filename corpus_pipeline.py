@@ -54,8 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not again.limit(1).count():
         return left
     repeated = keyed(docs).join(again.select(*(F.col(c).alias(f"_again_{k}") for k, c in enumerate(KEY))), (F.col("_again_1") == F.col("_text")) & F.col("_again_0").eqNullSafe(F.col("doc_id")))
-    single = repeated.groupBy(*KEY).agg(*(F.first(c).alias(f"_{c}") for c in docs.columns))
-    return without(left, again, "pipeline-single").unionByName(single.select(*(F.col(f"_{c}").alias(c) for c in docs.columns)))
+    single = repeated.groupBy(*KEY).agg(*(F.first(c).alias(f"_first_{c}") for c in docs.columns))
+    return without(left, again, "pipeline-single").unionByName(single.select(*(F.col(f"_first_{c}").alias(c) for c in docs.columns)))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

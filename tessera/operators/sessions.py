@@ -25,6 +25,12 @@ def scope_summaries(messages: DataFrame) -> DataFrame:
     return messages.select("created_at", one).where("value <> ''").groupBy("dimension", "value").agg(F.count("*").alias("message_count"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"))
 
 
+def loaded(messages: DataFrame, session: tuple[str, ...], scope: Column | None = None) -> DataFrame:
+    """The messages of a scope (all without one), each session's together and in its order; sessions are dealt out over the tasks, so there is no global sort."""
+    kept = messages if scope is None else messages.where(scope)
+    return kept.repartition(*session).sortWithinPartitions(*session, "seq")
+
+
 def pruned(messages: DataFrame, session: tuple[str, ...], *, before: Column | None = None, keep_last: int | None = None) -> DataFrame:
     """Messages that pruning leaves: those not before the time, and of them the newest of each session."""
     if before is None and keep_last is None:

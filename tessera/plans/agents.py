@@ -151,7 +151,7 @@ def checkpoint_latest(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, seq, role, content FROM messages", "messages")
 def session_load(spark: SparkSession, d: str) -> DataFrame:
-    return ad.messages(spark, d).orderBy("sc_session", "seq").select("conv_id", "seq", "role", "content")
+    return sessions.loaded(ad.messages(spark, d), ("sc_session",)).select("conv_id", "seq", "role", "content")
 
 
 @query("""SELECT 'base' AS dimension, 'conversation' AS value, count(*) AS message_count, min(created_at) AS first_at, max(created_at) AS last_at FROM messages
