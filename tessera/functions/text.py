@@ -149,3 +149,8 @@ def sanitized(text: Column, most: int | None = None) -> Column:
     """Without control and format characters, but for tab, line feed, carriage return, joiners and the soft hyphen."""
     clean = F.regexp_replace(text, "[\\p{Cc}\\p{Cf}&&[^\\t\\n\\r\\x{200C}\\x{200D}\\x{00AD}]]", "")
     return clean if most is None else clip(clean, most)
+
+
+def contextualizer_fingerprint(kind: str, **settings: object) -> str:
+    """What a document's fingerprint takes in of the way its chunks get their context: another way, or other settings, and all chunks are due again."""
+    return "|".join([kind, *(f"{k}={settings[k]}" for k in sorted(settings))])

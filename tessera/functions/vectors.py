@@ -55,3 +55,14 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
 def share_of_max(value: Column, low: Column, high: Column) -> Column:
     """1 where all are equal, min-max if any value is negative, else the share of the largest."""
     return F.when(high == low, F.lit(1.0)).when(low < 0, (value - low) / F.nullif(high - low, F.lit(0.0))).otherwise(value / F.nullif(high, F.lit(0.0)))
+
+
+def component(x: Column) -> Column:
+    """A part of a score as it is shown: four digits, halves to the even one."""
+    return F.bround(x, 4)
+
+
+def utc(time: Column) -> Column:
+    """A time in a text as a timestamp; one without a zone counts as UTC, whatever the session's zone."""
+    zoned = time.rlike("([zZ]|[+-][0-9]{2}:?[0-9]{2})$")
+    return F.try_to_timestamp(F.when(zoned, time).otherwise(F.concat(time, F.lit("Z"))))

@@ -80,8 +80,13 @@ def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: i
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     wanted = asked.select(F.col("term").alias("wanted")).distinct()
     rows = term_rows(basis, text, seen.alias("seen"))
-    lengths_and_hits = rows.join(side(wanted.unionByName(wanted.sparkSession.createDataFrame([(None,)], "wanted string"))), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
-    index = materialize(lengths_and_hits.groupBy("term", *key, "seen", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
+    if small:
+        none = wanted.sparkSession.createDataFrame([(None,)], "wanted string")
+        kept = rows.join(F.broadcast(wanted.unionByName(none)), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+    else:
+        # joined on terms, the rows without one would all come to one task: they keep out of the join
+        kept = rows.where("term IS NULL").unionByName(rows.join(wanted, F.col("term") == F.col("wanted"), "left_semi"))
+    index = materialize(kept.groupBy("term", *key, "seen", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
     # a row without a term stands for each document of that key
     stats = index.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
     hits = index.where("term IS NOT NULL")

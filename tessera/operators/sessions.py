@@ -42,6 +42,13 @@ def pruned(messages: DataFrame, session: tuple[str, ...], *, before: Column | No
     return left.withColumn("_n", newest).where(F.col("_n") <= keep_last).drop("_n")
 
 
+def pruned_counts(messages: DataFrame, session: tuple[str, ...], *, before: Column | None = None, keep_last: int | None = None) -> DataFrame:
+    """The session and deleted: how many of its messages pruned() takes out."""
+    left = pruned(messages, session, before=before, keep_last=keep_last).groupBy(*session).agg(F.count("*").alias("_left"))
+    whole = messages.groupBy(*session).agg(F.count("*").alias("_all"))
+    return whole.join(left, list(session), "left").select(*session, (F.col("_all") - F.coalesce("_left", F.lit(0))).alias("deleted"))
+
+
 def compaction_split(messages: DataFrame, session: tuple[str, ...], *, trigger: int = 2000, keep_recent: int = 4) -> DataFrame:
     """`messages` (with tokens) with `part`: 'old' for what a summary replaces, 'recent' for what stays.
 

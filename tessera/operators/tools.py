@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,12 +26,13 @@ def selected(registry: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(registry.select("name"), "name", "left_semi").select("request_id", "place", "name")
 
 
-def retrieved(hits: DataFrame, registry: DataFrame, queries: DataFrame, *, top_k: int = 5, always: tuple[str, ...] = (), fallback: str = "all") -> DataFrame:
+def retrieved(hits: DataFrame, registry: DataFrame, queries: DataFrame, *, top_k: int = 5, always: tuple[str, ...] = (), fallback: str = "all", selector: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, place, name: the resident tools, then hits (query_id, rank, name) that exist and are not among them.
 
+    A selector takes the hits and gives those to use, with their ranks.
     A query without hits gets all tools, only the resident ones, or none, by `fallback`.
     """
-    known = hits.join(registry.select("name"), "name", "left_semi").where(F.col("rank") <= top_k)
+    known = (selector(hits) if selector else hits).join(registry.select("name"), "name", "left_semi").where(F.col("rank") <= top_k)
     named = registry.select("name").where(F.col("name").isin(*always)).distinct()
     fixed = queries.select("query_id").crossJoin(F.broadcast(named))  # no more than are named in the call
     fixed = fixed.select("query_id", F.lit(0).alias("tier"), F.lit(0).alias("rank"), "name")

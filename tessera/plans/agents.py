@@ -373,12 +373,12 @@ EVENT_LINE = """'[' || type || ']' || CASE type WHEN 'llm' THEN ' ' || concat_ws
 ELIDED = """shown AS (SELECT s.*, s.step < 12 OR s.step > max(s.step) OVER (PARTITION BY s.run_id) - 8 OR f.step IS NOT NULL AS shown FROM steps s
   LEFT JOIN (SELECT DISTINCT run_id, step FROM findings) f ON f.run_id IS NOT DISTINCT FROM s.run_id AND f.step = s.step),
 grouped AS (SELECT *, sum(CASE WHEN shown THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS g FROM shown),
-listed AS (SELECT run_id, step AS at, step || ' ' || """ + EVENT_LINE + """ AS l FROM grouped WHERE shown UNION ALL SELECT run_id, min(step), '… ' || count(*) || ' steps …' FROM grouped WHERE NOT shown GROUP BY run_id, g),
+listed AS (SELECT run_id, step AS spot, step || ' ' || """ + EVENT_LINE + """ AS l FROM grouped WHERE shown UNION ALL SELECT run_id, min(step), '… ' || count(*) || ' steps …' FROM grouped WHERE NOT shown GROUP BY run_id, g),
 totals AS (SELECT run_id AS r, count(*) || ' steps, ' || count(*) FILTER (WHERE type = 'llm') || ' llm, ' || count(*) FILTER (WHERE type = 'tool') || ' tool, ' || CAST(sum(coalesce(tokens, 0)) AS BIGINT) || ' tokens, ' AS t FROM traces GROUP BY run_id),
 issues AS (SELECT run_id AS ir, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w FROM findings GROUP BY run_id)"""
 
 
-@query("SELECT * FROM (WITH " + ad.CTE["traces"] + ", " + ELIDED + """ SELECT run_id, left(any_value(t) || any_value(coalesce(e, 0)) || ' errors, ' || any_value(coalesce(w, 0)) || ' warnings' || chr(10) || string_agg(l, chr(10) ORDER BY at), 20000) AS timeline
+@query("SELECT * FROM (WITH " + ad.CTE["traces"] + ", " + ELIDED + """ SELECT run_id, left(any_value(t) || any_value(coalesce(e, 0)) || ' errors, ' || any_value(coalesce(w, 0)) || ' warnings' || chr(10) || string_agg(l, chr(10) ORDER BY spot), 20000) AS timeline
   FROM listed JOIN totals ON r IS NOT DISTINCT FROM run_id LEFT JOIN issues ON ir IS NOT DISTINCT FROM run_id GROUP BY run_id)""")
 def trace_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Every run: its totals, its first and last steps, those with findings, and counts for the gaps."""

@@ -119,7 +119,7 @@ def decision_injection(spark: SparkSession, d: str) -> DataFrame:
     return sessions.injected(calls, decisions)
 
 
-@query("SELECT session, row_number() OVER (PARTITION BY session ORDER BY at, name) - 1 AS place, name FROM (SELECT o_custkey AS session, 'tool-' || o_orderstatus AS name, min(o_orderkey) AS at FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)")
+@query("SELECT session, row_number() OVER (PARTITION BY session ORDER BY seen, name) - 1 AS place, name FROM (SELECT o_custkey AS session, 'tool-' || o_orderstatus AS name, min(o_orderkey) AS seen FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)")
 def discovered_tools(spark: SparkSession, d: str) -> DataFrame:
     """Tools that a session has found, each once and in that order, without the one that is there from the start."""
     found = ad.read(spark, d, "orders").select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("at"), F.concat(F.lit("tool-"), "o_orderstatus").alias("name"))

@@ -278,12 +278,37 @@ def context_build_block(spark: SparkSession, d: str) -> DataFrame:
 # ---- sessions and tools
 
 
+@query("SELECT conv_id, greatest(count(*) - 3, 0) AS deleted FROM conversations GROUP BY conv_id")
+def session_prune_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.pruned_counts(ad.messages(spark, d), ("conv_id",), keep_last=3)
+
+
+@query("SELECT event_id, epoch_us(ts) - CASE WHEN event_id % 2 = 0 THEN 7200000000 ELSE 0 END AS us FROM events")
+def utc_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times in texts, every second one with a zone two hours ahead."""
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return ad.read(spark, d, "events").select("event_id", F.unix_micros(vx.utc(F.when(F.col("event_id") % 2 == 0, F.concat(text, F.lit("+02:00"))).otherwise(text))).alias("us"))
+
+
+@query("SELECT event_id, round_even(event_id / 8.0::DOUBLE, 4) AS shown FROM events")
+def score_components(spark: SparkSession, d: str) -> DataFrame:
+    return ad.read(spark, d, "events").select("event_id", vx.component(F.col("event_id") / F.lit(8.0)).alias("shown"))
+
+
+@query("SELECT user, sc_app, content FROM (SELECT CAST(user_id AS VARCHAR) AS user, event_type AS sc_app, props AS content, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND sc_app <> 'view'")
+def checkpoint_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of each exact scope, and none of a scope that is cleared."""
+    rows = ad.read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user"), "event_type", F.col("props").alias("content"))
+    kept = tables.latest(scope.scoped(rows, sc_user=F.col("user"), sc_app=F.col("event_type")), scope.DIMENSIONS, F.col("event_id"))
+    return tables.cleared(kept, scope.in_range({"sc_app": "view"})).select("user", "sc_app", "content")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id % 3 <> 0")
 def conversation_clear(spark: SparkSession, d: str) -> DataFrame:
-    m = ad.messages(spark, d).where("conv_id % 3 <> 2 OR conv_id % 3 = 2")
-    for n in (0,):
-        m, _ = sessions.cleared(m, m.select("conv_id"), F.col("conv_id") % 3 == n)
-    return m.select("conv_id", F.col("seq").alias("turn"))
+    """The log without some conversations; its index loses them in the same step."""
+    m = ad.messages(spark, d)
+    log, index = sessions.cleared(m, m.select("conv_id", "seq"), F.col("conv_id") % 3 == 0)
+    return log.join(index, ["conv_id", "seq"], "left_semi").select("conv_id", F.col("seq").alias("turn"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '[{\"type\":\"text\",\"text\":\"' || role || '\"}]' ELSE text END AS content, turn % 2 = 0 AS multimodal FROM conversations")

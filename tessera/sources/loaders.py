@@ -148,14 +148,70 @@ def trace_lines(spark: SparkSession, path: str, *, strict: bool = False) -> tupl
     return lines.where("event IS NOT NULL").select("pos", "event"), bad
 
 
+#: Lines and levels of a frontmatter.
+MOST_LINES, MOST_LEVELS = 4096, 32
+_FIELD = re.compile(r"(name|description):[ \t]*(.*)$")
+
+
+def frontmatter(text: str) -> tuple[dict[str, str], str]:
+    """name and description between the first line `---` and the next such line, and the text after it; {} and the whole text where there is none.
+
+    Fields stand at the left edge; a value goes on over indented lines. Too many lines or levels, and anchors or aliases, raise: none of them is needed here.
+    """
+    lines = text.replace("\r\n", "\n").split("\n")
+    if lines[0] != "---" or "---" not in lines[1:]:
+        return {}, text
+    end = lines.index("---", 1)
+    head = lines[1:end]
+    if len(head) > MOST_LINES:
+        raise ValueError("frontmatter has too many lines")
+    found: dict[str, list[str]] = {}
+    field = ""
+    levels = [0]
+    for line in head:
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip())
+        while levels[-1] > indent:
+            levels.pop()
+        if indent > levels[-1]:
+            levels.append(indent)
+        if len(levels) > MOST_LEVELS:
+            raise ValueError("frontmatter is nested too deep")
+        if re.search(r"(^|[\s:\-\[,])[&*][A-Za-z0-9_]", line):
+            raise ValueError("frontmatter has anchors or aliases")
+        m = _FIELD.match(line) if not indent else None
+        if m:
+            field = m[1]
+            found[field] = [m[2].strip()]
+        elif indent and field:
+            found[field].append(line.strip())
+        else:
+            field = ""
+    clean = {k: " ".join(x for x in v if x and x not in ("|", ">", "|-", ">-")) for k, v in found.items()}
+    return {k: v[1:-1] if len(v) > 1 and v[0] == v[-1] and v[0] in "\"'" else v for k, v in clean.items()}, "\n".join(lines[end + 1 :])
+
+
 def skills(spark: SparkSession, path: str) -> DataFrame:
-    """name, description, path, body of SKILL.md files with frontmatter between --- lines; a name that stands twice raises when the plan runs."""
+    """name, description, path, body of SKILL.md files with a frontmatter that names them, by name; a name that stands twice raises when the plan runs."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n", "\n")
-    front = F.regexp_extract(F.col("text"), "(?s)\\A---\n(.*?)\n---(?:\n|\\z)", 1)
-    field = lambda n: F.trim(F.regexp_replace(F.regexp_extract("front", f"(?m)^{n}:[ \\t]*(.*)$", 1), "^[\"']|[\"']$", ""))
-    found = raw.select("path", text.alias("text")).withColumn("front", front)
-    found = found.select(field("name").alias("name"), field("description").alias("description"), "path", F.regexp_replace("text", "(?s)\\A---\n.*?\n---(\n|\\z)", "").alias("body")).where("name <> ''")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for p, content in zip(*(c.to_pylist() for c in batch.columns)):
+                fields, body = frontmatter(content.decode("utf-8-sig", "replace"))
+                if fields.get("name"):
+                    rows.append((fields["name"], fields.get("description", ""), p, body))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 4)], names=["name", "description", "path", "body"])
+
+    found = raw.select("path", "content").mapInArrow(run, "name string, description string, path string, body string")
     n = found.groupBy("name").agg(F.count("*").alias("n"))
     checked = found.join(n, "name").withColumn("name", F.when(F.col("n") == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("skill name stands twice: "), F.col("name"))).cast("string")))
     return checked.drop("n").orderBy("name")
+
+
+def skill_catalog(found: DataFrame) -> str:
+    """A line for each skill, by name: what a model is told before it asks for a body."""
+    one = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("description"))
+    return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", one.alias("t")))), lambda s: s["t"]), "\n").alias("c")).first().c

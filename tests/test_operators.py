@@ -418,3 +418,20 @@ def test_long_sessions_are_digested_once(spark):
     out = {(r.session, r.seq): r.digest for r in sessions.prefix_digests(m, ("session",)).collect()}
     joined = lambda n: "\x1e".join(f"user\x1fm{i}" for i in range(n + 1))
     assert all(out["s", n] == hashlib.sha256(joined(n).encode()).hexdigest() for n in (0, 1, 2999)) and len(out) == 3001
+
+
+def test_frontmatter_limits():
+    fields, body = loaders.frontmatter("---\nname: 'x'\nextra:\n  deep: 1\ndescription: |\n  does\n  things\n---\nbody\n---\nmore")
+    assert fields == {"name": "x", "description": "does things"} and body == "body\n---\nmore"
+    assert loaders.frontmatter("no\n---\n") == ({}, "no\n---\n")
+    for bad in ("a: &x 1", "a: *x", "\n".join(" " * i + "k:" for i in range(40)), "\n".join(["k: 1"] * 5000)):
+        with pytest.raises(ValueError):
+            loaders.frontmatter(f"---\n{bad}\n---\n")
+
+
+def test_bm25_of_many_terms_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), f"w{i % 7} w{i % 3} common") for i in range(60)] + [("e", ""), ("n", None)], "id string, content string")
+    q = spark.createDataFrame([(1, "w1 w2"), (2, "common")], "query_id int, query string")
+    plain = {tuple(r) for r in search.bm25(docs, q).collect()}
+    monkeypatch.setattr(search, "few", lambda df: False)
+    assert {tuple(r) for r in search.bm25(docs, q).collect()} == plain and len(plain) == 10
