@@ -293,3 +293,9 @@ def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(read(spark, sf_dir, "documents"), verbatim=True)
+
+
+def line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the passages of op4_line_dedup cut out, and what was cut."""
+    docs = read(spark, sf_dir, "documents")
+    return without_passages(docs, repeated_passages(docs, verbatim=True)).select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))

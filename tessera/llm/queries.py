@@ -15,5 +15,6 @@ QUERIES = {
     "op8_quality_classifier": classifier.op8_quality_classifier,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_html_main_text": html.op10_html_main_text,
+    "line_dedup_texts": linededup.line_dedup_texts,
 }
 SQL = {**topk.SQL, **neardup.SQL, **rules.SQL}
