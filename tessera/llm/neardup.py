@@ -155,6 +155,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label: the components after further links, which only join what `labels` (node, label) has found: labels stand for their components."""
+    lifted = links.select("a", "b")
+    for side in "ab":
+        of = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        lifted = lifted.join(of, side, "left")
+    higher = components(lifted.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    up = higher.select(F.col("node").alias("label"), F.col("label").alias("higher"))
+    known = labels.join(up, "label", "left").select("node", F.coalesce("higher", "label").alias("label"))
+    return materialize(known.unionByName(higher.join(labels, "node", "left_anti")), "components-merged")
+
+
 def listed(classes: DataFrame, p: Near, least: int) -> DataFrame:
     """node, n, weight and the sketch values under which the set is listed, the rarest ones that suffice."""
     values = classes.select("node", "n", F.explode("hashes").alias("value"))
@@ -289,7 +301,7 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
     labelled = index.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("v.value").alias("at", "value"), F.col("v.value").alias("all"))
     labelled = labelled.select("value", "node", "n", "label", F.slice("all", F.lit(1), F.col("at")).alias("earlier"))
     rest = across(labelled, classes, texts, p, least)
-    labels = components(links.union(rest))
+    labels = merged(labels, rest)
 
     named = classes.select("node", "id").join(labels, "node")
     smallest = named.groupBy("label").agg(F.min("id").alias("component"))
