@@ -23,10 +23,6 @@ WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.char_length(F.translate(text, characters, ""))
-
-
 def duplicate_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     # the lines are used twice and made once
@@ -35,13 +31,14 @@ def duplicate_lines(text: Column) -> Column:
 
 #: Measures of a text as columns; n_repeat_words takes several steps, see with_repeats.
 MEASURED: dict[str, Callable[[Column], Column]] = {
-    "n_words": lambda t: F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")),
-    "word_chars": lambda t: without(t, " \t\n\x0b\x0c\r"),
-    "n_symbols": lambda t: F.char_length(t) - without(t, "#*$%&|<>"),
+    "n_words": lambda t: F.size(F.array_remove(F.split(t, SPACE), "")),
+    "word_chars": lambda t: F.char_length(F.translate(t, " \t\n\x0b\x0c\r", "")),
+    "n_symbols": lambda t: F.regexp_count(t, F.lit("[#*$%&|<>]")),
     "n_dup_lines": duplicate_lines,
-    "n_lines": lambda t: F.char_length(t) - without(t, "\n") + 1,
-    "n_capitals": lambda t: F.char_length(t) - without(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    "n_letters": lambda t: F.regexp_count(t, F.lit("\\p{L}")),
+    "n_lines": lambda t: F.size(F.split(t, "\n")),
+    "n_capitals": lambda t: F.regexp_count(t, F.lit("[A-Z]")),
+    # most characters of a text are letters: the others are fewer to count
+    "n_letters": lambda t: F.char_length(t) - F.regexp_count(t, F.lit("\\P{L}")),
     "n_ellipses": lambda t: F.regexp_count(t, F.lit("\\.\\.\\.|…")),
 }
 REPEATS = "n_repeat_words"
