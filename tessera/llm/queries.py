@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, classifier, html, linededup, mixing, neardup, pii, rules, secrets, topk
+from tessera.llm import bpe, classifier, exactdedup, fim, html, linededup, mixing, neardup, periodic, pii, rules, secrets, topk
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_classifier": classifier.op8_quality_classifier,
     "op9_quality_rules": rules.op9_quality_rules,
     "op10_html_main_text": html.op10_html_main_text,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_exact_dedup": exactdedup.op12_exact_dedup,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
     "line_dedup_texts": linededup.line_dedup_texts,
 }
-SQL = {**topk.SQL, **neardup.SQL, **rules.SQL}
+SQL = {**topk.SQL, **neardup.SQL, **rules.SQL, **fim.SQL, **exactdedup.SQL, **periodic.SQL}
