@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.shared import few, materialize, shared_dir
 
-__all__ = ["SPACE", "few", "materialize", "read", "shared_dir", "small_batches", "text_or_empty"]
+__all__ = ["SPACE", "few", "free_name", "materialize", "read", "shared_dir", "small_batches", "text_or_empty"]
 
 #: White space as the contracts of this subpackage define it: space and \t \n \v \f \r.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -21,6 +21,13 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with as many signs behind it as it takes to be none of `taken`."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 #: Rows and bytes that go to Python at once: texts are long, and each batch stands in the JVM, in Arrow and in Python at the same time.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

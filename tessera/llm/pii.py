@@ -15,18 +15,20 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import materialize, read, small_batches
+from tessera.llm.common import free_name, materialize, read, small_batches
 
 #: Patterns of the entities, in the order in which they claim text.
 EMAIL = (
     r"(?P<email>(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?"
-    r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24})"
+    r"@(?:[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?\.){1,8}(?:[A-Za-z]{2,24}|(?:(?![A-Za-z])[^\W\d_]){2,24}))"
 )
 IPV4 = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
@@ -51,11 +53,19 @@ GIVEN = {
     "GREEK": {"f": ("Άννα", "Ελένη", "Μαρία", "Σοφία"), "m": ("Γιώργος", "Νίκος", "Παύλος", "Πέτρος"), "n": ("Άλεξ",)},
 }
 SYLLABLES = {"LATIN": "ba be bi bo da de di do ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te ti to va ve vi".split(), "CYRILLIC": "ба бе бо ва ве во да де ка ко ла ло ма ми мо на не ни ра ро са со та ти".split(), "GREEK": "βα γα δα κα λα μα να ρα σα τα κο λο μο νο ρο σο το".split()}
+#: What may follow a title before the name.
+DEGREES = ("med", "rer", "nat", "phil", "jur", "Ing", "ing", "habil", "h.c", "h. c", "theol", "dent")
 _SIGN = {t: g for g, names in TITLES.items() for t in names}
+_one_of = lambda names: "|".join(map(re.escape, sorted(names, key=len, reverse=True)))
+#: Titles in a row; a letter alone is a title at the start only, elsewhere an initial.
+_FURTHER = rf"(?:{_one_of([t for t in _SIGN if len(t) > 1])})(?!\w)"
+RUN_OF_TITLES = rf"(?:{_one_of(_SIGN)})(?:\. ?| )(?:(?:{_FURTHER}\.?|(?:{_one_of(DEGREES)})\.) ?)*"
+TITLE_RUN = re.compile(RUN_OF_TITLES)
 _CAPITAL = r"[^\W\d_a-zа-яα-ω]"
 #: A word of a name with the initials before it.
-_WORD = rf"(?:{_CAPITAL}(?:\. ?| ))*{_CAPITAL}(?:['’]?[^\W\d_])+"
-NAME = rf"(?P<name>(?<!\w)(?:{'|'.join(sorted(map(re.escape, _SIGN), key=len, reverse=True))})\.? {_WORD}(?:[ -]{_WORD}){{0,2}})"
+_WORD = rf"(?:{_CAPITAL}(?:\. ?| ))*(?!{_FURTHER}){_CAPITAL}(?:['’]?[^\W\d_])+"
+NAME = rf"(?P<name>(?<!\w){RUN_OF_TITLES}{_WORD}(?:[ -]{_WORD}){{0,2}})"
+TITLE_WORD = re.compile(rf"(?<!\w)(?:{_one_of(_SIGN)})(?!\w)")
 ENTITY = re.compile("|".join((EMAIL, IP, IBAN, CARD, SSN, PHONE, NAME)))
 #: Whether any pattern can match: an at sign, a digit or a title.
 HINT = re.compile(rf"[@\d]|(?<!\w)(?:{'|'.join(map(re.escape, _SIGN))})\b")
@@ -107,8 +117,9 @@ def detect(text: str, strict_cards: bool) -> list[tuple[int, int, str, str]]:
         if kind == "email":
             canonical = found.lower()
         elif kind == "name":
-            title, _, rest = found.partition(" ")
-            canonical = f"{_SIGN[title.rstrip('.')]}:{rest}"
+            end = TITLE_RUN.match(found).end()
+            signs = [_SIGN[t] for t in TITLE_WORD.findall(found[:end])]
+            canonical = f"{next((x for x in signs if x != 'n'), 'n')}:{found[end:]}"
         elif kind in ("card", "ssn", "phone", "iban"):
             # digits of any script count by their value
             canonical = "".join(str(int(c)) if c.isdecimal() else c for c in found if c.isdecimal() or c == "+" or "A" <= c <= "Z")
@@ -146,11 +157,17 @@ class Stream:
 def script_of(name: str) -> str:
     for c in name:
         if c.isalpha():
-            found = unicodedata.name(c, "LATIN").split()[0]
-            return found if found in GIVEN else "LATIN"
+            return unicodedata.name(c, "LATIN").split()[0].split("-")[0]
     return "LATIN"
 
 
+@cache
+def letters_of(script: str) -> tuple[str, ...]:
+    """The first letters of a script of the basic plane, for scripts that have no syllables here."""
+    letters = (chr(c) for c in range(0x250, 0xD800) if unicodedata.category(chr(c)) in ("Lo", "Ll") and unicodedata.name(chr(c), "").startswith(f"{script} "))
+    return tuple(islice(letters, 500)) or ("x",)
+
+
 def cased(new: str, old: str) -> str:
     if old.isupper() and len(old) > 1:
         return new.upper()
@@ -196,7 +213,7 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
     gender, _, name = canonical.partition(":")
     words = name.split()
     script = script_of(name)
-    given, syllables = GIVEN[script][gender], SYLLABLES[script]
+    given, syllables = GIVEN.get(script, {}).get(gender), SYLLABLES.get(script) or letters_of(script)
     out = []
     for k, old in enumerate(words):
         last = k == len(words) - 1
@@ -206,7 +223,7 @@ def surrogate(kind: str, canonical: str, key: bytes, draw: int = 0) -> str:
         if len(old.rstrip(".")) == 1:
             new = made[0] + old[1:]
         else:
-            new = given[s.below(len(given))] if k == 0 and not last and draw < 4 else made
+            new = given[s.below(len(given))] if given and k == 0 and not last and draw < 4 else made
         out.append(cased(new, old))
     return f"{gender}:{' '.join(out)}"
 
@@ -216,9 +233,8 @@ def written(found: str, kind: str, new: str) -> str:
     if kind == "email":
         return new.upper() if found.isupper() else new
     if kind == "name":
-        title, gap, _ = found.partition(" ")
-        made = new.partition(":")[2]
-        return f"{title} {made}" if gap and title.rstrip(".") in _SIGN else made
+        titles = TITLE_RUN.match(found)
+        return found[: titles.end() if titles else 0] + new.partition(":")[2]
     if kind in ("card", "ssn", "phone"):
         return digits_like(found, iter(new.lstrip("+")))
     if kind == "iban":
@@ -284,7 +300,8 @@ def collided(found: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> Data
 def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", strict_cards: bool = False, broadcast_rows: int = 200_000) -> DataFrame:
     """`docs` with surrogates for personal data in `text_col`, and n_entities, how many were replaced.
 
-    A null text stays null; an empty one stays empty; both count no entities. All other columns and rows stay as they are.
+    A null text stays null; an empty one stays empty; both count no entities. All other columns and rows stay as they are, whatever their names; a
+    column n_entities is replaced, repeated rows get equal texts, an empty table gives an empty one.
     The entities that had to be drawn again are broadcast up to `broadcast_rows`; more of them are
     joined to the documents that hold them. `strict_cards` leaves alone long numbers whose check digit is wrong.
     """
@@ -305,11 +322,10 @@ def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", strict_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.schema.names[-1] == "_redrawn"
             texts, counts = [], []
             for k, v in enumerate(batch.column(at)):
                 text = v.as_py()
-                redrawn = {(r["kind"], r["canonical"]): r["draw"] for r in batch.column(len(names))[k].as_py() or []} if own else shared.value
+                redrawn = {(r["kind"], r["canonical"]): r["draw"] for r in batch.column(len(names))[k].as_py() or []} if not few else shared.value
                 new, n = (None, 0) if text is None else rewrite(text, redrawn)
                 texts.append(new)
                 counts.append(n)
@@ -322,7 +338,8 @@ def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", strict_
 
 
 def _with_redrawn(docs: DataFrame, draws: DataFrame, text_col: str, strict_cards: bool) -> DataFrame:
-    """`docs` with _redrawn, the draws of the entities of each text, by a join on the entities."""
+    """`docs` with a last column, the draws of the entities of each text, by a join on the entities."""
+    number, last = free_name(docs.columns, "_row"), free_name(docs.columns, "_redrawn")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,10 +348,10 @@ def _with_redrawn(docs: DataFrame, draws: DataFrame, text_col: str, strict_cards
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["_row", "kind", "canonical"])
 
     # every row has a number of its own, so copies of a text, however many, are dealt out evenly
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    found = small_batches(held.select("_row", text_col)).mapInArrow(wanted, "_row long, kind string, canonical string")
-    redrawn = found.join(draws, ["kind", "canonical"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "canonical", "draw")).alias("_redrawn"))
-    return held.join(redrawn, "_row", "left").select(*docs.columns, "_redrawn")
+    held = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "pii-rows")
+    found = small_batches(held.select(number, text_col)).mapInArrow(wanted, "_row long, kind string, canonical string")
+    redrawn = found.join(draws, ["kind", "canonical"]).groupBy(F.col("_row").alias(number)).agg(F.collect_list(F.struct("kind", "canonical", "draw")).alias(last))
+    return held.join(redrawn, number, "left").select(*docs.columns, last)
 
 
 #: The key of the registered query and of the pipeline; in production it comes from a secret store.

@@ -293,7 +293,7 @@ def test_random_strings_beside_words_are_found():
             missed += spans(f"{head}{key} end") not in ([(len(head), len(head) + 24)], [(4, len(head) + 24)])
     assert missed <= 6
     for text in ("/documents/reports/123e4567-e89b-12d3-a456-426614174000/download", "/reports/of-the-year/2024-01-02/part-03/download", "InternationalizationOfThings/AndOtherThings", "downloads/reports/digest/" + hashlib.sha1(b"x").hexdigest()):
-        assert not secrets.random_parts(text, encoding, 2.0)
+        assert not secrets.random_parts(text, encoding, 2.0, secrets.LEAST)
 
 
 @pytest.mark.parametrize("entity, kind", [("Mr. J. Smith", "name"), ("Mrs. O'Brien", "name"), ("Dr. Anna K. Weber", "name"), ("Mr. J.R.R. McTolk", "name"), ("_john@example.com", "email"), ("-bob@example.org", "email"), ("_j.smith@example.com", "email"), ("NO93 8601 1117 947", "iban"), ("NO9386011117947", "iban"), ("2001:db8::8a2e:370:7334", "ip"), ("fe80:0:0:0:1:2:3:4", "ip"), ("::1", "ip")])
@@ -366,3 +366,32 @@ def test_html_of_pages_made_of_known_blocks(spark):
     out = {r.page_id: r.text for r in html.extract(df).collect()}
     assert out.pop(98) == out.pop(99) == ""
     assert [out[k] for k in range(60)] == expected
+
+
+def test_names_behind_several_titles(spark):
+    people = ["Prof. Dr. Eva Braun", "Frau Dr. Anna Schmidt", "Herr Prof. Dr. Hans Maier", "Herr Dr. Meyer und Dr. Meyer", "Dr. med. Clara Vogt", "Prof.Dr. Otto Lang", "Mr. J. R. Smith", "Herr M. Schulz", "Mrs Dr Mary-Jane O'Neill", "Dott Mr Wu", "Frau 王 und Frau 王秀英", "Mme Noël", "Prof. Prof. Dr. Dr. h.c. Weber"]
+    gone = ["Eva", "Braun", "Anna", "Schmidt", "Hans", "Maier", "Meyer", "Clara", "Vogt", "Otto", "Lang", "Smith", "Schulz", "Mary", "Neill", "Wu", "秀英", "Noël", "Weber"]
+    texts = [f"Then {p} said so." for p in people]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("_redrawn", F.lit(1)).withColumn("_row", F.lit(2))
+    for most in (200_000, 0):
+        out = pii.pseudonymize(docs, key=b"k", broadcast_rows=most)
+        assert out.columns == ["id", "text", "_redrawn", "_row", "n_entities"]
+        for r in out.collect():
+            assert not [w for w in gone if re.search(rf"(?<!\w){w}(?!\w)", r.text)], r.text
+            assert r.n_entities >= 1
+    kept = {r.id: r.text for r in out.collect()}
+    assert kept[0].startswith("Then Prof. Dr. ") and kept[2].startswith("Then Herr Prof. Dr. ") and kept[3].count("Dr. ") == 2 and kept[4].startswith("Then Dr. med. ")
+    assert kept[12].startswith("Then Prof. Prof. Dr. Dr. h.c. ")
+
+
+def test_surrogates_keep_the_script():
+    for name in ("Ευα Παπα", "Анна Петрова", "王秀英", "مريم سالم", "רות לוי", "Անի Սարգսյան"):
+        new = pii.surrogate("name", f"f:{name}", b"k").partition(":")[2]
+        assert pii.script_of(new) == pii.script_of(name) and new != name
+
+
+def test_mail_at_other_domains():
+    for text in ("write to user@münchen.de now", "a@例え.テスト", "x.y@mail.пример.рф, or"):
+        (found,) = pii.detect(text, False)
+        assert found[2] == "email" and found[3] == text[found[0] : found[1]].lower()
+    assert [x[3] for x in pii.detect("a@b.deと言う", False)] == ["a@b.de"]
