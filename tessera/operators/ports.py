@@ -130,11 +130,10 @@ class _TableIndex:
     def upsert(self, rows: DataFrame) -> None:
         if tables.repeated_keys(rows).limit(1).count():
             raise ValueError("a key stands twice in the batch")
-        known = self.store.current() is not None and self.table in self.store.tables()
-        self.store.commit({self.table: tables.upsert(self.rows(), rows) if known else rows})
+        self.store.update(lambda t: t.write(self.table, tables.upsert(t.read(self.table), rows) if t.names(self.table) else rows))
 
     def delete(self, ids: DataFrame, scope: dict[str, str | None]) -> None:
-        self.store.commit({self.table: tables.delete_in_range(self.rows(), ids, in_range(scope))})
+        self.store.update(lambda t: t.write(self.table, tables.delete_in_range(t.read(self.table), ids, in_range(scope))))
 
 
 class TableVectors(_TableIndex):
@@ -145,7 +144,7 @@ class TableVectors(_TableIndex):
 
 
 class TableKeywords(_TableIndex):
-    """A KeywordIndex over a store's table of id, scope, content."""
+    """Keyword search over a store's table of id, scope, content, which takes every text apart again; `keyword_index.KeywordIndex` keeps postings."""
 
     def search(self, queries: DataFrame, *, top_k: int, scope: dict[str, str | None]) -> DataFrame:
         return search.bm25(self.rows(), queries, top_k=top_k, where=in_range(scope))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions import vectors as vx
 from tessera.operators.blocks import block_nearest
-from tessera.operators.tables import ITEM_KEY, key_of
-from tessera.sources.shared import few, materialize
+from tessera.operators.tables import key_of
+from tessera.sources.shared import few, materialize, spread_out
 
 TOP_K, POOL, RRF_K = 5, 20, 60
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -46,17 +46,22 @@ def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where:
     return ranked(found, top_k, F.col("distance"), *map(F.col, key)).withColumn("score", vx.distance_score(F.col("distance")))
 
 
-def term_rows(docs: DataFrame, text: str, *also: Column) -> DataFrame:
-    """The key of each document, dl (its number of terms), the `also` columns and term: a row for each term as often as it stands there, and one with a null term."""
-    terms = tx.search_terms(F.col(text))
-    listed = docs.select(*key_of(docs), *also, terms.alias("terms"))
-    return listed.select(*key_of(docs), *(c for c in listed.columns if c not in ITEM_KEY and c != "terms"), F.size("terms").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+def counted(docs: DataFrame, text: str = "content", *also: Column) -> DataFrame:
+    """The key of each document, the `also` columns, dl (its number of terms) and terms, each with its tf: counted within the row, so nothing is shuffled."""
+    rows = spread_out(docs.select(*key_of(docs), *also, F.col(text).alias("_text")))
+    names = [c for c in rows.columns if c != "_text"]
+    rows = rows.select(*names, F.sort_array(tx.search_terms(F.col("_text"))).alias("_t"))
+    # of sorted terms, those that differ from the one before, and the end; a term's tf is the distance to the next of them
+    first = lambda i: (i == F.size("_t")) | (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
+    rows = rows.select(*names, "_t", F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t")), first)).otherwise(F.array()).alias("_s"))
+    pairs = F.transform(F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))), lambda at, n: F.struct(F.get("_t", at).alias("term"), (F.get("_s", n + 1) - at).cast("long").alias("tf")))
+    return rows.select(*names, F.size("_t").alias("dl"), pairs.alias("terms"))
 
 
 def postings(docs: DataFrame, text: str = "content") -> DataFrame:
     """term, the document's key, tf and dl (terms of the document): the keyword index."""
-    rows = term_rows(docs, text).where("term IS NOT NULL")
-    return rows.groupBy("term", *key_of(docs), "dl").agg(F.count("*").alias("tf"))
+    # outer: from an inner one Spark infers a filter on the size of the list, and counts all terms once more for it
+    return counted(docs, text).select(*key_of(docs), "dl", F.inline_outer("terms")).where("term IS NOT NULL")
 
 
 def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
@@ -79,16 +84,17 @@ def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: i
     small = few(asked)
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     wanted = asked.select(F.col("term").alias("wanted")).distinct()
-    rows = term_rows(basis, text, seen.alias("seen"))
+    # a row with a null term stands for each document
+    ends = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
+    rows = counted(basis, text, seen.alias("seen")).select(*key, "seen", "dl", F.inline_outer(F.concat(ends, "terms")))
     if small:
         none = wanted.sparkSession.createDataFrame([(None,)], "wanted string")
         kept = rows.join(F.broadcast(wanted.unionByName(none)), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
     else:
         # joined on terms, the rows without one would all come to one task: they keep out of the join
         kept = rows.where("term IS NULL").unionByName(rows.join(wanted, F.col("term") == F.col("wanted"), "left_semi"))
-    index = materialize(kept.groupBy("term", *key, "seen", "dl").agg(F.count("*").alias("tf")), "bm25-postings")
-    # a row without a term stands for each document of that key
-    stats = index.where("term IS NULL").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
+    index = materialize(kept, "bm25-postings")
+    stats = index.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     hits = index.where("term IS NOT NULL")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     found = hits.where("seen").join(side(asked), "term").join(side(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics

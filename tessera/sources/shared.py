@@ -52,3 +52,11 @@ BROADCAST_ROWS = 200_000
 def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether a frame has at most so many rows; looks at one more of them."""
     return df.limit(most + 1).count() <= most
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """A scan over fewer tasks than there are cores (a small file is one task) dealt out to all of them; any other frame as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

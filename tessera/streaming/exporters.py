@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators import traces
-from tessera.sources.versioned import VersionedStore
+from tessera.sources.versioned import Transaction, VersionedStore
 
 
 class TraceExporter(Protocol):
@@ -39,8 +39,11 @@ def ring(store: VersionedStore, name: str, n: int = 2048) -> TraceExporter:
     """The newest n events of each run, as a version of a store."""
 
     def write(events: DataFrame, batch: int) -> None:
-        held = events if store.current() is None else store.read(name).unionByName(events).dropDuplicates(["run_id", "pos"])
-        store.commit({name: traces.newest(held, n)})
+        def change(t: Transaction) -> None:
+            held = t.read(name).unionByName(events).dropDuplicates(["run_id", "pos"]) if t.names(name) else events
+            t.write(name, traces.newest(held, n))
+
+        store.update(change)
 
     return write
 
