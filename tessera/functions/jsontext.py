@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tessera.functions.text import HOME_PATH, MASK, OPEN_NAMES, SECRET_NAMES, SECRET_PARTS, SECRET_VALUES
 
 _DECODER = json.JSONDecoder()
-_FENCED = re.compile(r"```(?:json)?\s*\n(.*?)```", re.S)
+_FENCED = re.compile(r"```(?:json)?(.*?)```", re.S | re.I)
 _OPENING = re.compile(r"[\[{]")
 
 
@@ -35,18 +35,24 @@ def over_texts(name: str, one: Callable[[str], Any], kind: T.DataType) -> Callab
     return run
 
 
+def _values(text: str) -> Iterator[Any]:
+    """What a text is as JSON, and then what can be read from each of its brackets."""
+    try:
+        yield json.loads(text)
+    except (ValueError, RecursionError):
+        for m in _OPENING.finditer(text):
+            try:
+                yield _DECODER.raw_decode(text, m.start())[0]
+            except (ValueError, RecursionError):
+                continue
+
+
 def value_in(text: str) -> str | None:
-    """The first JSON object or list in a text: of a fenced block, else from the first bracket where one can be read."""
-    for m in _FENCED.finditer(text):
-        try:
-            return _as_text(json.loads(m[1]))
-        except (ValueError, RecursionError):
-            continue
-    for m in _OPENING.finditer(text):
-        try:
-            return _as_text(_DECODER.raw_decode(text, m.start())[0])
-        except (ValueError, RecursionError):
-            continue
+    """The first JSON value: of the first fenced block, else of the whole text. Each counts as a value if it is one whole, a bare scalar too, else from its first bracket that can be read."""
+    fence = _FENCED.search(text)
+    for part in ([fence[1]] if fence else []) + [text]:
+        for found in _values(part.strip()):
+            return _as_text(found)
     return None
 
 
@@ -99,7 +105,7 @@ def schema_problems(arguments: Column, schema: dict) -> Column:
 
 
 def bounded(text: str, most_bytes: int = 65536, most_depth: int = 32, most_nodes: int = 4096) -> str:
-    """A JSON text without keys that begin with an underscore; {"truncated": true} where it is over a limit, or is no JSON."""
+    """A JSON text without keys that begin with an underscore; {"truncated": true} where it is over a limit, or is no JSON. The value itself is at depth 0."""
     left = most_nodes
 
     def copied(x: Any, depth: int) -> Any:
@@ -112,7 +118,7 @@ def bounded(text: str, most_bytes: int = 65536, most_depth: int = 32, most_nodes
         return [copied(v, depth + 1) for v in x] if isinstance(x, list) else x
 
     try:
-        out = _as_text(copied(json.loads(text), 1))
+        out = _as_text(copied(json.loads(text), 0))
     except (ValueError, RecursionError, OverflowError):
         return '{"truncated": true}'
     return out if len(out.encode()) <= most_bytes else '{"truncated": true}'

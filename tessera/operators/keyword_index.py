@@ -72,8 +72,8 @@ class Search:
 class KeywordIndex:
     """Items (id, five scope columns, content) of a store's tables under `name`."""
 
-    def __init__(self, store: VersionedStore, name: str, *, block: int = BLOCK):
-        self.store, self.name, self.block = store, name, block
+    def __init__(self, store: VersionedStore, name: str, *, block: int = BLOCK, terms: plain.Terms = tx.search_terms):
+        self.store, self.name, self.block, self.terms = store, name, block, terms
 
     # -- changes
 
@@ -81,7 +81,7 @@ class KeywordIndex:
         """Puts these items in place of those with their keys; a key that stands twice is an error. CommitConflict if another writer changes the index meanwhile."""
         if repeated_keys(rows).limit(1).count():
             raise ValueError("a key stands twice in the batch")
-        self._change(materialize(plain.counted(rows.select(*KEY, F.col(text)), text), "index-parsed"), None)
+        self._change(materialize(plain.counted(rows.select(*KEY, F.col(text)), text, terms=self.terms), "index-parsed"), None)
 
     def delete(self, ids: DataFrame, scope: Column) -> None:
         """Takes out the items of a scope range whose id is among `ids`; doing it again changes nothing."""
@@ -175,7 +175,7 @@ class KeywordIndex:
         dead = materialize(self._part("dead", version), "index-dead")
         dead = F.broadcast(dead) if few(dead) else dead
 
-        asked = queries.select("query_id", F.explode(tx.search_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        asked = queries.select("query_id", F.explode(self.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         asked = materialize(asked, "index-asked")
         wanted = asked.select("term").distinct()
         small = few(wanted)

@@ -6,6 +6,8 @@ Ranked lists have the columns query_id, list_no, rank (from 1) and what they car
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,11 +48,15 @@ def nearest(items: DataFrame, queries: DataFrame, *, top_k: int = TOP_K, where:
     return ranked(found, top_k, F.col("distance"), *map(F.col, key)).withColumn("score", vx.distance_score(F.col("distance")))
 
 
-def counted(docs: DataFrame, text: str = "content", *also: Column) -> DataFrame:
+#: What makes terms of a text; `segment.segmenter` gives one for scripts without spaces.
+Terms = Callable[[Column], Column]
+
+
+def counted(docs: DataFrame, text: str = "content", *also: Column, terms: Terms = tx.search_terms) -> DataFrame:
     """The key of each document, the `also` columns, dl (its number of terms) and terms, each with its tf: counted within the row, so nothing is shuffled."""
     rows = spread_out(docs.select(*key_of(docs), *also, F.col(text).alias("_text")))
     names = [c for c in rows.columns if c != "_text"]
-    rows = rows.select(*names, F.sort_array(tx.search_terms(F.col("_text"))).alias("_t"))
+    rows = rows.select(*names, F.sort_array(terms(F.col("_text"))).alias("_t"))
     # of sorted terms, those that differ from the one before, and the end; a term's tf is the distance to the next of them
     first = lambda i: (i == F.size("_t")) | (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
     rows = rows.select(*names, "_t", F.when(F.size("_t") > 0, F.filter(F.sequence(F.lit(0), F.size("_t")), first)).otherwise(F.array()).alias("_s"))
@@ -69,7 +75,7 @@ def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
     return docs.select(F.size(tx.search_terms(F.col(text))).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: int | None = TOP_K, where: Column | None = None, scoped_stats: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: int | None = TOP_K, where: Column | None = None, scoped_stats: bool = False, terms: Terms = tx.search_terms) -> DataFrame:
     """query_id, the document's key, score, rank: documents that hold any term of the query, best first, ties to the smaller key.
 
     A term that the query repeats counts as often. Statistics are those of the whole table, also where `where` narrows what is
@@ -79,14 +85,14 @@ def bm25(docs: DataFrame, queries: DataFrame, *, text: str = "content", top_k: i
     key = key_of(docs)
     basis = docs if where is None or not scoped_stats else docs.where(where)
     seen = F.lit(True) if where is None or scoped_stats else F.coalesce(where, F.lit(False))
-    asked = queries.select("query_id", F.explode(tx.search_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     asked = materialize(asked, "bm25-asked")
     small = few(asked)
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     wanted = asked.select(F.col("term").alias("wanted")).distinct()
     # a row with a null term stands for each document
     ends = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1).cast("long").alias("tf")))
-    rows = counted(basis, text, seen.alias("seen")).select(*key, "seen", "dl", F.inline_outer(F.concat(ends, "terms")))
+    rows = counted(basis, text, seen.alias("seen"), terms=terms).select(*key, "seen", "dl", F.inline_outer(F.concat(ends, "terms")))
     if small:
         none = wanted.sparkSession.createDataFrame([(None,)], "wanted string")
         kept = rows.join(F.broadcast(wanted.unionByName(none)), F.col("term").eqNullSafe(F.col("wanted")), "left_semi")

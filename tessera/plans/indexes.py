@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vx
-from tessera.operators import scope
+from tessera.operators import scope, segment
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
@@ -52,3 +52,25 @@ def keyword_index_after_delete(spark: SparkSession, d: str) -> DataFrame:
     index.delete(items.select("id"), scope.in_range({"sc_user": "fr"}))
     index.compact()
     return _hits(index.search(ad.text_queries(spark, d)))
+
+
+#: Words of the messages run together: texts without spaces, of which the vocabulary is to be found again.
+LETTERS = "\\p{L}+"
+
+
+@query("""WITH r AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS run FROM conversations), c AS (SELECT run, count(*) AS n FROM r GROUP BY run),
+p AS (SELECT substr(run, i, k) AS piece, n FROM (SELECT run, n, unnest(range(1, length(run) + 1)) AS i FROM c), (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= length(run))
+SELECT piece, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY piece HAVING sum(n) >= 2 OR length(piece) = 1""")
+def segment_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Substrings of up to four letters of all words of the messages: what a vocabulary starts from."""
+    return segment.substrings(segment.runs(ad.read(spark, d, "conversations"), "text", LETTERS), longest=4, least=2)
+
+
+def segmented_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The messages' texts without their spaces, cut by a vocabulary that is learned from them."""
+    texts = ad.read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "\\s+", "").alias("content"))
+    terms = segment.segmenter(segment.learned(texts, pattern=LETTERS), pattern=r"[^\W\d_]+")
+    return texts.select("conv_id", "turn", F.array_join(terms(F.col("content")), " ").alias("terms"))
+
+
+QUERIES["segmented_terms"] = segmented_terms

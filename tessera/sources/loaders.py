@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.markdown import markdown
+from tessera.sources.shared import materialize
 
 #: Bytes and characters of a file, bytes that a container may expand to, and how often its packed size.
 MOST_BYTES, MOST_CHARS, MOST_EXPANDED, MOST_RATIO = 10 * 1024 * 1024, 10_000_000, 100 * 1024 * 1024, 1000
@@ -151,12 +152,16 @@ def trace_lines(spark: SparkSession, path: str, *, strict: bool = False) -> tupl
 #: Lines and levels of a frontmatter.
 MOST_LINES, MOST_LEVELS = 4096, 32
 _FIELD = re.compile(r"(name|description):[ \t]*(.*)$")
+#: What comes before a line's value; a value that is an anchor or alias, or a list or map in brackets that holds one.
+_BEFORE = re.compile(r"\s*(?:- +)*(?:[^\s\"'\[{#][^:#]*:(?=\s|$)\s*)?(?:- +)*")
+_LINKED = re.compile(r"[&*][A-Za-z0-9_]|[\[{](?:.*[\s\[{,:])?[&*][A-Za-z0-9_]")
 
 
 def frontmatter(text: str) -> tuple[dict[str, str], str]:
     """name and description between the first line `---` and the next such line, and the text after it; {} and the whole text where there is none.
 
-    Fields stand at the left edge; a value goes on over indented lines. Too many lines or levels, and anchors or aliases, raise: none of them is needed here.
+    Fields stand at the left edge; a value goes on over indented lines. Too many lines or levels, and anchors or aliases, raise: none of them is needed here. A sign & or * amid a
+    value, or in a block of text behind | or >, is text.
     """
     lines = text.replace("\r\n", "\n").split("\n")
     if lines[0] != "---" or "---" not in lines[1:]:
@@ -167,7 +172,7 @@ def frontmatter(text: str) -> tuple[dict[str, str], str]:
         raise ValueError("frontmatter has too many lines")
     found: dict[str, list[str]] = {}
     field = ""
-    levels = [0]
+    levels, block = [0], None
     for line in head:
         if not line.strip() or line.lstrip().startswith("#"):
             continue
@@ -178,8 +183,11 @@ def frontmatter(text: str) -> tuple[dict[str, str], str]:
             levels.append(indent)
         if len(levels) > MOST_LEVELS:
             raise ValueError("frontmatter is nested too deep")
-        if re.search(r"(^|[\s:\-\[,])[&*][A-Za-z0-9_]", line):
-            raise ValueError("frontmatter has anchors or aliases")
+        value = line[_BEFORE.match(line).end() :]
+        if block is None or indent <= block:
+            block = indent if re.fullmatch(r"[|>][+-]?\d?\s*", value) else None
+            if _LINKED.match(value):
+                raise ValueError("frontmatter has anchors or aliases")
         m = _FIELD.match(line) if not indent else None
         if m:
             field = m[1]
@@ -193,25 +201,35 @@ def frontmatter(text: str) -> tuple[dict[str, str], str]:
 
 
 def skills(spark: SparkSession, path: str) -> DataFrame:
-    """name, description, path, body of SKILL.md files with a frontmatter that names them, by name; a name that stands twice raises when the plan runs."""
+    """name, description, path, body, reason of SKILL.md files with a frontmatter that names them, by name; a name that stands twice raises when the plan runs.
+
+    A file whose frontmatter cannot be read comes with the reason and no name; in any other row the reason is null.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "SKILL.md").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for p, content in zip(*(c.to_pylist() for c in batch.columns)):
-                fields, body = frontmatter(content.decode("utf-8-sig", "replace"))
+                try:
+                    fields, body = frontmatter(content.decode("utf-8-sig", "replace"))
+                except ValueError as e:
+                    rows.append((None, None, p, None, str(e)))
+                    continue
                 if fields.get("name"):
-                    rows.append((fields["name"], fields.get("description", ""), p, body))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 4)], names=["name", "description", "path", "body"])
+                    rows.append((fields["name"], fields.get("description", ""), p, body, None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 5)], names=["name", "description", "path", "body", "reason"])
 
-    found = raw.select("path", "content").mapInArrow(run, "name string, description string, path string, body string")
+    found = materialize(raw.select("path", "content").mapInArrow(run, "name string, description string, path string, body string, reason string"), "skills")
+    broken = found.where("name IS NULL")
+    found = found.where("name IS NOT NULL")
     n = found.groupBy("name").agg(F.count("*").alias("n"))
     checked = found.join(n, "name").withColumn("name", F.when(F.col("n") == 1, F.col("name")).otherwise(F.raise_error(F.concat(F.lit("skill name stands twice: "), F.col("name"))).cast("string")))
-    return checked.drop("n").orderBy("name")
+    return checked.drop("n").select(*found.columns).unionByName(broken).orderBy("name")
 
 
 def skill_catalog(found: DataFrame) -> str:
     """A line for each skill, by name: what a model is told before it asks for a body."""
+    found = found.where("name IS NOT NULL")
     one = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("description"))
     return found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", one.alias("t")))), lambda s: s["t"]), "\n").alias("c")).first().c

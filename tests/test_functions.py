@@ -82,3 +82,15 @@ def test_directive():
 
     assert directive('x {bad {"tool": 1} {"tool": "t", "b": {"tool": "inner"}}') == '{"b": {"tool": "inner"}, "tool": "t"}'
     assert directive("none") is None and directive(None) is None
+    assert directive('{"a": {"tool": "x"}}') is None
+    assert directive('{"a": {"tool": "x"}} then {"tool": "y"}') == '{"tool": "y"}'
+
+
+def test_first_json_value():
+    from tessera.functions.jsontext import bounded, value_in
+
+    assert [value_in(t) for t in ("42", ' "x" ', "none", "", "null")] == ["42", '"x"', None, None, "null"]
+    assert value_in('see ```JSON {"a": 1} and more``` or [2]') == '{"a": 1}'  # the fence is searched inside
+    assert value_in("```\nno json\n``` but [1, 2] {3}") == "[1, 2]"
+    assert value_in("```\nnone\n```\n```json\n[3]\n```") == "[3]"
+    assert bounded('[[1]]', most_depth=2) == "[[1]]" and bounded('[[[1]]]', most_depth=2) == '{"truncated": true}'

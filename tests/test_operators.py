@@ -174,6 +174,10 @@ def test_skills_and_traces(spark, tmp_path):
         (tmp_path / n).mkdir()
         (tmp_path / n / "SKILL.md").write_text(f"---\nname: {n}\ndescription: does {n}\n---\nbody of {n}")
     assert [(r.name, r.description, r.body) for r in loaders.skills(spark, str(tmp_path)).collect()] == [(n, f"does {n}", f"body of {n}") for n in "xy"]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "SKILL.md").write_text("---\nname: &n z\n---\nbody")
+    (broken,) = [r for r in loaders.skills(spark, str(tmp_path)).collect() if r.reason]
+    assert broken.name is None and broken.path.endswith("bad/SKILL.md") and "anchors" in broken.reason
     (tmp_path / "t.jsonl").write_text('{"type": "llm"}\n\nnot json\n')
     good, bad = loaders.trace_lines(spark, str(tmp_path / "t.jsonl"))
     assert [r.pos for r in good.collect()] == [1] and [r.pos for r in bad.collect()] == [3]
@@ -424,7 +428,8 @@ def test_frontmatter_limits():
     fields, body = loaders.frontmatter("---\nname: 'x'\nextra:\n  deep: 1\ndescription: |\n  does\n  things\n---\nbody\n---\nmore")
     assert fields == {"name": "x", "description": "does things"} and body == "body\n---\nmore"
     assert loaders.frontmatter("no\n---\n") == ({}, "no\n---\n")
-    for bad in ("a: &x 1", "a: *x", "\n".join(" " * i + "k:" for i in range(40)), "\n".join(["k: 1"] * 5000)):
+    assert loaders.frontmatter("---\nname: n\ndescription: passes *args to R &D, a: *b\nnotes: |\n  *bold* text\n  &more\n---\n")[0] == {"name": "n", "description": "passes *args to R &D, a: *b"}
+    for bad in ("a: &x 1", "a: *x", "- *x", "a: [1, *x]", "a:\n  - k: &y 2", "a: {b: &c 1}", "\n".join(" " * i + "k:" for i in range(40)), "\n".join(["k: 1"] * 5000)):
         with pytest.raises(ValueError):
             loaders.frontmatter(f"---\n{bad}\n---\n")
 
