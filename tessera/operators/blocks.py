@@ -83,6 +83,23 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return 1 - np.divide((a * b).sum(1), norm, out=np.zeros_like(norm), where=norm > 0)
 
 
+def nearest_in(keys: pa.Array, x: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of `q`, rows of `x` and distances: each query's k nearest of a block, by distance and then key."""
+    if metric == "l2":
+        rough = (x**2).sum(1)[None, :] - 2 * q @ x.T
+    else:
+        norm = np.linalg.norm(x, axis=1)
+        rough = -(q @ x.T) / np.where(norm > 0, norm, 1)[None, :]
+    most = min(k, rough.shape[1])
+    edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
+    at, col = np.nonzero(rough <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None])
+    exact = np.concatenate([distances(q[at[s : s + 65536]], x[col[s : s + 65536]], metric) for s in range(0, len(at), 65536)])
+    ranked = np.lexsort((order_of(keys)[col], exact, at))
+    at, col, exact = at[ranked], col[ranked], exact[ranked]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], col[best], exact[best]
+
+
 def block_nearest(items: DataFrame, queries: DataFrame, key: Column, k: int, metric: str) -> DataFrame:
     """query_id, key, distance: of every pair of an item block and a query block, each query's k nearest by distance and then key.
 
@@ -98,19 +115,8 @@ def block_nearest(items: DataFrame, queries: DataFrame, key: Column, k: int, met
                 q_keys, q = block(batch, row, "q")
                 if x.shape[1] != q.shape[1]:
                     continue
-                if metric == "l2":
-                    rough = (x**2).sum(1)[None, :] - 2 * q @ x.T
-                else:
-                    norm = np.linalg.norm(x, axis=1)
-                    rough = -(q @ x.T) / np.where(norm > 0, norm, 1)[None, :]
-                most = min(k, rough.shape[1])
-                edge = np.partition(rough, most - 1, axis=1)[:, most - 1]
-                at, col = np.nonzero(rough <= edge[:, None] + 1e-9 * (1 + np.abs(edge))[:, None])
-                exact = np.concatenate([distances(q[at[s : s + 65536]], x[col[s : s + 65536]], metric) for s in range(0, len(at), 65536)])
-                ranked = np.lexsort((order_of(i_keys)[col], exact, at))
-                at, col, exact = at[ranked], col[ranked], exact[ranked]
-                best = np.arange(len(at)) - np.searchsorted(at, at) < k
-                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(at[best])), i_keys.take(pa.array(col[best])), pa.array(exact[best])], names=["query_id", "key", "distance"])
+                at, col, exact = nearest_in(i_keys, x, q, k, metric)
+                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(at)), i_keys.take(pa.array(col)), pa.array(exact)], names=["query_id", "key", "distance"])
 
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", left.schema["i_keys"].dataType.elementType), T.StructField("distance", T.DoubleType())])
     return every_pair(left, right, "q_values", run, schema)

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as vx
-from tessera.operators import scope, segment
+from tessera.operators import pruned, scope, segment
 from tessera.operators.keyword_index import KeywordIndex
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
-from tessera.plans.retrieval import BM25
+from tessera.plans.retrieval import BM25, KNN
 from tessera.sources.shared import shared_dir
 from tessera.sources.versioned import VersionedStore
 
@@ -54,6 +54,13 @@ def keyword_index_after_delete(spark: SparkSession, d: str) -> DataFrame:
     return _hits(index.search(ad.text_queries(spark, d)))
 
 
+@query(KNN.format(where=""))
+def knn_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest vectors by an index of pivots and rings."""
+    found = pruned.nearest(pruned.built(ad.vectors(spark, d)), ad.vector_queries(spark, d)).hits
+    return found.select("query_id", "id", "rank", *(vx.rounded(F.col(c)).alias(c) for c in ("distance", "score")))
+
+
 #: Words of the messages run together: texts without spaces, of which the vocabulary is to be found again.
 LETTERS = "\\p{L}+"
 
