@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, classifier, mixing, neardup, pii
-from tessera.llm.common import materialize, read
+from tessera.llm.common import free_name, materialize, read
 
 #: Documents whose score is below this are rejected.
 LEAST_QUALITY = 0.5
@@ -25,26 +25,37 @@ KEY = ("doc_id", "_text")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.xxhash64("text"))
+    """doc_id, text and the text's hash."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("_text"))
+
+
+def matched(docs: DataFrame, keys: DataFrame, prefix: str, how: str) -> DataFrame:
+    """`docs` joined to `keys`, whose columns are KEY behind a prefix, with no name of its own that a column of `docs` could have."""
+    own = free_name(docs.columns, "_text")
+    names = {k: free_name([*docs.columns, own], f"_{prefix}_{k}") for k in range(len(KEY))}
+    keys = keys.select(*(F.col(f"_{prefix}_{k}").alias(n) for k, n in names.items()))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = (F.col(names[1]) == F.col(own)) & F.col(names[0]).eqNullSafe(F.col("doc_id"))
+    return docs.withColumn(own, F.xxhash64("text")).join(F.broadcast(keys) if few else keys, same, how).select(*docs.columns)
 
 
 def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """The rows of `docs` whose key is not among `keys`: another text under the same doc_id stays."""
     gone = materialize(keys.select(*(F.col(c).alias(f"_gone_{k}") for k, c in enumerate(KEY))).distinct(), name)
-    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    same = F.col("_gone_1") == F.col("_text")
-    rows = keyed(docs).join(F.broadcast(gone) if few else gone, same & F.col("_gone_0").eqNullSafe(F.col("doc_id")), "left_anti")
-    return rows.select(*docs.columns)
+    return matched(docs, gone, "gone", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that the classifier does not reject."""
+    """The rows that the classifier does not reject: a null or empty text has a score like any other; an empty table stays empty. All columns stay, whatever their names."""
     scores = classifier.classify(keyed(docs), read(spark, sf_dir, "labels"), carried=("_text",))
     return without(docs, scores.where(F.col("score") < LEAST_QUALITY), "pipeline-rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id, rows without one last; of repeated rows one."""
+    """One row of each group of near-duplicates: the one with the smallest id, rows without one last; of repeated rows one.
+
+    A null or empty text, or one without words, is no one's copy and stays as often as it is there. All columns stay, whatever their names; an empty table stays empty.
+    """
     rows = keyed(docs).select(F.struct(F.col("doc_id").isNull().alias("none"), *KEY).alias("id"), "text")
     found = materialize(neardup.near_duplicates(rows, id_col="id").select("id.*", "kept", "n_shingles"), "pipeline-copies")
     left = without(docs, found.where("NOT kept"), "pipeline-gone")
@@ -53,24 +64,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = materialize(again, "pipeline-again")
     if not again.limit(1).count():
         return left
-    repeated = keyed(docs).join(again.select(*(F.col(c).alias(f"_again_{k}") for k, c in enumerate(KEY))), (F.col("_again_1") == F.col("_text")) & F.col("_again_0").eqNullSafe(F.col("doc_id")))
-    single = repeated.groupBy(*KEY).agg(*(F.first(c).alias(f"_first_{c}") for c in docs.columns))
-    return without(left, again, "pipeline-single").unionByName(single.select(*(F.col(f"_first_{c}").alias(c) for c in docs.columns)))
+    repeated = matched(docs, again.select(*(F.col(c).alias(f"_again_{k}") for k, c in enumerate(KEY))), "again", "left_semi")
+    single = repeated.groupBy(F.col("doc_id").alias("_0"), F.xxhash64("text").alias("_1")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return without(left, again, "pipeline-single").unionByName(single.select("_row.*"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with surrogates in place of personal data; n_chars follows the text."""
+    """The documents with surrogates in place of personal data; n_chars follows the text. A null or empty text stays as it is, equal rows get equal texts, an empty table stays empty."""
     done = pii.pseudonymize(docs, key=pii.DEMO_KEY)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture takes them."""
+    """The documents as often as the mixture takes them; null, empty and repeated texts are documents like others, null is a source too. An empty table stays empty."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's tokens and of the text that they decode to."""
+    """Digests of each document's tokens and of the text that they decode to: a row for each row, repeated ones too; null counts as empty. An empty table stays empty."""
     return bpe.round_trip(docs, vocab=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
