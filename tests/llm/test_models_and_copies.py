@@ -182,3 +182,16 @@ def test_pipeline_takes_out_rows_not_ids(spark, sf):
     left = sorted((r.doc_id is None, r.doc_id or 0, r.text[:5]) for r in cp.near_dedup(spark, docs, sf).collect())
     assert [x[:2] for x in left] == [(False, 1), (False, 2), (False, 3), (False, 7), (False, 7), (True, 0)]
     assert (False, 2, b[:5]) in left
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    import corpus_pipeline as cp
+
+    docs = frame(spark, [(k, f"text number {k} " * 20) for k in range(8)] + [(3, "text number 3 " * 20)])
+    for name in ("_text", "_text_", "_gone_0", "_again_1", "_row", "kept", "score"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in out.collect()} <= {("mine",) * 7}, name
+        assert out.count() > 0
