@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators import chunking
+from tessera.operators import chunking, packing
 from tessera.plans import adapters as ad
 from tessera.plans.registry import Registry
 from tessera.sources.markdown import to_markdown
@@ -36,10 +36,26 @@ def markdown_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunked(_as_documents(pages, "md")).drop("metadata")
 
 
-@query()
+def _weight(x: str) -> str:
+    """Four for a wide character, one for any other, in SQL."""
+    return f"(length({x}) + 3 * length(regexp_replace({x}, '[^\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\u8c48-\ufaff]', '', 'g')))"
+
+
+# a budget of 128 tokens is a weight of 512, an overlap of 16 one of 64; the documents have no wide characters, so sentences over the budget are cut at 512 characters
+@query(f"""SELECT doc_id, CAST(i - 1 AS INT) AS idx, '' AS heading_path, regexp_replace(array_to_string(pieces[r[i].a + 1 : r[i].b], chr(10)), '^\\s+|\\s+$', '', 'g') AS content FROM (
+  SELECT *, unnest(range(1, len(r) + 1)) AS i FROM (
+    SELECT doc_id, pieces, list_append(f.done, {{'a': f.n - len(f.held) + 1, 'b': f.n}}) AS r FROM (
+      SELECT doc_id, pieces, list_reduce(list_transform(pieces, lambda p: CAST({_weight("p")} + 1 AS BIGINT)), lambda s, w: CASE WHEN len(s.held) > 1 AND s.total + w - s.held[1] - 1 > 512
+        THEN {{'total': s.total + w, 'n': s.n + 1, 'held': list_append(list_filter(s.held, lambda h: h = s.total OR (s.total - h - 1 <= 64 AND s.total + w - h - 1 <= 512)), s.total + w), 'done': list_append(s.done, {{'a': s.n - len(s.held) + 1, 'b': s.n}})}}
+        ELSE {{'total': s.total + w, 'n': s.n + 1, 'held': list_append(s.held, s.total + w), 'done': s.done}} END,
+        {{'total': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'held': [CAST(0 AS BIGINT)], 'done': CAST([] AS STRUCT(a BIGINT, b BIGINT)[])}}) AS f FROM (
+          SELECT CAST(doc_id AS VARCHAR) AS doc_id, flatten(list_transform(units, lambda u: CASE WHEN {_weight("u")} <= 512 THEN [u] ELSE flatten(list_transform(regexp_extract_all(u, '(?s)[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+'),
+            lambda t: CASE WHEN {_weight("t")} <= 512 THEN [t] ELSE regexp_extract_all(t, '(?s).{{1,512}}') END)) END)) AS pieces
+          FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '') AS units FROM documents) WHERE len(units) > 0))))""")
 def pack_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of a document is a unit; lines are packed to 128 tokens with 16 repeated."""
     docs = ad.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", "\n", "\n\n").alias("content"))
-    return chunking.chunked(_as_documents(docs, "txt"), most=128, overlap=16).drop("metadata")
+    return packing.text_chunks(_as_documents(docs, "txt"), most=128, overlap=16)
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS doc_id, CAST(i - 1 AS INT) AS idx, ([props, event_type, CAST(user_id AS VARCHAR)])[i] AS content FROM events, (SELECT unnest([1, 2, 3]) AS i) WHERE trim(([props, event_type, CAST(user_id AS VARCHAR)])[i]) <> ''")
@@ -47,14 +63,14 @@ def record_split(spark: SparkSession, d: str) -> DataFrame:
     """A chunk for each record of a JSON document: each event is one, of three records."""
     records = F.array("props", "event_type", F.col("user_id").cast("string"))
     docs = ad.read(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.array_join(records, "\n\n").alias("content"), F.lit("").alias("title"), F.lit("jsonl").alias("format"), records.alias("records"))
-    return chunking.chunked(docs).select("doc_id", "idx", "content")
+    return packing.text_chunks(docs).select("doc_id", "idx", "content")
 
 
 @query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, content FROM (SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || chr(10)), '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS content FROM documents) WHERE content <> ''""")
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The paragraphs of each document, here its sentences, in one chunk without a bound."""
     docs = ad.read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit(". "), F.lit("\n\n")).alias("content"))
-    return chunking.chunked(_as_documents(docs, "txt"), most=1 << 40, overlap=0).select("doc_id", "content")
+    return packing.text_chunks(_as_documents(docs, "txt"), most=1 << 40, overlap=0).select("doc_id", "content")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
