@@ -77,6 +77,32 @@ def docx_text(content: bytes) -> str:
 Reader = Callable[[str], str]
 
 
+def parsed(kind: str, content: bytes, most_chars: int = MOST_CHARS, readers: dict[str, Reader] | None = None) -> tuple[str | None, str | None, list[str] | None, str | None]:
+    """Text, format and records of a file of an extension, and why it has none: a broken file is named, the others go on."""
+    readers = readers or {}
+    records, form = None, "txt"
+    try:
+        if kind in CONTAINERS and kind not in readers:
+            text, form = docx_text(content), "md"
+        else:
+            text = content.decode("utf-8-sig", "replace")
+            if len(text) > most_chars:
+                return None, None, None, "text too long"
+            if kind in readers:
+                text = readers[kind](text)
+            elif kind in READERS:
+                records, form = READERS[kind](text), kind
+                text = "\n\n".join(records)
+            elif kind in ("html", "htm"):
+                text, form = markdown(text), "md"
+            elif kind in ("md", "markdown"):
+                form = "md"
+    except Exception as e:
+        reason = str(e)[:200] or type(e).__name__
+        return None, None, None, reason if reason == "expands too far" else f"broken: {reason}"
+    return (None, None, None, "text too long") if len(text) > most_chars else (text, form, records, None)
+
+
 def load(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_chars: int = MOST_CHARS, readers: dict[str, Reader] | None = None) -> tuple[DataFrame, DataFrame]:
     """Documents, and rejected files (path, reason): too large, of a kind that is not read, too long as text, or broken.
 
@@ -89,33 +115,10 @@ def load(spark: SparkSession, path: str, *, most_bytes: int = MOST_BYTES, most_c
     rejected = listed.select("path", unread.alias("reason")).where("reason IS NOT NULL")
     rows = listed.where(F.col("length") <= most_bytes).select("path", title.alias("title"), ext.alias("ext"), "content").where(~F.col("ext").isin(*(set(UNREAD) - set(readers or {}))))
 
-    def one(kind: str, content: bytes) -> tuple[str, str, list[str] | None]:
-        """Text, format and records of a file."""
-        if kind in CONTAINERS and kind not in (readers or {}):
-            return docx_text(content), "md", None
-        text = content.decode("utf-8-sig", "replace")
-        if len(text) > most_chars:
-            raise ValueError("text too long")
-        if kind in (readers or {}):
-            return readers[kind](text), "txt", None
-        if kind in READERS:
-            records = READERS[kind](text)
-            return "\n\n".join(records), kind, records
-        if kind in ("html", "htm"):
-            return markdown(text), "md", None
-        return text, "md" if kind in ("md", "markdown") else "txt", None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, t, kind, content in zip(*(c.to_pylist() for c in batch.columns)):
-                try:
-                    text, form, records, reason = *one(kind, content), None
-                    if len(text) > most_chars:
-                        raise ValueError("text too long")
-                except Exception as e:  # a broken file is named, the others go on
-                    text, form, records, reason = None, None, None, str(e)[:200] or type(e).__name__
-                    if reason not in ("text too long", "expands too far"):
-                        reason = f"broken: {reason}"
+                text, form, records, reason = parsed(kind, content, most_chars, readers)
                 yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([t]), pa.array([text], pa.string()), pa.array([form], pa.string()), pa.array([records], pa.list_(pa.string())), pa.array([reason], pa.string())], names=["path", "title", "text", "format", "records", "reason"])
 
     read = rows.mapInArrow(run, "path string, title string, text string, format string, records array<string>, reason string")
