@@ -4,7 +4,7 @@ A string drawn at random compresses badly under a BPE vocabulary: it yields few
 Candidates that are already known to be harmless (digests in their usual lengths, UUIDs) are left out before the ratio is taken. So are identifiers: many
 short parts joined by separators, as paths and version numbers are, compress badly as a whole although each part is a word or a number. A candidate
 with separators is therefore tested by its parts, each with the neighbours that compress as badly; as a whole only where its parts are
-all of one length, as in a key written in groups.
+all of one length, as in a key written in groups. The shorter a string, the lower the ratio must be; letters of one case alone must be longer and lower.
 """
 
 from __future__ import annotations
@@ -36,9 +36,14 @@ DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
 LOWER, UPPER = re.compile(r"[a-z]"), re.compile(r"[A-Z]")
 PART = re.compile(r"[A-Za-z0-9+]+")
+ADDRESS = re.compile(r"0x[0-9A-Fa-f]+")
 UUID_WITHIN = re.compile(rf"(?<![0-9A-Za-z]){UUID.pattern}(?![0-9A-Za-z])")
 #: Characters of a string to test, of the part that a run of parts must hold, and of the parts of a key in groups; up to TINY a part says nothing.
-LEAST, CORE, GROUP, TINY = 20, 8, 4, 2
+LEAST, CORE, GROUP, TINY = 13, 8, 4, 2
+#: Characters from which the full ratio holds, and by how much it falls with each character fewer: short words have few characters a token by chance.
+FULL, SLOPE = 20, 0.04
+#: Share of the ratio for letters of one case alone, which ordinary words are made of.
+ONE_CASE = 0.95
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -75,6 +80,20 @@ def known(s: str) -> bool:
     return bool(UUID.fullmatch(s) or len(s) in DIGEST_LENGTHS and HEX_ONLY.fullmatch(s))
 
 
+def wasteful(s: str, encoding: tiktoken.Encoding, chars_per_token: float) -> bool:
+    """Whether a string has fewer characters a token than the limit for its length and letters.
+
+    Strings under FULL characters must have letters and digits, or letters of both cases, letters for half of them, and be no abbreviated digest or address. Longer
+    ones may be of letters of one case, which are tested as small letters: words in capitals compress badly.
+    """
+    short, one = len(s) < FULL, not mixed(s)
+    letters = len(LETTER.findall(s))
+    if not letters or short and (one or 2 * letters < len(s) or HEX_ONLY.fullmatch(s) or ADDRESS.fullmatch(s)):
+        return False
+    limit = (chars_per_token - SLOPE * max(0, FULL - len(s))) * (ONE_CASE if one else 1)
+    return len(s) < limit * len(encoding.encode_ordinary(s.lower() if one else s))
+
+
 def grouped(s: str) -> bool:
     """Whether a string is of three or more parts of one length, of at least GROUP characters."""
     parts = [len(m[0]) for m in PART.finditer(s)]
@@ -96,26 +115,27 @@ def random_parts(s: str, encoding: tiktoken.Encoding, chars_per_token: float, le
     for run in runs:
         while run and run[-1][1] - run[-1][0] <= TINY:
             run.pop()
-        if not run or not any(b - a >= CORE and mixed(s[a:b]) for a, b in run):
+        if not run:
             continue
         start, end = run[0][0], run[-1][1]
         found = s[start:end]
-        if len(found) >= least and not known(found) and len(found) < chars_per_token * len(encoding.encode_ordinary(found)):
+        core = any(b - a >= CORE and mixed(s[a:b]) for a, b in run)
+        if core and len(found) >= least and not known(found) and wasteful(found, encoding, chars_per_token):
             out.append((start, end))
             continue
         # the run as a whole is none: each part by itself
-        out += [(a, b) for a, b in run if b - a >= least and mixed(s[a:b])]
+        out += [(a, b) for a, b in run if b - a >= least and wasteful(s[a:b], encoding, chars_per_token)]
     return out
 
 
 def random_spans(text: str, encoding: tiktoken.Encoding, chars_per_token: float, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """Strings of `least` characters or more, with letters and digits or letters of both cases, that the vocabulary encodes with few characters a token."""
+    """Strings of `least` characters or more that the vocabulary encodes with few characters a token, as `wasteful` tells."""
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if len(s) < least or not mixed(s) or known(s):
+        if len(s) < least or not mixed(s) and len(s) < FULL or known(s):
             continue
-        if (PART.fullmatch(s) or grouped(s)) and len(s) < chars_per_token * len(encoding.encode_ordinary(s)):
+        if (PART.fullmatch(s) or grouped(s)) and wasteful(s, encoding, chars_per_token):
             out.append((m.start(), 3, m.end()))
         else:
             out += [(m.start() + a, 3, m.start() + b) for a, b in random_parts(s, encoding, chars_per_token, least)]
@@ -125,8 +145,8 @@ def random_spans(text: str, encoding: tiktoken.Encoding, chars_per_token: float,
 def find_secrets(docs: DataFrame, *, vocab: str, chars_per_token: float = 2.0, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and `secrets`, the spans of every text, by start and then kind.
 
-    The token test takes strings of `least` characters or more (at least 8): shorter random strings can hardly be told from short names and numbers. The patterns
-    have no such bound.
+    The token test takes strings of `least` characters or more (at least 8): shorter random strings can hardly be told from short names and numbers. The
+    ratio `chars_per_token` holds from FULL characters on and falls below them. The patterns have no such bound.
 
     A null text counts as empty and has no spans; a null id stays null; repeated rows each give a row.
     Other columns are not read. Texts are scanned whole, one at a time.

@@ -296,6 +296,18 @@ def test_random_strings_beside_words_are_found():
         assert not secrets.random_parts(text, encoding, 2.0, secrets.LEAST)
 
 
+def test_short_random_strings_are_found_and_names_are_not():
+    rng, encoding = random.Random(5), secrets.vocabulary(VOCAB)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters, lengths, share in ((lower + upper + digits, range(12, 20), 0.95), (lower + upper, range(12, 20), 0.95), (lower + digits, range(14, 20), 0.9), (lower, (24, 32, 40), 0.9), (upper, (24, 32, 40), 0.9)):
+        for length in lengths:
+            keys = ["".join(rng.choices(letters, k=length)) for _ in range(200)]
+            found = sum((8, 3, 8 + length) in secrets.random_spans(f"the key {k} and more", encoding, 2.0, 12) for k in keys)
+            assert found >= share * 200, (letters, length, found)
+    for text in ("getHttpResponseCode2", "iPhone15ProMax", "20240115T103000Z", "DE89370400440532013000", "0x7ffee4b2c9d0", "1a6c4f7bcf8c07", "Donaudampfschifffahrtsgesellschaft", "LONDONHEATHROWAIRPORT", "elasticsearch-7.17.0-amd64", "lib/python3.11/site-packages", "AbstractSingletonProxyFactoryBean"):
+        assert not secrets.random_spans(f"see {text} here", encoding, 2.0, 12), text
+
+
 @pytest.mark.parametrize("entity, kind", [("Mr. J. Smith", "name"), ("Mrs. O'Brien", "name"), ("Dr. Anna K. Weber", "name"), ("Mr. J.R.R. McTolk", "name"), ("_john@example.com", "email"), ("-bob@example.org", "email"), ("_j.smith@example.com", "email"), ("NO93 8601 1117 947", "iban"), ("NO9386011117947", "iban"), ("2001:db8::8a2e:370:7334", "ip"), ("fe80:0:0:0:1:2:3:4", "ip"), ("::1", "ip")])
 def test_pii_finds_whole_entities(entity, kind):
     text = f"see {entity}, at 12:30:45"
