@@ -123,8 +123,11 @@ def spread_sample(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
     return materialize(drawn if total <= rows else drawn.sample(fraction=rows / total, seed=11), "rules-sample")
 
 
-def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
-    """The rules in order of rejections per second on `sample`, a small table of texts, each after what the ones before it leave and have measured."""
+def ordered(rules: list[Rule], sample: DataFrame, wanted: tuple[str, ...] = ()) -> list[Rule]:
+    """The rules in order of rejections per second on `sample`, a small table of texts, each after what the ones before it leave and have measured.
+
+    The measures `wanted` are taken of every text in any case and cost a rule nothing.
+    """
     text = F.col("text")
 
     def seconds(work: DataFrame) -> float:
@@ -133,12 +136,12 @@ def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
         return time.perf_counter() - began
 
     scan = seconds(sample.agg(F.sum(F.char_length(text)).alias("s")))
-    cost = {m: max(1e-4, seconds(with_measure(sample, m, text, F.lit(True)).agg(F.sum(m).alias("s"))) - scan) for m in sorted({m for r in rules for m in r.needs})}
+    cost = {m: max(1e-4, seconds(with_measure(sample, m, text, F.lit(True)).agg(F.sum(m).alias("s"))) - scan) for m in sorted({m for r in rules for m in r.needs} - {*wanted})}
     known = sample
-    for m in cost:
+    for m in sorted({*cost, *wanted}):
         known = with_measure(known, m, text, F.lit(True))
     verdicts = [set(r.v) for r in known.select(F.array(*(F.when(F.coalesce(r.rejects, F.lit(False)), F.lit(k)) for k, r in enumerate(rules))).alias("v")).collect()]
-    left, taken, out = list(range(len(rules))), set(), []
+    left, taken, out = list(range(len(rules))), {*wanted}, []
     while left:
         # a comparison alone costs next to nothing, but not nothing
         worth = {k: sum(k in v for v in verdicts) / (1e-4 + sum(cost[m] for m in rules[k].needs if m not in taken)) for k in left}
@@ -150,17 +153,19 @@ def ordered(rules: list[Rule], sample: DataFrame) -> list[Rule]:
     return out
 
 
-def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: int = 1000, text_col: str = "text") -> DataFrame:
+def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: int = 1000, text_col: str = "text", wanted: tuple[str, ...] = ()) -> DataFrame:
     """`docs` with the measures of the query, `failed_rule`, the first rule in the cascade that rejects (null if kept), and `kept`.
 
-    A measure is null where no rule up to the rejecting one needs it. Only the order comes from the sample of about `sample_rows` rows; every row is
+    The measures `wanted` are taken of every text, once, before the rules; any other is null where no rule up to the rejecting one needs it. Only the order comes from the sample of about `sample_rows` rows; every row is
     judged by every rule up to the first that rejects it. A null or empty text has zero counts and fails as too short by the default rules. Columns named
     like a measure, failed_rule or kept are replaced.
     """
     rules = default_rules() if rules is None else rules
     names = {*MEASURED, REPEATS, "failed_rule", "kept"}
     out = docs.select(*(c for c in docs.columns if c not in names)).withColumn("failed_rule", F.lit(None).cast("string"))
-    for rule in ordered(rules, spread_sample(docs, text_col, sample_rows)) if len(rules) > 1 else rules:
+    for m in wanted:
+        out = with_measure(out, m, text_or_empty(text_col), F.lit(True))
+    for rule in ordered(rules, spread_sample(docs, text_col, sample_rows), wanted) if len(rules) > 1 else rules:
         for m in rule.needs:
             if m not in out.columns:
                 out = with_measure(out, m, text_or_empty(text_col), F.col("failed_rule").isNull())
@@ -171,11 +176,8 @@ def cascade(docs: DataFrame, *, rules: list[Rule] | None = None, sample_rows: in
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdicts, and the contract's counts of every text: those that the cascade has not taken are taken after it."""
-    out = cascade(read(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text")))
-    for m in MEASURES:
-        more = with_measure(out.withColumnRenamed(m, "_taken"), m, F.col("text"), F.col("_taken").isNull())
-        out = more.withColumn(m, F.coalesce("_taken", m)).drop("_taken")
+    """The verdicts and the contract's counts of every text: as they are taken in any case, the cascade orders and cuts short what it takes beside them."""
+    out = cascade(read(spark, sf_dir, "documents").select("doc_id", "text"), wanted=MEASURES)
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.select("doc_id", *MEASURES, base_failed.alias("base_failed"), (F.col("kept") & ~base_failed).alias("kept"))
 
