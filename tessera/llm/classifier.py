@@ -120,8 +120,8 @@ class Model:
         return np.interp(self.raw(x), self.cuts, self.levels)
 
 
-def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], np.ndarray], levels: int = 2) -> np.ndarray:
-    """The sum of the arrays that `run` makes of each partition: one row of bytes for each, added up in ever fewer tasks, the last on the driver."""
+def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], np.ndarray]) -> np.ndarray:
+    """The sum of the arrays that `run` makes of each partition: one row of bytes for each, added up in ever fewer tasks, the last FAN_IN rows or fewer on the driver."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"v": [run(frames).astype(np.float64).tobytes()]})
@@ -131,7 +131,9 @@ def summed(rows: DataFrame, run: Callable[[Iterator[pd.DataFrame]], np.ndarray],
         yield pd.DataFrame({"v": [] if isinstance(total, float) else [total.tobytes()]})
 
     parts = rows.mapInPandas(first, "v binary")
-    for width in (FAN_IN**k for k in range(levels, 0, -1)):
+    width = rows.rdd.getNumPartitions()
+    while width > FAN_IN:
+        width = -(-width // FAN_IN)
         parts = parts.repartition(width).mapInPandas(add, "v binary")
     found = [np.frombuffer(r.v) for r in parts.collect()]  # FAN_IN rows of fixed size
     return np.sum(found, axis=0) if found else np.zeros(0)
@@ -238,7 +240,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """
     x = materialize(with_statistics(docs, id_col, text_col, carried), "quality-statistics")
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    m = fit(x.where(~held_out(F.col("id"))).join(y, "id").select("x", "y"), **model)
+    # three passes go over the training rows
+    training = materialize(x.where(~held_out(F.col("id"))).join(y, "id").select("x", "y"), "quality-training")
+    m = fit(training, **model)
     out = F.coalesce(held_out(F.col("id")), F.lit(False))
     return scored(x, m).select(F.col("id").alias(id_col), *carried, out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
