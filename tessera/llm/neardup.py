@@ -170,7 +170,8 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def listed(classes: DataFrame, p: Near, least: int) -> DataFrame:
     """node, n, weight and the sketch values under which the set is listed, the rarest ones that suffice."""
     values = classes.select("node", "n", F.explode("hashes").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # as a table of its own, so that Spark can split the rows of a value that very many sets share over several tasks of the join
+    common = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "neardup-values")
     held = F.least("n", F.lit(p.k))
     # sets so small that a partner's sketch is its whole set must share their percentage of it
     needed = F.when(F.col("n") <= p.k * p.percent // 100, F.ceil(F.col("n") * p.percent / 100)).otherwise(F.lit(least))
@@ -182,6 +183,7 @@ def listed(classes: DataFrame, p: Near, least: int) -> DataFrame:
 def across(lists: DataFrame, classes: DataFrame, docs: DataFrame, p: Near, least: int) -> DataFrame:
     """Links between different components within the lists (value, node, n, label, earlier)."""
     mixed_lists = lists.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("value", "rows")
+    mixed_lists = materialize(mixed_lists, "neardup-mixed")
     members = materialize(lists.join(mixed_lists, "value"), "neardup-lists")
     short = members.where(F.col("rows") <= p.list_rows).select("value", "node", "n", "label")
     a = short.select("value", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
@@ -294,6 +296,7 @@ def near_duplicates(docs: DataFrame, *, near: Near = Near(), id_col: str = "doc_
     sketches = classes.join(index.select("node"), "node", "left_semi").select("node", "hashes")
     # the member whose sketch is the most common stands for its list
     centre = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("c")).select("value", F.col("c.node").alias("b"), F.col("c.n").alias("b_n"))
+    centre = materialize(centre, "neardup-centres")
     stars = lists.join(centre, "value").where((F.col("node") != F.col("b")) & similar_sizes("n", "b_n", p))
     ordered = stars.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     links = verified(estimated(ordered, sketches, p, least), classes, texts, p)
