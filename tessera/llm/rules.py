@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, materialize, read, text_or_empty
+from tessera.llm.common import SPACE, free_name, materialize, read, text_or_empty
 
 #: Words of a window in which repetition is looked for.
 WINDOW = 8
@@ -81,21 +81,22 @@ def windows(words: Column, n: Column) -> Column:
 def with_repeats(docs: DataFrame, text: Column, active: Column, out: str) -> DataFrame:
     """`docs` with `out`, the words in windows that stand in a text more than once; null where not active."""
     names = [c for c in docs.columns if c != out]
-    rows = docs.select(*names, F.when(active, F.array_remove(F.split(text, SPACE), "")).alias("_rule_w"))
-    rows = rows.select(*names, F.col("_rule_w").isNotNull().alias("_rule_on"), windows(F.col("_rule_w"), F.size("_rule_w")).alias("_rule_h"))
-    repeated = F.size(F.array_distinct("_rule_h")) < F.size("_rule_h")
+    its_w, its_h, its_s, its_p, active_now = (free_name(names, f"_rule_{k}") for k in ("words", "hashes", "sorted", "places", "active"))
+    rows = docs.select(*names, F.when(active, F.array_remove(F.split(text, SPACE), "")).alias(its_w))
+    rows = rows.select(*names, F.col(its_w).isNotNull().alias(active_now), windows(F.col(its_w), F.size(its_w)).alias(its_h))
+    repeated = F.size(F.array_distinct(its_h)) < F.size(its_h)
     # only texts with a repeated window are sorted: equal hashes then stand side by side
-    ranked = F.array_sort(F.transform("_rule_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.select(*names, "_rule_on", F.when(repeated, ranked).alias("_rule_s"))
+    ranked = F.array_sort(F.transform(its_h, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.select(*names, active_now, F.when(repeated, ranked).alias(its_s))
     at = F.transform(
-        F.filter("_rule_s", lambda s, i: F.get("_rule_s", i - 1)["h"].eqNullSafe(s["h"]) | F.get("_rule_s", i + 1)["h"].eqNullSafe(s["h"])),
+        F.filter(its_s, lambda s, i: F.get(its_s, i - 1)["h"].eqNullSafe(s["h"]) | F.get(its_s, i + 1)["h"].eqNullSafe(s["h"])),
         lambda s: s["i"],
     )
-    rows = rows.select(*names, "_rule_on", F.sort_array(at).alias("_rule_p"))
+    rows = rows.select(*names, active_now, F.sort_array(at).alias(its_p))
     cover = F.aggregate(
-        F.transform("_rule_p", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_rule_p", i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, x: total + x
+        F.transform(its_p, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(its_p, i + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, x: total + x
     )
-    return rows.select(*names, F.when(F.col("_rule_on"), F.coalesce(cover, F.lit(0).cast("long"))).alias(out))
+    return rows.select(*names, F.when(F.col(active_now), F.coalesce(cover, F.lit(0).cast("long"))).alias(out))
 
 
 def with_measure(docs: DataFrame, name: str, text: Column, active: Column) -> DataFrame:

@@ -258,6 +258,16 @@ def test_rules_with_another_text_column_and_clashing_names(spark):
     assert [r.failed_rule for r in out.collect()] == ["too_short", "too_short"]
 
 
+def test_rules_keep_columns_of_any_name(spark):
+    odd = [f"_rule_{k}" for k in ("words", "hashes", "sorted", "places", "active", "w")] + ["_RULE_Words_"]
+    docs = spark.createDataFrame([(1, "a b c d e f g h " * 4, *odd), (2, None, *odd), (2, None, *odd)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in odd))
+    for wanted in ((), rules.MEASURES):
+        out = rules.cascade(docs, wanted=wanted).orderBy("doc_id").collect()
+        assert [[r[c] for c in odd] for r in out] == [odd] * 3 and [r.kept for r in out] == [False] * 3
+    assert [r.n_repeat_words for r in out] == [32, 0, 0]
+    assert [r.n_repeat_words for r in rules.measured(docs).orderBy("doc_id").collect()] == [32, 0, 0]
+
+
 @pytest.mark.parametrize("odd", ["<video-js id=v></video-js>", "<button-group>", "<svg class=i/>", "<math />", "<button>", "<video src=x>", "<map_view>", "<button><button>no</button>", "<svg><svg>no</svg>no</svg>", "<script>'<p>no'</script >"])
 def test_html_silent_elements_end_where_they_end(odd):
     assert html.main_text(f"<article><p>one</p>{odd}<p>rest of it</p></article>") == "one\n\nrest of it"
