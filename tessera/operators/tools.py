@@ -142,7 +142,8 @@ def joined_text(blocks: DataFrame, by: str, order: str, most: int) -> DataFrame:
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     placed = blocks.withColumn("_end", F.sum(size).over(w) - 1).withColumn("_start", F.col("_end") - size + 1)
     whole = F.max("_end")
-    kept = F.when(F.col("_start") < most, F.left(F.coalesce("text", F.lit("")), F.greatest(F.lit(most) - F.col("_start"), F.lit(0)).cast("int")))
+    # a block that starts at the bound itself still leaves the line break before it
+    kept = F.when(F.col("_start") <= most, F.left(F.coalesce("text", F.lit("")), F.greatest(F.lit(most) - F.col("_start"), F.lit(0)).cast("int")))
     joined = placed.groupBy(by).agg(F.array_sort(F.collect_list(F.when(kept.isNotNull(), F.struct(order, kept.alias("t"))))).alias("s"), (whole > most).alias("truncated"))
     return joined.select(by, F.array_join(F.transform("s", lambda s: s["t"]), "\n").alias("text"), "truncated")
 

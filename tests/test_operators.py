@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, context, memory, rag, scope, search, sessions, sync, tables, traces
+from tessera.operators import chunking, context, memory, rag, scope, search, sessions, sync, tables, tools, traces
 from tessera.sources import loaders
 from tessera.sources.markdown import markdown
 from tessera.sources.versioned import VersionedStore, require_schema
@@ -440,3 +440,11 @@ def test_bm25_of_many_terms_joins(spark, monkeypatch):
     plain = {tuple(r) for r in search.bm25(docs, q).collect()}
     monkeypatch.setattr(search, "few", lambda df: False)
     assert {tuple(r) for r in search.bm25(docs, q).collect()} == plain and len(plain) == 10
+
+
+def test_joined_text_keeps_the_break_at_the_bound(spark):
+    """A block that ends one character before the bound leaves room for the line break; one that ends at it does not."""
+    rows = [("a", 0, "x" * 5), ("a", 1, "y" * 3), ("a", 2, "z"), ("b", 0, "x" * 10), ("b", 1, "y"), ("c", 0, "x" * 9), ("d", 0, "x" * 8), ("d", 1, None), ("d", 2, "y")]
+    whole = {k: "\n".join(t or "" for b, _, t in rows if b == k) for k in "abcd"}
+    found = {r.by: (r.text, r.truncated) for r in tools.joined_text(spark.createDataFrame(rows, "by string, n int, text string"), "by", "n", 10).collect()}
+    assert found == {k: (t[:10], len(t) > 10) for k, t in whole.items()} and found["a"][0] == "xxxxx\nyyy\n"
