@@ -114,3 +114,23 @@ def test_held_reports_are_bounded(spark):
     for n in range(5):
         seen._keep(("r", n), ("q", "r", n, 1, 0, 0, None, "{}", None))
     assert seen.lost == 2 and sorted(r.batch for r in seen.table().collect()) == [2, 3, 4]
+
+
+def test_runs_are_kept_in_slices(spark, tmp_path):
+    """State rows and timers are those of the slices, however many runs are open; one slice gives out runs that are due at the watermark itself and keeps the others."""
+    own = timed.timed_session(spark)
+    schema = "run_id string, type string, tokens long, ts timestamp"
+    first = [(f"r{i}", ["llm", "tool", None][i % 3], None if i % 5 == 0 else i, at(i % 7)) for i in range(700)]
+    batches = [first + [("big", "llm", 2**53 + 1, at(6)), ("big", "x", None, at(5))], [("late", "llm", 1, at(10))]]  # the watermark comes to hour 7: runs up to hour 5 are due
+    for rows in batches:
+        own.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = timed.closed_runs(feeds.file_feed(own, f"{tmp_path}/in", own.createDataFrame([], schema).schema), idle_ms=2 * 3_600_000, late="3 hours", slices=3)
+        query = feeds.append_log(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 3
+    found = {r.run_id: (r.n_events, r.llm_calls, r.tool_calls, r.tokens_used) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {f"r{i}": (1, int(i % 3 == 0), int(i % 3 == 1), 0 if i % 5 == 0 else i) for i in range(700) if i % 7 <= 5}
+    own.createDataFrame([("end", "llm", 1, at(30))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = timed.closed_runs(feeds.file_feed(own, f"{tmp_path}/in", own.createDataFrame([], schema).schema), idle_ms=2 * 3_600_000, late="3 hours", slices=3)
+    feeds.append_log(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert {(r.n_events, r.tokens_used) for r in spark.read.parquet(f"{tmp_path}/out").where("run_id = 'big'").collect()} == {(2, 2**53 + 1)}
