@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import few, materialize, shared_dir
+from tessera.sources.shared import BATCH_BYTES, BATCH_ROWS, few, materialize, shared_dir, small_batches
 
-__all__ = ["SPACE", "few", "free_name", "materialize", "read", "shared_dir", "small_batches", "text_or_empty"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACE", "few", "free_name", "materialize", "read", "shared_dir", "small_batches", "text_or_empty"]
 
 #: White space as the contracts of this subpackage define it: space and \t \n \v \f \r.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -26,18 +26,3 @@ def free_name(taken: list[str], name: str) -> str:
     while name.lower() in {c.lower() for c in taken}:
         name += "_"
     return name
-
-
-#: Rows and bytes that go to Python at once: texts are long, and each batch stands in the JVM, in Arrow and in Python at the same time.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """`df`, with its session's Arrow batches bounded to BATCH_ROWS rows and BATCH_BYTES bytes (a longer row is a batch of its own)."""
-    conf = df.sparkSession.conf
-    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
-        conf.set(rows, BATCH_ROWS)
-    if not 0 < int(conf.get(size).rstrip("bB")) <= BATCH_BYTES:
-        conf.set(size, BATCH_BYTES)
-    return df

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,20 @@ def test_no_python_worker_and_no_shuffle_of_texts(spark):
 def test_sections_of_fences_and_levels():
     assert chunking.sections("a\n# A\n~~~\n# no\n```\n# no\n~~~~\n## B\nb\n# C\n### D\n## E\n") == [("", "a"), ("A", "~~~\n# no\n```\n# no\n~~~~"), ("A > B", "b"), ("C > D", ""), ("C > E", "")]
     assert chunking.sections("") == [] and chunking.sections("```\n# x") == [("", "```\n# x")] and chunking.sections("## x\n# y") == [("x", ""), ("y", "")]
+
+
+def test_small_documents_leave_together(monkeypatch):
+    """The chunks of a batch of documents go out in few batches of bounded size, not one for each document."""
+
+    class Frame:
+        columns = ["doc_id", "content", "title", "format", "records"]
+        selectExpr = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    for name in ("spread_out", "small_batches"):
+        monkeypatch.setattr(chunking, name, lambda df: df, raising=False)
+    docs = [{"doc_id": str(i), "content": " " if i % 5 == 0 else f"w{i}", "title": "", "format": "txt", "records": None, "source": None, "metadata": [("k", str(i))]} for i in range(2500)]
+    out = list(chunking.chunked(Frame())(iter([pa.RecordBatch.from_pylist(docs)])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["doc_id"], r["idx"], r["content"], dict(r["metadata"])) for r in rows] == [(str(i), 0, f"w{i}", {"k": str(i), "source": "", "format": "txt"}) for i in range(2500) if i % 5]
+    assert len(out) == 2 and out[0].num_rows == 1000
