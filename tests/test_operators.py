@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, context, memory, rag, scope, search, sessions, sync, tables, tools, traces
 from tessera.sources import loaders
-from tessera.sources.markdown import markdown
+from tessera.sources.markdown import markdown, to_markdown
 from tessera.sources.versioned import VersionedStore, require_schema
 from tessera.streaming import feeds
 
@@ -448,3 +448,23 @@ def test_joined_text_keeps_the_break_at_the_bound(spark):
     whole = {k: "\n".join(t or "" for b, _, t in rows if b == k) for k in "abcd"}
     found = {r.by: (r.text, r.truncated) for r in tools.joined_text(spark.createDataFrame(rows, "by string, n int, text string"), "by", "n", 10).collect()}
     assert found == {k: (t[:10], len(t) > 10) for k, t in whole.items()} and found["a"][0] == "xxxxx\nyyy\n"
+
+
+@pytest.mark.parametrize("make", ["markdown", "vectors"])
+def test_python_gets_bounded_batches(spark, make):
+    """Pages, and pairs of blocks of vectors, come to Python in batches of bounded bytes, however many rows a partition has."""
+    conf = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        for c in conf:
+            spark.conf.unset(c)
+        if make == "markdown":
+            out = to_markdown(spark.range(40).select("id", F.concat(F.lit("<p>"), F.col("id")).alias("html")), "html")
+        else:
+            v = spark.range(40).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("double")).alias("embedding"))
+            out = search.nearest(v, v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query")), top_k=1)
+        assert out.count() == 40
+        rows, size = (spark.conf.get(c) for c in conf)
+        assert 0 < int(rows) <= 1000 and 0 < int(size.rstrip("bB")) <= 4 << 20
+    finally:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
