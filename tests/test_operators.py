@@ -468,3 +468,18 @@ def test_python_gets_bounded_batches(spark, make):
     finally:
         for c, v in conf.items():
             spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("products", [1 << 20, 256])
+def test_bm25_within_rows_is_that_of_the_join(spark, monkeypatch, products):
+    """Scores added up within rows are those of postings joined to queries: filters, repeated terms, unknown terms, equal texts of many owners, blank and null texts; only the best rows of a task are shuffled."""
+    docs = spark.createDataFrame([(str(i), f"w{i % 7} w{i % 3} w{i % 3} common" + " x" * (i % 11)) for i in range(300)] + [("t" + str(i), "same text") for i in range(50)] + [("e", ""), ("n", None)], "id string, content string")
+    q = spark.createDataFrame([(1, "w1 w2 w1"), (2, "common"), (3, "nowhere"), (4, "same"), (5, ""), (None, "w0"), (7, "x text")], "query_id int, query string")
+    monkeypatch.setattr(search, "PRODUCTS", products)
+    for kw in ({}, {"where": F.col("id") > "2"}, {"where": F.col("id") > "2", "scoped_stats": True}, {"top_k": 400}):
+        asked = lambda: {(r.query_id, r.id, r.rank, round(r.score, 9)) for r in search.bm25(docs, q, **kw).collect()}
+        found = asked()
+        with monkeypatch.context() as m:
+            m.setattr(search, "WEIGHTS", 0)
+            assert found == asked() and len(found) > 10
+    assert "Join" not in search.bm25(docs, q)._jdf.queryExecution().executedPlan().toString()
