@@ -110,3 +110,24 @@ def test_an_empty_index(spark, tmp_path):
     index.delete(spark.createDataFrame([("1",)], "id string"), F.lit(True))
     index.compact()
     assert index.search(queries(spark, ["a"])).count() == 0 and index.documents().count() == 0
+
+
+def test_of_many_queries_only_the_best_leave_their_chunk(spark, tmp_path, monkeypatch):
+    """What a search writes does not grow with documents times queries, nor with blocks times queries; where the weights of all queries are too many for one matrix the hits are the same."""
+    from tessera.operators import keyword_index
+
+    rng = random.Random(5)
+    index = KeywordIndex(VersionedStore(spark, f"file://{tmp_path}/s"), "kw", block=8)
+    index.upsert(items(spark, [(str(i), " ".join(["the", "of", *(f"x{rng.randrange(90)}" for _ in range(rng.randrange(1, 60)))]), "a") for i in range(2000)]))
+    asked, rows, real = queries(spark, [f"the of {i}" for i in range(40)]), [], keyword_index.materialize
+
+    def seen(df, name):
+        out = real(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(keyword_index, "materialize", seen)
+    found = rows_of(index.search(asked))
+    assert len(found) == 200 and max(rows) < 2000
+    monkeypatch.setattr(search, "WEIGHTS", 0)
+    assert rows_of(index.search(asked)) == found
