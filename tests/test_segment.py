@@ -76,3 +76,29 @@ def test_queries_hit_inside_runs(spark, tmp_path):
     index.upsert(scope.scoped(docs, base="rag"))
     plain = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in search.bm25(docs, asked, terms=terms).collect())
     assert sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in index.search(asked).collect()) == plain
+
+
+def test_many_runs_at_once_are_counted_and_cut_as_one_by_one():
+    rng = random.Random(4)
+    for _ in range(40):
+        logp = {"".join(rng.choices("ab北😀", k=rng.randrange(1, 5))): -rng.choice([1.0, 2.0, 3.5, rng.random() * 9]) for _ in range(14)}
+        runs = ["".join(rng.choices("ab北😀z" if rng.random() < 0.3 else "ab北😀", k=rng.randrange(1, 25))) for _ in range(30)]
+        weights, into, pieces = [rng.randrange(1, 9) for _ in runs], {}, segment.Pieces(logp)
+        for run, n in zip(runs, weights):
+            segment.expected(run, n, logp, 4, into)
+        assert all(math.isclose(x, into.get(p, 0.0), rel_tol=1e-9, abs_tol=1e-12) for p, x in zip(pieces.names, pieces.expected(runs, weights, 4)))
+        assert pieces.cuts(runs, 4, -20.0) == [segment.cut(run, logp, 4, -20.0) for run in runs]
+    assert segment.Pieces({}).cuts(["ab", "c"], 4, -10.0) == [["a", "b"], ["c"]]
+
+
+def test_substrings_are_counted_for_all_runs_at_once():
+    rng = random.Random(6)
+    runs = ["".join(rng.choices("ab北😀", k=rng.randrange(1, 12))) for _ in range(50)]
+    counts, wanted, found = [rng.randrange(1, 9) for _ in runs], {}, {}
+    for run, n in zip(runs, counts):
+        for i, k in itertools.product(range(len(run)), range(1, 5)):
+            if i + k <= len(run):
+                wanted[run[i : i + k]] = wanted.get(run[i : i + k], 0) + n
+    for batch in segment.substring_counts(runs, counts, 4):
+        found |= dict(zip(*(c.to_pylist() for c in batch.columns)))
+    assert found == wanted and not any(b.num_rows for b in segment.substring_counts([], [], 4))
