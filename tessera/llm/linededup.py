@@ -12,6 +12,7 @@ lines are cut at sentence ends and before capitals into smaller units, places th
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ EDGES = re.compile(r"^[\W_]+|(?<![\W_])[\W_]++$")
 SHORT = 3
 #: Words of a gram; grams of which one is kept. GRAM >= WINDOW: the kept ones of a repeated run leave no gap.
 GRAM, WINDOW = 16, 15
-TOKEN = re.compile(r"\S+")
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 SCHEMA = "doc long, idx int, word_at int, words int, start int, stop int, digest binary"
@@ -69,14 +69,17 @@ def normal(unit: str) -> list[str]:
     return [x for w in words if (x := w if w.isalnum() else EDGES.sub("", w))]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for as many words as fit."""
+def hashes_of(words: list[str]) -> np.ndarray:
+    """64-bit hashes of lower-case words as `normal` leaves them, 0 for those that it drops. Nothing is kept: a hash takes less time than its place in a large table."""
+    one = xxhash.xxh3_64_intdigest
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        return found
+    def bare(word: str) -> int:
+        found = word.strip(string.punctuation)  # nearly always all that is to go
+        if not found.isalnum():
+            found = EDGES.sub("", word)
+        return one(found) if found else 0
+
+    return np.array([one(w) if w.isalnum() else bare(w) for w in words], np.uint64)
 
 
 def powers(factor: int, n: int) -> np.ndarray:
@@ -95,11 +98,11 @@ def slide(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return values
 
 
-def grams_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and 128-bit hashes (two columns) of the grams that are kept; none of texts too short for a whole window."""
+def grams_of(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 128-bit hashes (two columns) of the grams that are kept; none of texts too short for a whole window. `text`: the number of each word's text."""
     n = len(hashes) - GRAM + 1
     if n < WINDOW:
-        return np.empty(0, np.int32), np.empty((0, 2), np.uint64)
+        return np.empty(0, np.int64), np.empty((0, 2), np.uint64)
     columns = []
     for factor in FACTORS:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(factor, len(hashes)), dtype=np.uint64)])
@@ -108,9 +111,10 @@ def grams_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h *= np.uint64(FACTORS[1])
         columns.append(h ^ (h >> np.uint64(29)))
     least = slide(columns[0], WINDOW, np.minimum)
+    least[text[: len(least)] != text[GRAM + WINDOW - 2 :]] = 0  # windows that reach into the next text
     edge = np.zeros(WINDOW - 1, np.uint64)
     places = np.flatnonzero(slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == columns[0])
-    return places.astype(np.int32), np.stack([c[places] for c in columns], axis=1)
+    return places, np.stack([c[places] for c in columns], axis=1)
 
 
 def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
@@ -119,50 +123,81 @@ def unit_rows(docs: DataFrame, grams: bool = False) -> DataFrame:
     With `grams` the units are lines, and there is a row for each kept gram too: idx is its place in words, start and stop are null.
     """
     cut = lines_of if grams else units_of
+    names = ["doc", "idx", "word_at", "words", "start", "stop", "digest"]
 
-    def gram_batch(held: list[tuple[int, np.ndarray, np.ndarray]], names: list[str]) -> pa.RecordBatch:
-        places = np.concatenate([p for _, p, _ in held])
-        n = len(places)
-        doc = np.repeat(np.array([i for i, _, _ in held], np.int64), [len(p) for _, p, _ in held])
-        digest = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, np.int32)), pa.py_buffer(np.concatenate([h for _, _, h in held]).tobytes())])
-        none = pa.nulls(n, pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(places), pa.array(places), pa.array(np.full(n, GRAM, np.int32)), none, none, digest], names=names)
+    def rows(doc: np.ndarray, ints: list[np.ndarray], digests: bytes) -> pa.RecordBatch:
+        """Rows of these columns, of which start and stop may be missing; 16 bytes of digest each."""
+        n = len(doc)
+        digest = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, np.int32)), pa.py_buffer(digests)])
+        filled = [pa.array(x.astype(np.int32)) for x in ints] + [pa.nulls(n, pa.int32())] * (5 - len(ints))
+        return pa.RecordBatch.from_arrays([pa.array(doc), *filled, digest], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                doc, idx, word_at, size, start, stop, digest = [], [], [], [], [], [], []
-                held = []
+                ids, parts, n_words, unit_doc, unit_words, spans = [], [], [], [], [], []
                 for i, v in zip(batch.column(0).slice(at, 1000).to_pylist(), batch.column(1).slice(at, 1000).to_pylist()):
                     if i is None or not v:
                         continue
-                    n = seen = 0
-                    hashes: list[int] = []
+                    words: list[str] = []
                     for a, b in cut(v):
-                        words = normal(v[a:b])
-                        if words:
-                            if grams:
-                                hashes += map(hash_of.__getitem__, words)
-                            doc.append(i)
-                            idx.append(n)
-                            word_at.append(seen)
-                            size.append(len(words))
-                            start.append(a)
-                            stop.append(b)
-                            digest.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace")))
-                            n += 1
-                            seen += len(words)
-                    if len(hashes) >= GRAM + WINDOW - 1:
-                        held.append((i, *grams_of(np.array(hashes, np.uint64))))
-                ints = [pa.array(np.array(x, np.int32)) for x in (idx, word_at, size, start, stop)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *ints, pa.array(digest, pa.binary())], names=["doc", "idx", "word_at", "words", "start", "stop", "digest"])
-                if held:
-                    yield gram_batch(held, ["doc", "idx", "word_at", "words", "start", "stop", "digest"])
+                        found = v[a:b].lower().split()
+                        unit_doc.append(len(ids))
+                        unit_words.append(len(found))
+                        spans.append((a, b))
+                        words += found
+                    ids.append(i)
+                    parts.append(hashes_of(words))
+                    n_words.append(len(words))
+                if not unit_doc:
+                    continue
+                # of all texts at once: words that are dropped go, and units without any other
+                hashes, doc, size = np.concatenate(parts), np.array(ids, np.int64), np.array(unit_words)
+                kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(hashes != 0)])
+                text = np.repeat(np.arange(len(ids)), n_words)[hashes != 0]
+                hashes, ends, begins = hashes[hashes != 0], np.cumsum(size), kept[np.cumsum(n_words) - n_words]
+                lo, hi = kept[ends - size], kept[ends]
+                whole = hi > lo
+                of, lo, hi, span = np.array(unit_doc)[whole], lo[whole], hi[whole], np.array(spans)[whole]
+                raw = memoryview(hashes.tobytes())
+                digests = b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist()))
+                yield rows(doc[of], [np.arange(len(of)) - np.searchsorted(of, of), lo - begins[of], hi - lo, span[:, 0], span[:, 1]], digests)
+                if grams:
+                    places, found = grams_of(hashes, text)
+                    of = text[places]
+                    place = places - begins[of]
+                    yield rows(doc[of], [place, place, np.full(len(place), GRAM)], found.tobytes())
 
     return small_batches(docs.select("id", "text")).mapInArrow(run, SCHEMA)
 
 
+#: Whether a code point up to the last white space is white space.
+IS_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of a text that are not dropped."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = np.concatenate([[True], IS_SPACE[np.minimum(points, len(IS_SPACE) - 1)], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    hashes = hashes_of(text.lower().split())
+    kept = hashes != 0
+    return hashes[kept], edges[::2][kept], edges[1::2][kept]
+
+
+def first_places(units: DataFrame) -> DataFrame:
+    """digest, f (doc, idx): the first place of each digest that stands in several."""
+    # document and number as one long where the ids allow it, so that the minimum is found by hashing and nothing is sorted for it
+    lo, hi = units.agg(F.min("doc"), F.max("doc")).first()
+    packed = lo is not None and hi - lo < 1 << 32
+    at = F.shiftleft(F.col("doc") - F.lit(lo), 31) + F.col("idx") if packed else F.struct("doc", "idx")
+    first = units.groupBy("digest").agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f <> l").select("digest", "f")
+    if not packed:
+        return first
+    idx = F.col("f").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    return first.select("digest", F.struct((F.shiftright("f", 31) + F.lit(lo)).alias("doc"), idx.alias("idx")).alias("f"))
+
+
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, pos, side, hashes, bounds: the WINDOW - 1 words before (side 0) or after (side 1) a place between the words of a text.
 
@@ -170,26 +205,25 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_of = WordHashes()
         for batch in batches:
-            out: list[tuple[int, int, int, list[int], list[int]]] = []
+            keys, hashes, bounds = [], [], []
             for i, text, places in zip(*(c.to_pylist() for c in batch.columns)):
-                words, spans = [], []
-                for m in TOKEN.finditer(text):
-                    found = normal(m[0])
-                    if found:
-                        words.append(found[0])
-                        spans.append(m.span())
+                words, starts, ends = words_of(text)
                 for p in places:
                     pos, side = p["pos"], p["side"]
-                    edge = pos - 1 if side else pos
-                    if not 0 <= edge < len(words):
+                    if not 0 <= (pos - 1 if side else pos) < len(words):
                         continue  # one id with several texts: the place is in another one
-                    near = range(pos, min(pos + WINDOW - 1, len(words))) if side else range(pos - 1, max(pos - WINDOW, -1), -1)
-                    out.append((i, pos, side, [hash_of[words[k]] - (1 << 63) for k in near], [spans[k][side] for k in (edge, *near)]))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            columns = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "pos", "side", "hashes", "bounds"])
+                    low = max(pos - WINDOW + 1, 0)
+                    keys.append((i, pos, side))
+                    hashes.append(words[pos : pos + WINDOW - 1] if side else words[low:pos][::-1])
+                    bounds.append(ends[pos - 1 : pos + WINDOW - 1] if side else starts[low : pos + 1][::-1])
+            if keys:
+                columns = [pa.array(c, k) for c, k in zip(zip(*keys), (pa.int64(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*columns, lists(hashes, np.int64), lists(bounds, np.int32)], names=["id", "pos", "side", "hashes", "bounds"])
+
+    def lists(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+        offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(kind)))
 
     places = wanted.distinct().groupBy("id").agg(F.collect_list(F.struct("pos", "side")).alias("places"))
     found = small_batches(docs.join(places, "id").select("id", "text", "places")).mapInArrow(run, "id long, pos int, side int, hashes array<long>, bounds array<int>")
@@ -242,10 +276,10 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 30, verbatim: bool =
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     units = materialize(unit_rows(docs, verbatim), "passages-units")
-    first = units.groupBy("digest").agg(F.min(F.struct("doc", "idx")).alias("f"), F.max(F.struct("doc", "idx")).alias("l")).where("f <> l").select("digest", "f")
     # as a table of its own, so that Spark can split the units of a very common digest over several tasks of the join
-    first = materialize(first, "passages-first")
-    again = units.join(first, "digest").where((F.col("doc") != F.col("f.doc")) | (F.col("idx") != F.col("f.idx")))
+    first = materialize(first_places(units), "passages-first")
+    # a digest has one first place, so these are hashed, and the units are not sorted
+    again = units.join(first.hint("shuffle_hash"), "digest").where((F.col("doc") != F.col("f.doc")) | (F.col("idx") != F.col("f.idx")))
     pieces = again.select("doc", F.col("word_at").alias("a"), (F.col("word_at") + F.col("words")).alias("b"), "start", "stop", F.col("f.doc").alias("first"), F.when(F.col("start").isNull(), F.col("f.idx")).alias("fpos"), F.when(F.col("start").isNotNull(), F.col("idx")).alias("unit"))
     gram = F.when(F.col("fpos").isNotNull(), F.struct("a", F.col("first").alias("fdoc"), "fpos"))
     found = islands(pieces).groupBy("doc", "island").agg(
